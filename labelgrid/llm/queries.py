@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import bpe, packing, substring
 
 
 def queries() -> dict:
     return {
         "op3_substring_dedup": substring.op3,
+        "op4_packing": packing.op4,
+        "op5_bpe": bpe.op5,
     }
 
 
