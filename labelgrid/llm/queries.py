@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, substring
+from . import bpe, jaccard, packing, substring
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_substring_dedup": substring.op3,
         "op4_packing": packing.op4,
         "op5_bpe": bpe.op5,
+        "op7_jaccard_join": jaccard.op7,
     }
 
 
