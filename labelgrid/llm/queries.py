@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, packing, substring
+from . import bpe, jaccard, lm, packing, quality, substring
 
 
 def queries() -> dict:
     return {
+        "op1_lm_scoring": lm.op1,
         "op3_substring_dedup": substring.op3,
         "op4_packing": packing.op4,
         "op5_bpe": bpe.op5,
         "op7_jaccard_join": jaccard.op7,
+        "op10_quality": quality.op10,
     }
 
 
