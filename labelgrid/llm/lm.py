@@ -33,7 +33,7 @@ from . import shared
 from . import text as T
 
 U64 = np.uint64
-CLASSES, SLOTS, ROWS_LOG2, ROUNDS, RATE, BATCH, FOLDS = 32, 32, 15, 3, 0.1, 4096, 7
+CLASSES, SLOTS, ROWS_LOG2, ROUNDS, RATE, BATCH, FOLDS = 32, 32, 15, 3, 0.8, 4096, 7
 WORDS = (CLASSES - 1) * SLOTS
 ROWS = 1 << ROWS_LOG2
 BLOCKS = 16
