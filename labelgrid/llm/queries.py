@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, lm, packing, quality, substring
+from . import bpe, jaccard, lm, packing, quality, substring, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_lm_scoring": lm.op1,
+        "op2_url_filter": urls.op2,
         "op3_substring_dedup": substring.op3,
         "op4_packing": packing.op4,
         "op5_bpe": bpe.op5,
+        "op6_warc": warc.op6,
         "op7_jaccard_join": jaccard.op7,
         "op10_quality": quality.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": warc.OP6_SQL}
