@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, lm, packing, quality, substring, urls, warc
+from . import ann, bpe, jaccard, lm, packing, quality, substring, urls, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_bpe": bpe.op5,
         "op6_warc": warc.op6,
         "op7_jaccard_join": jaccard.op7,
+        "op8_ann": ann.op8,
         "op10_quality": quality.op10,
     }
 
