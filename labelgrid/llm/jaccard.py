@@ -294,6 +294,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sent = dealt.groupBy("g").applyInArrow(_sender(k, groups), X.BLOB)
     told = sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_answer, X.BLOB).repartition(groups, "g")
     rows = shared.written(dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_profiler(k, percent), SPARK_ROWS), "profiles")
+    del dealt, sent, told
+    shared.release(docs.sparkSession)
     # equal sets are one member: the least id stands for them
     open_ = rows.where("shingles is not null")
     member = open_.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "prefix", "shingles")).alias("m"))
@@ -321,5 +323,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return found.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id"))).alias("component_id"))
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` but one a group of linked documents: the least id stays; rows without an id stay."""
+    found = jaccard_components(docs, key, **how)
+    gone = shared.written(found.where("id != component_id").select(F.col("id").alias(key)).distinct(), "gone")
+    again = found.groupBy("id").count().where("count > 1 and id is not null")
+    kept = docs.join(gone, key, "left_anti")
+    if again.isEmpty():
+        return kept
+    lone = kept.where(F.col(key).isNull())
+    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(lone)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).withColumnRenamed("id", "doc_id")

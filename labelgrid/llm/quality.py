@@ -203,20 +203,28 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return grow(x[order], y[order])
 
 
-def scored(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score``, which replaces a column of that name."""
-    kept = docs.drop("score")
-    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
+def scored(docs: DataFrame, trees: Trees, text: str = "text", name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score, which replaces a column of its name."""
+    kept = docs.drop(name)
+    schema = StructType([*kept.schema.fields, StructField(name, DoubleType())])
 
     def score(batches):
         for batch in batches:
             for a, b in T.spans(batch.column(text)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(trees.score(statistics(part.column(text))))], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(trees.score(statistics(part.column(text))))], names=[*part.schema.names, name])
 
     return kept.mapInArrow(score, schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, all columns as they are."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, train(docs, labels), name=name).where(F.col(name) >= threshold).drop(name)
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     trees = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, lm, packing, quality, substring, urls, warc
+from . import ann, bpe, jaccard, jpeg, lm, packing, quality, substring, urls, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_warc": warc.op6,
         "op7_jaccard_join": jaccard.op7,
         "op8_ann": ann.op8,
+        "op9_progressive_jpeg": jpeg.op9,
         "op10_quality": quality.op10,
     }
 

@@ -138,7 +138,8 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     src = docs.select(*cols, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] if texts else []))
     groups = groups or X.group_count(src)
     dealt = X.by_range(src, groups, "id")
-    sent = dealt.select("g", "id", "text").groupBy("g").applyInArrow(_sender(length, groups), X.BLOB)
+    # all columns as below, so that both steps read one exchange
+    sent = dealt.groupBy("g").applyInArrow(_sender(length, groups), X.BLOB)
     told = sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_answer, X.BLOB).repartition(groups, "g")
     fields = [("id", pa.int64(), "id long"), ("n_words", pa.int64(), "n_words long"), ("n_removed", pa.int64(), "n_removed long"), ("kept_sha256", pa.string(), "kept_sha256 string")]
     if texts:
@@ -153,6 +154,22 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_remover(length, schema, texts), spark_schema)
 
 
+def shortened(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """All rows and columns of ``docs`` with repeated words removed; rows that lose words get their new length, if there is
+    such a column. Rows that lose nothing keep their text sign by sign."""
+    out = repeated_words(docs, key, text, texts=True)
+    cols = []
+    for f in docs.schema:
+        if f.name == text:
+            c = F.col("new_text").cast(f.dataType)
+        elif f.name == size and size != key:
+            c = F.when(F.col("n_removed") > 0, F.length("new_text").cast(f.dataType)).otherwise(F.col(f"row.`{f.name}`"))
+        else:
+            c = F.col(f"row.`{f.name}`")
+        cols.append(c.alias(f.name))
+    return out.select(*cols)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repeated_words(docs.select("doc_id", "text")).withColumnRenamed("id", "doc_id")
