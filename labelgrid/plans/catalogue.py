@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import label_queries  # noqa: F401
+from . import label_queries, order_queries, scalar_queries, volume_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -54,7 +54,7 @@ def depth(spark, d) -> int:
 
 def frames(spark, d) -> DataFrame:
     """Events an hour: frame 0 is the first hour; hours without events have 0."""
-    hour = table(spark, d, "events").groupBy(F.floor(F.unix_micros("ts") / 3_600_000_000).alias("h")).agg(F.count("*").alias("n"))
+    hour = table(spark, d, "events").groupBy(F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("h")).agg(F.count("*").alias("n"))
     ends = hour.agg(F.min("h").alias("a"), F.max("h").alias("b"))
     every = ends.select("a", F.explode(F.sequence("a", "b")).alias("h"))
     return every.join(hour, "h", "left").select((F.col("h") - F.col("a")).cast("long").alias("frame"), F.coalesce("n", F.lit(0)).cast("double").alias("value"))
