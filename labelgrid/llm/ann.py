@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
+from . import text as T
 
 LINKS, BUILD_BEAM, BEAM, SHARD_ROWS, BLOCK_ROWS, NEAREST, QUERY_EVERY = 16, 64, 192, 4096, 1024, 5, 50
 SHARD = pa.schema([("shard", pa.int32()), ("graph", pa.binary())])
@@ -241,12 +242,12 @@ def nearest(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
         return pa.concat_tables(out)
 
     dealt = src.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graphs = shared.written(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard int, graph binary"), "graphs")
+    graphs = shared.written(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(T.one(build), "shard int, graph binary"), "graphs")
     # the stated queries meet every shard, block by block
     every_block, every_shard = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     queries = src.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", every_shard)
     met = graphs.withColumn("block", every_block).groupBy("shard", "block").cogroup(queries.groupBy("shard", "block"))
-    found = met.applyInArrow(search, "query_id long, vec_id long, score double")
+    found = met.applyInArrow(T.two(search), "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

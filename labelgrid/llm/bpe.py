@@ -340,7 +340,7 @@ def _mapped(docs: DataFrame, path: str, key: str, text: str, digests: bool) -> D
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())), pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())], schema=schema)
 
     kinds = {"id": "long", "n_tokens": "long", "ids": "array<int>"}
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(rows, ", ".join(f"{n} {kinds.get(n, 'string')}" for n, _ in fields))
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(T.steady(rows), ", ".join(f"{n} {kinds.get(n, 'string')}" for n, _ in fields))
 
 
 def _clean(raw: bytes) -> bytes:

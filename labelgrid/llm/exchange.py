@@ -97,9 +97,12 @@ def found(sorted_hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, sorted_hashes[at] == h
 
 
-def group_count(docs: DataFrame, text: str = "text", group_bytes: int = 8 * MB, most_bytes: int = 256 * MB, many: int = 4096) -> int:
-    """How many groups the texts need: ``group_bytes`` each, and more once there would be over ``many`` groups."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def group_count(total: int, group_bytes: int = 4 * MB, most_bytes: int = 256 * MB, many: int = 4096) -> int:
+    """How many groups so many bytes of text need: ``group_bytes`` each, and more once there would be over ``many`` groups."""
     each = min(max(group_bytes, total // many), most_bytes)
     return max(1, -(-total // each))
 

@@ -62,10 +62,17 @@ def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(row, np.arange(len(n) + 1))
 
 
-def _sender(k: int, buckets: int):
+def kept_bits(total: int) -> np.uint64:
+    """A mask of the leading hash bits by which shingles are counted: 2**11 times as many values as there may be shingles.
+    Two shingles that agree in them only count as more frequent than they are, which the order may say as well as not."""
+    bits = 8 * -(-(max(total, 1).bit_length() + 9) // 8)
+    return U64((1 << 64) - (1 << (64 - min(bits, 64))))
+
+
+def _sender(k: int, buckets: int, mask: np.uint64):
     def send(key: tuple, table: pa.Table) -> pa.Table:
         value, _ = shingle_sets(table["text"], k)
-        h, count = np.unique(value, return_counts=True)
+        h, count = np.unique(value & mask, return_counts=True)
         return pa.Table.from_batches([X.to_buckets(key[0].as_py(), h, count.astype(U64), buckets)])
 
     return send
@@ -86,12 +93,12 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _profiler(k: int, percent: int):
+def _profiler(k: int, percent: int, mask: np.uint64):
     def profile(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         known, df = X.received(told)
         value, off = shingle_sets(docs["text"], k)
         n = np.diff(off)
-        at, rep = X.found(known, value)
+        at, rep = X.found(known, value & mask)
         row = T.rows_of(off)
         unique = n - np.bincount(row[rep], minlength=len(n))
         need = n - least_overlap(n, percent) + 1 - unique
@@ -256,7 +263,7 @@ def _split_cells(cells: DataFrame, percent: int, cell_bytes: int) -> tuple[DataF
         parts = F.greatest(F.lit(1), F.ceil(F.col("members") / 2000)).cast("int")
         dealt = cells.select("cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(-1).alias("pivot"), "id", "prefix", "shingles")
         told = pivots.join(large.select("cell", "members"), "cell").select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "pivot", "p.id", "p.prefix", "p.shingles")
-        made = dealt.unionByName(told).groupBy("cell", "part").applyInArrow(_splitter(percent), "cell string, sub int, id long, prefix array<long>, shingles binary, dist double, near boolean, tie long")
+        made = dealt.unionByName(told).groupBy("cell", "part").applyInArrow(T.one(_splitter(percent)), "cell string, sub int, id long, prefix array<long>, shingles binary, dist double, near boolean, tie long")
         made = shared.written(made, "split-cells")
         links = links.unionByName(made.where("near and id != tie").select(F.col("id").alias("a"), F.col("tie").alias("b")))
         rim = made.where("not near").groupBy("cell", "sub").agg(F.min("dist").alias("rim"))
@@ -289,11 +296,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """``id, n_shingles, component_id`` of every row: the least id that links reach. Two rows link when
     100 * |intersection| >= percent * |union| of their sets of ``k``-word shingles."""
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    groups = groups or X.group_count(src)
+    total = X.text_bytes(src)
+    groups, mask = groups or X.group_count(total), kept_bits(total)
     dealt = X.by_hash(src, groups, "id").select("g", "id", "text")
-    sent = dealt.groupBy("g").applyInArrow(_sender(k, groups), X.BLOB)
-    told = sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_answer, X.BLOB).repartition(groups, "g")
-    rows = shared.written(dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_profiler(k, percent), SPARK_ROWS), "profiles")
+    sent = dealt.groupBy("g").applyInArrow(T.one(_sender(k, groups, mask)), X.BLOB)
+    told = sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(T.one(_answer), X.BLOB).repartition(groups, "g")
+    rows = shared.written(dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_profiler(k, percent, mask)), SPARK_ROWS), "profiles")
     del dealt, sent, told
     shared.release(docs.sparkSession)
     # equal sets are one member: the least id stands for them
@@ -310,7 +318,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     cells = member.join(cells.withColumnRenamed("component", "cell"), "id").select(F.col("cell").cast("string").alias("cell"), "id", "prefix", "shingles")
     cells = shared.written(cells, "cells")
     small, links = _split_cells(cells, percent, cell_bytes)
-    joined = shared.written(small.groupBy("cell").applyInArrow(_joiner(percent), "id long, component long"), "links")
+    joined = shared.written(small.groupBy("cell").applyInArrow(T.one(_joiner(percent)), "id long, component long"), "links")
     same = joined.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)
     sets = rows.where("id is not null and n > 0").select("id", "f1", "f2")
     twice = sets.join(again, "id", "left_semi")

@@ -652,7 +652,7 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 streams = stored([padded(raw[x:y]) for x, y in zip(off[:-1], off[1:])])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(off)), pa.array(streams, pa.binary())], names=["id", "n_bytes", "media"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(task, "id long, n_bytes long, media binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(T.steady(task), "id long, n_bytes long, media binary")
 
 
 def _byte_spans(column, limit: int):
@@ -690,7 +690,7 @@ def read(media_: DataFrame, pixels: bool = False) -> DataFrame:
 
     fields = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", height int, width int, rgb binary" if pixels else "")
     names = [f.split()[0] for f in fields.split(", ")]
-    return media_.mapInArrow(task, fields)
+    return media_.mapInArrow(T.steady(task), fields)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -276,7 +276,7 @@ def trained(src: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             yield trainer.changes(TaskContext.get().partitionId())
 
         part = src.where(F.col("learn") & (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rounds)) == r)).select("text")
-        sent = part.mapInArrow(learn, "block int, task long, d binary, w binary")
+        sent = part.mapInArrow(T.steady(learn), "block int, task long, d binary, w binary")
         # two steps, so that no task adds up the blocks of more than a few hundred others
         first = sent.withColumn("salt", F.floor(F.col("task") / 256)).groupBy("block", "salt").applyInArrow(_average_group, "block int, task long, d binary, w binary")
         done = first.groupBy("block").applyInArrow(_average_group, "block int, task long, d binary, w binary").toArrow().to_pylist()
@@ -299,17 +299,17 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == fold, F.lit(False))
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), held.alias("held_out"), (~held).alias("learn"))
-    groups = groups or X.group_count(src)
+    groups = groups or X.group_count(X.text_bytes(src))
     dealt = X.by_hash(src, groups, "id").select("g", "id", "text", "held_out", "learn")
-    sent = dealt.groupBy("g").applyInArrow(_sender(groups), X.BLOB)
-    counts = shared.written(sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_answer, X.BLOB), "counts")
+    sent = dealt.groupBy("g").applyInArrow(T.one(_sender(groups)), X.BLOB)
+    counts = shared.written(sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(T.one(_answer), X.BLOB), "counts")
     few = counts.where(F.col("g") < 0).mapInArrow(_unpacked, "g int, h long, v long")
     sums = {x.h: int(x.s) for x in few.where(F.col("g") == STATS).groupBy("h").agg(F.sum("v").alias("s")).collect()}
     top = few.where(F.col("g") == TOP).orderBy(F.desc("v"), "h").limit(WORDS).toArrow()
     words, n = top["h"].to_numpy().view(U64), top["v"].to_numpy()
     model = trained(src, Model(words, n.astype(np.int64), sums.get(0, 0), sums.get(1, 0)))
     told = counts.where(F.col("g") >= 0).repartition(groups, "g")
-    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_scorer(spark.sparkContext.broadcast(model)), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_scorer(spark.sparkContext.broadcast(model))), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

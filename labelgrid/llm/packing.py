@@ -132,7 +132,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
         return join
 
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    made = shared.written(src.mapInArrow(first, SPARK_SCHEMA), "packed")
+    made = shared.written(src.mapInArrow(T.steady(first), SPARK_SCHEMA), "packed")
     done, level = [made.where("part < 0")], 0
     left = made.where("part >= 0")
     # what is left is less than one window a partition, so a step's input is bounded by fan_in windows a task

@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 stats = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * len(NAMES), pa.int32()), pa.array(statistics(part.column("text")).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), stats], names=["id", "y", "x"])
 
-    rows = texts.mapInArrow(measure, "id long, y int, x array<double>").limit(2 * sample).toArrow()
+    rows = texts.mapInArrow(T.steady(measure), "id long, y int, x array<double>").limit(2 * sample).toArrow()
     x = np.array(rows["x"].combine_chunks().flatten()).reshape(-1, len(NAMES)) if rows.num_rows else np.zeros((0, len(NAMES)))
     y, ids = rows["y"].to_numpy().astype(float), rows["id"].to_numpy()
     order = np.lexsort((*x.T, ids))
@@ -214,7 +214,7 @@ def scored(docs: DataFrame, trees: Trees, text: str = "text", name: str = "score
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(trees.score(statistics(part.column(text))))], names=[*part.schema.names, name])
 
-    return kept.mapInArrow(score, schema)
+    return kept.mapInArrow(T.steady(score), schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

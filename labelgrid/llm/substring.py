@@ -136,11 +136,11 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     cols = [F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")]
     src = docs.select(*cols, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] if texts else []))
-    groups = groups or X.group_count(src)
+    groups = groups or X.group_count(X.text_bytes(src))
     dealt = X.by_range(src, groups, "id")
     # all columns as below, so that both steps read one exchange
-    sent = dealt.groupBy("g").applyInArrow(_sender(length, groups), X.BLOB)
-    told = sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_answer, X.BLOB).repartition(groups, "g")
+    sent = dealt.groupBy("g").applyInArrow(T.one(_sender(length, groups)), X.BLOB)
+    told = sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(T.one(_answer), X.BLOB).repartition(groups, "g")
     fields = [("id", pa.int64(), "id long"), ("n_words", pa.int64(), "n_words long"), ("n_removed", pa.int64(), "n_removed long"), ("kept_sha256", pa.string(), "kept_sha256 string")]
     if texts:
         spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -151,7 +151,7 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
         schema = schema.append(pa.field("row", to_arrow_type(src.schema["row"].dataType)))
         spark_schema += f", row {src.schema['row'].dataType.simpleString()}"
-    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_remover(length, schema, texts), spark_schema)
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_remover(length, schema, texts)), spark_schema)
 
 
 def shortened(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
