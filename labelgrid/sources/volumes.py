@@ -1,8 +1,9 @@
 """Readers of volume files as voxel tables, by suffix.
 
 Array files are Python data sources whose partitions are slabs of slices, so a task holds one slab
-at a time and box filters on z prune slabs before they are read. Formats whose library is not
-installed raise ImportError with its name when they are read.
+at a time; bounds on z given to the reader choose the slabs. (Bounds that Spark pushes into a Python
+source stay with it for later queries of the same frame, so they are not used.) Formats whose library
+is not installed raise ImportError with its name when they are read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SLAB_VOXELS = 1 << 22
 
@@ -84,18 +85,7 @@ def shape(path: str, dataset: str | None = None) -> tuple[int, ...]:
 class VolumeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.dataset, self.voxels = options["path"], options.get("dataset"), int(options.get("slabvoxels", SLAB_VOXELS))
-        self.low, self.high = 0, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on z choose slabs; every filter is also left to Spark."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("z",):
-                if isinstance(f, (GreaterThanOrEqual, GreaterThan, EqualTo)):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, (LessThanOrEqual, LessThan, EqualTo)):
-                    high = f.value + (not isinstance(f, LessThan))
-                    self.high = high if self.high is None else min(self.high, high)
-            yield f
+        self.low, self.high = int(options.get("zlow", 0)), int(options["zhigh"]) if "zhigh" in options else None
 
     def partitions(self) -> list[Slab]:
         dims = shape(self.path, self.dataset)
@@ -118,7 +108,7 @@ class VolumeReader(DataSourceReader):
 
 
 class VolumeSource(DataSource):
-    """``format("volume")``: options ``path``, ``dataset``, ``slabvoxels``. Whole numbers are labels, others values."""
+    """``format("volume")``: options ``path``, ``dataset``, ``slabvoxels``, ``zlow``, ``zhigh`` (not included). Whole numbers are labels, others values."""
 
     @classmethod
     def name(cls) -> str:
@@ -132,8 +122,9 @@ class VolumeSource(DataSource):
         return VolumeReader(self.options)
 
 
-def read_volume(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    """Voxels of a volume by its suffix: Parquet tables, array files, images, trusted pickles of one array."""
+def read_volume(spark: SparkSession, path: str, dataset: str | None = None, z: tuple[int, int] | None = None) -> DataFrame:
+    """Voxels of a volume by its suffix: Parquet tables, array files, images, trusted pickles of one array; of array files,
+    only slabs of the slices ``z`` are read."""
     if path.endswith((".png", ".jpg", ".jpeg")) or "%" in path or "*" in path:
         return read_images(spark, path)
     if path.endswith(".pkl"):
@@ -143,7 +134,11 @@ def read_volume(spark: SparkSession, path: str, dataset: str | None = None) -> D
         return spark.read.parquet(path)
     spark.dataSource.register(VolumeSource)
     reader = spark.read.format("volume")
-    return (reader.option("dataset", dataset) if dataset else reader).load(path)
+    if dataset:
+        reader = reader.option("dataset", dataset)
+    if z:
+        reader = reader.option("zlow", z[0]).option("zhigh", z[1])
+    return reader.load(path)
 
 
 def from_array(spark: SparkSession, array: np.ndarray) -> DataFrame:
