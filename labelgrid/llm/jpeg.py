@@ -352,6 +352,8 @@ def _parsed(buf: np.ndarray, raw: bytes, start: int, end: int, marks: np.ndarray
                 raise ValueError("a scan does not end")
             at = int(marks[k])
             image.scans.append(scan)
+    else:
+        raise ValueError("the stream ends early")
     if image is None:
         raise ValueError("no frame")
     image.quants, image.comment = quants, comment
