@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import text as T
 
 U64 = np.uint64
@@ -89,12 +90,13 @@ class Vocabulary:
         self._forget()
 
     def _trie(self) -> None:
-        nodes: dict[bytes, int] = {b"": 0}
-        for t in self.tokens:
-            for k in range(1, len(t) + 1):
-                if t[:k] not in nodes:
-                    nodes[t[:k]] = len(nodes)
-        self.next = np.full(len(nodes) * 256, -1, np.int32)
+        # nodes that go on come first, so that the table of steps has no rows for leaves
+        nodes: dict[bytes, int] = dict.fromkeys([b"", *(t[:k] for t in self.tokens for k in range(1, len(t)))])
+        self.inner = len(nodes)
+        nodes.update(dict.fromkeys(self.tokens))
+        for i, p in enumerate(nodes):
+            nodes[p] = i
+        self.next = np.full(self.inner * 256, -1, np.int32)
         for p, i in nodes.items():
             if p:
                 self.next[nodes[p[:-1]] * 256 + p[-1]] = i
@@ -124,7 +126,7 @@ class Vocabulary:
                 token = self.accepts[node]
                 hit = token >= 0
                 best[live[hit]], best_end[live[hit]] = token[hit], at[live[hit]]
-                more = at[live] < end[live]
+                more = (at[live] < end[live]) & (node < self.inner)
                 live, node = live[more], node[more]
             found.append(best)
             where.append(lanes)
@@ -324,7 +326,7 @@ def _mapped(docs: DataFrame, path: str, key: str, text: str, digests: bool) -> D
     def rows(batches):
         v = vocabulary(path)
         for batch in batches:
-            for a, b in T.spans(batch.column("text")):
+            for a, b in T.spans(batch.column("text"), 2 << 20):
                 part = batch.slice(a, b - a)
                 ids, off = v.encode(part.column("text"))
                 data, lens = v.decode(ids)
@@ -339,6 +341,7 @@ def _mapped(docs: DataFrame, path: str, key: str, text: str, digests: bool) -> D
                 else:
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())), pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())], schema=schema)
 
+    shared.bounded(docs.sparkSession)
     kinds = {"id": "long", "n_tokens": "long", "ids": "array<int>"}
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(T.steady(rows), ", ".join(f"{n} {kinds.get(n, 'string')}" for n, _ in fields))
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import text as T
 
 U64 = np.uint64
@@ -654,6 +655,7 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 streams = stored([padded(raw[x:y]) for x, y in zip(off[:-1], off[1:])])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(off)), pa.array(streams, pa.binary())], names=["id", "n_bytes", "media"])
 
+    shared.bounded(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(T.steady(task), "id long, n_bytes long, media binary")
 
 

@@ -245,7 +245,7 @@ def _scorer(shared_model):
         m = shared_model.value
         known, counts = X.received(told)
         out = []
-        for a, b in T.spans(docs["text"]):
+        for a, b in T.spans(docs["text"], 2 << 20):
             part = docs.slice(a, b - a)
             tok, toff = tokens(part["text"])
             at, hit = X.found(known, tok)
@@ -265,6 +265,7 @@ def _scorer(shared_model):
 def trained(src: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """One pass over the tokens of all rows that ``learn``, a slice of the documents a round."""
     spark = src.sparkSession
+    shared.bounded(spark)
     for r in range(rounds):
         told = spark.sparkContext.broadcast(model)
 

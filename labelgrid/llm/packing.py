@@ -104,12 +104,13 @@ class Packer:
 def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", length: int = LENGTH, windows: int = WINDOWS, ids: bool = True, fan_in: int = FAN_IN) -> DataFrame:
     """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, and with ``ids`` the piece's ids
     as little-endian unsigned 32-bit integers."""
-    path, spark = path or bpe.default_path(), docs.sparkSession
+    path = path or bpe.default_path()
+    shared.bounded(docs.sparkSession)
 
     def first(batches):
         v, packer = bpe.vocabulary(path), Packer(length, windows, 0, TaskContext.get().partitionId())
         for batch in batches:
-            for a, b in T.spans(batch.column("text")):
+            for a, b in T.spans(batch.column("text"), 2 << 20):
                 part = batch.slice(a, b - a)
                 found, off = v.encode(part.column("text"))
                 for doc, x, y in zip(part.column("id").to_pylist(), off[:-1], off[1:]):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from . import shared
 from . import text as T
 
 SAMPLE, TREES, DEPTH, BINS, RATE, LEAST_ROWS, SMOOTH, THRESHOLD = 20_000, 80, 5, 64, 0.15, 20, 1.0, 0.3
@@ -191,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def measure(batches):
         for batch in batches:
-            for a, b in T.spans(batch.column("text")):
+            for a, b in T.spans(batch.column("text"), 2 << 20):
                 part = batch.slice(a, b - a)
                 stats = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * len(NAMES), pa.int32()), pa.array(statistics(part.column("text")).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), stats], names=["id", "y", "x"])
@@ -205,12 +206,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def scored(docs: DataFrame, trees: Trees, text: str = "text", name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score, which replaces a column of its name."""
+    shared.bounded(docs.sparkSession)
     kept = docs.drop(name)
     schema = StructType([*kept.schema.fields, StructField(name, DoubleType())])
 
     def score(batches):
         for batch in batches:
-            for a, b in T.spans(batch.column(text)):
+            for a, b in T.spans(batch.column(text), 2 << 20):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(trees.score(statistics(part.column(text))))], names=[*part.schema.names, name])
 

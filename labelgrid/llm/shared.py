@@ -21,6 +21,14 @@ def folder(spark: SparkSession) -> str:
     return "file://" + _local[0]
 
 
+def bounded(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in a batch between Spark and Python than the default of 10,000, so that long texts do not fill the workers.
+    A session that sets less keeps its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -141,6 +141,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), HEADERS)] if rows else [pa.array([], f.type) for f in HEADERS], schema=HEADERS)
         archive.close()
 
+    shared.bounded(pages.sparkSession)
     src = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     return shared.written(src.mapInArrow(task, HEADERS_SPARK), "warc-headers")
 
