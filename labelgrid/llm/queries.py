@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, jpeg, lm, packing, quality, substring, urls, warc
+from . import ann, bpe, jaccard, jpeg, lm, oracles, packing, quality, substring, urls, warc
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.OP6_SQL}
+    return {"op2_url_filter": oracles.OP2, "op3_substring_dedup": oracles.OP3, "op6_warc": oracles.OP6, "op7_jaccard_join": oracles.OP7}

@@ -231,12 +231,3 @@ def op6(spark, sf_dir: str) -> DataFrame:
     found = shared.written(read(files.repartition(max(1, files.count()), "file"), folder), "warc-records")
     return joined(found).select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
-
-OP6_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-     q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS last FROM p)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
-FROM q
-"""
