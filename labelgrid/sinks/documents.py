@@ -72,16 +72,16 @@ def tile_info(spark: SparkSession, size: tuple[int, int, int], tiles: tuple[int,
     return spark.range(1).select(F.to_json(F.struct(*cols)).alias("json"))
 
 
-def vast_lines(segments: DataFrame) -> DataFrame:
+def segment_lines(segments: DataFrame) -> DataFrame:
     """Segment metadata rows (the 24 numbers and a name) as lines of the text format: ``nr, line``."""
-    from ..sources.vast import FIELDS
+    from ..sources.segments import FIELDS
 
     return segments.select("nr", F.concat(F.concat_ws("   ", *[F.col(c).cast("string") for c in FIELDS]), F.lit('   "'), F.col("name"), F.lit('"')).alias("line"))
 
 
-def vast_segments(tree: DataFrame, boxes: DataFrame) -> DataFrame:
+def segment_rows(tree: DataFrame, boxes: DataFrame) -> DataFrame:
     """All fields of segments from their links (``sibling_tree``) and boxes; a colour follows from the number."""
-    from ..sources.vast import FIELDS
+    from ..sources.segments import FIELDS
 
     box = boxes.select(F.col("label").alias("nr"), *[F.col(f"{a}{m}").alias(f"bbox{a}{i}") for i, m in ((1, "min"), (2, "max")) for a in "xyz"])
     both = tree.join(box, "nr", "left")
@@ -102,3 +102,8 @@ def shot_page(shots: DataFrame, title: str = "shots") -> str:
     items = "\n".join(f'<tr><td><input value="{r["frame"]}"></td><td><input value="{r["label"]}"></td></tr>' for r in rows)
     script = "function save(){const t=[...document.querySelectorAll('tr')].map(r=>[...r.querySelectorAll('input')].map(i=>i.value).join(',')+',');const a=document.createElement('a');a.href='data:text/csv,'+encodeURIComponent('shot_start,label,\\n'+t.join('\\n'));a.download='shots.csv';a.click()}"
     return f"<!DOCTYPE html><html><head><title>{title}</title><script>{script}</script></head><body><table>\n{items}\n</table><button onclick=\"save()\">CSV</button></body></html>"
+
+
+def layer(name: str, source: str, kind: str = "im", resolution: tuple[int, int, int] = (1, 1, 1), offset: tuple[int, int, int] = (0, 0, 0)) -> dict:
+    """A viewer layer. Resolution and offset are given in z, y, x and stand in x, y, z in the layer."""
+    return {"name": name, "type": "image" if kind == "im" else "segmentation", "source": {"url": source, "transform": {"outputDimensions": {a: [r * 1e-9, "m"] for a, r in zip("xyz", resolution[::-1])}, "offset": list(offset[::-1])}}}

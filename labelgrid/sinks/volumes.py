@@ -108,3 +108,55 @@ def write_pickles(path: str, *objects) -> None:
     with open(path, "wb") as f:
         for o in objects:
             pickle.dump(o, f)
+
+
+def write_blocks(df: DataFrame, folder: str, shape: tuple[int, int, int], block: tuple[int, int, int] = (64, 64, 64), offset: tuple[int, int, int] = (0, 0, 0), column: str = "label", dtype: str = "<u4") -> DataFrame:
+    """Raw blocks as a viewer reads them: one file a block, named by its range in x, y, z, with x running fastest. All numbers
+    are in z, y, x. Blocks without anything are not written. The files written."""
+
+    def save(key: tuple, table: pa.Table) -> pa.Table:
+        low = [k.as_py() * b for k, b in zip(key, block)]
+        high = [min(a + b, s) for a, b, s in zip(low, block, shape)]
+        out = np.zeros([b - a for a, b in zip(low, high)], dtype)
+        out[tuple(table[a].to_numpy() - o for a, o in zip("zyx", low))] = table[column].to_numpy()
+        name = "_".join(f"{low[i] + offset[i]}-{high[i] + offset[i]}" for i in (2, 1, 0))
+        return pa.table({"file": [_written(folder, name, out.tobytes())]})
+
+    keys = [F.floor(F.col(a) / b).cast("int").alias(f"c{a}") for a, b in zip("zyx", block)]
+    return df.where(F.col(column) > 0).select("*", *keys).groupBy("cz", "cy", "cx").applyInArrow(save, "file string")
+
+
+def write_h5(df: DataFrame, path: str, shape: tuple[int, int, int], dataset: str = "main", column: str = "label", slab: int = 64) -> None:
+    """One compressed dataset, written slab by slab: the format has one writer, so voxels arrive in slabs in order."""
+    import h5py
+
+    kind = "f8" if dict(df.dtypes)[column] == "double" else "i8"
+    with h5py.File(path, "w") as f:
+        out = f.create_dataset(dataset, shape, kind, compression="gzip")
+        for low in range(0, shape[0], slab):
+            rows = df.where((F.col("z") >= low) & (F.col("z") < low + slab)).select("z", "y", "x", column).toArrow()
+            part = np.zeros((min(slab, shape[0] - low), *shape[1:]), kind)
+            part[rows["z"].to_numpy() - low, rows["y"].to_numpy(), rows["x"].to_numpy()] = rows[column].to_numpy()
+            out[low : low + slab] = part
+
+
+def write_affinity(chunks: DataFrame, folder: str, shard: int = 0, shards: int = 1, done: DataFrame | None = None) -> DataFrame:
+    """Quantized affinities of the chunks of one shard that are not marked as done: ``key`` of each written chunk.
+    ``chunks``: key, c, z, y, x, value; the markers are what this returned before."""
+    from ..functions.scalar import quantize
+    from ..operators.ordered import not_done, sharded
+
+    keys = sharded(chunks.select("key").distinct(), shard, shards, "key")
+    if done is not None:
+        keys = not_done(keys, done, "key")
+    rows = chunks.join(keys, "key", "left_semi").withColumn("value", quantize("value"))
+
+    def save(key: tuple, table: pa.Table) -> pa.Table:
+        name = key[0].as_py()
+        at = [table[a].to_numpy() for a in ("c", "z", "y", "x")]
+        out = np.zeros([int(a.max()) + 1 for a in at], np.uint8)
+        out[tuple(at)] = table["value"].to_numpy()
+        _written(folder, f"{name}.raw", out.tobytes())
+        return pa.table({"key": [name]})
+
+    return rows.groupBy("key").applyInArrow(save, "key string")

@@ -12,7 +12,7 @@ FIELDS = [
 ]
 
 
-def read_vast(spark: SparkSession, path: str) -> DataFrame:
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """The numbers and ``name`` of each segment; comment and blank lines are skipped."""
     lines = spark.read.text(path).where("trim(value) != '' and not startswith(ltrim(value), '%')")
     return parsed(lines)

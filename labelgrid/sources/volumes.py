@@ -234,3 +234,68 @@ def merge_chunks(chunks: DataFrame, chunk: list[str], offset: dict[str, str] | N
     if accumulate:
         chunks = offset_labels(chunks, chunk, label)
     return chunks.withColumns({a: (F.col(a) + F.col(o)).cast("int") for a, o in (offset or {}).items()})
+
+
+def read_bbox(spark: SparkSession, path: str, z: tuple[int, int], y: tuple[int, int], x: tuple[int, int], dataset: str | None = None, ratio: dict[str, float] | None = None, order: int = 0) -> DataFrame:
+    """A half-open box of a volume, moved to the origin and resized by ``ratio``. Only its slabs are read."""
+    from ..operators.resample import resize, slices
+
+    df = read_volume(spark, path, dataset, z if path.endswith(tuple(OPENERS)) else None)
+    cut = slices(df, z, y, x)
+    value = "label" if "label" in cut.columns else "value"
+    return resize(cut, ratio, {"z": z[1] - z[0], "y": y[1] - y[0], "x": x[1] - x[0]}, value, order) if ratio else cut
+
+
+def read_image(spark: SparkSession, path: str, crop: tuple[int, int, int, int] | None = None, ratio: dict[str, float] | None = None, shape: dict[str, int] | None = None, order: int = 0, segmentation: bool = False) -> DataFrame:
+    """One image, resized (``shape`` is then its size) and cropped to (y0, y1, x0, x1), in this order."""
+    from ..model import in_box
+    from ..operators.resample import resize
+
+    df = read_images(spark, path, segmentation).drop("z")
+    if ratio:
+        df = resize(df, ratio, shape, "label" if segmentation else "value", order)
+    if crop:
+        df = in_box(df, y=crop[:2], x=crop[2:]).withColumns({"y": F.col("y") - crop[0], "x": F.col("x") - crop[2]})
+    return df
+
+
+def tile_volume(tiles: DataFrame, height: int, width: int, z: tuple[int, int], y: tuple[int, int], x: tuple[int, int], zstep: int = 1, shape: dict[str, int] | None = None, fill_blank: bool = False, value: str = "value") -> DataFrame:
+    """A box of a tiled stack. ``tiles``: z, row, column, y and x inside the tile, and a value; only tiles that the box meets
+    are read, places without a tile are 0, and the part of the box outside ``shape`` mirrors the volume.
+    With ``fill_blank``, blank slices take the slice before them."""
+    from ..operators.ordered import blank_fill
+    from ..operators.resample import reflect_pad, slices, stitch
+
+    size = {"z": z[1], "y": y[1], "x": x[1]} | (shape or {})
+    inner = {a: (max(b[0], 0), min(b[1], size[a])) for a, b in (("z", z), ("y", y), ("x", x))}
+    (z0, z1), (y0, y1), (x0, x1) = inner["z"], inner["y"], inner["x"]
+    met = tiles.where(F.col("row").between(y0 // height, (y1 - 1) // height) & F.col("column").between(x0 // width, (x1 - 1) // width) & (F.col("z") >= z0) & (F.col("z") < z1))
+    found = slices(stitch(met, height, width), *inner.values(), zstep)
+    spark = tiles.sparkSession
+    frame = spark.range(len(range(z0, z1, zstep))).select(F.col("id").cast("int").alias("z"))
+    for a, n in (("y", y1 - y0), ("x", x1 - x0)):
+        frame = frame.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    out = frame.join(found, ["z", "y", "x"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    if fill_blank:
+        out = blank_fill(out, label=value)
+    pad = {a: (max(-b[0], 0), max(b[1] - size[a], 0)) for a, b in (("y", y), ("x", x))}
+    return reflect_pad(out, {a: p for a, p in pad.items() if any(p)}, {"y": y1 - y0, "x": x1 - x0}) if any(map(any, pad.values())) else out
+
+
+def chunk_grid(chunks: DataFrame, size: tuple[int, int, int], z: tuple[int, int], y: tuple[int, int], x: tuple[int, int], channel: int = -1, step: tuple[int, int, int] = (1, 1, 1), accumulate: bool = False, mask: DataFrame | None = None, label: str = "label") -> DataFrame:
+    """A box of a grid of chunk files. ``chunks``: cz, cy, cx, the place inside the chunk, perhaps a channel c, and a label; only
+    chunks that the box meets are read. ``channel`` -1: the only one; -2: all. With ``accumulate``, labels of
+    chunks are made distinct in chunk order; ``mask`` multiplies."""
+    from ..operators.relabel import masked, offset_labels
+
+    box = {"z": z, "y": y, "x": x}
+    for (a, (low, high)), n in zip(box.items(), size):
+        chunks = chunks.where(F.col(f"c{a}").between(low // n, (high - 1) // n))
+    if "c" in chunks.columns and channel != -2:
+        chunks = chunks.where(F.col("c") == max(channel, 0)).drop("c")
+    if accumulate:
+        chunks = offset_labels(chunks, ["cz", "cy", "cx"], label)
+    for (a, (low, high)), n, s in zip(box.items(), size, step):
+        at = F.col(a) + F.col(f"c{a}") * n
+        chunks = chunks.withColumn(a, at.cast("int")).where((F.col(a) >= low) & (F.col(a) < high) & ((F.col(a) - low) % s == 0)).withColumn(a, F.floor((F.col(a) - low) / s).cast("int")).drop(f"c{a}")
+    return masked(chunks, mask, ["z", "y", "x"], label) if mask is not None else chunks

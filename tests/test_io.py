@@ -12,7 +12,7 @@ from labelgrid import model
 from labelgrid.operators import hierarchy, stats
 from labelgrid.sinks import documents
 from labelgrid.sinks import volumes as out
-from labelgrid.sources import vast
+from labelgrid.sources import segments
 from labelgrid.sources import volumes as src
 from labelgrid.streaming import ingest
 
@@ -89,9 +89,9 @@ def test_chunk_listing_is_ordered_by_name(spark, tmp_path):
 def test_segment_text_round_trip(spark, tmp_path):
     boxes = spark.createDataFrame([(1, 0, 2, 0, 2, 0, 2, 9), (2, 1, 5, 1, 5, 1, 5, 9), (3, 0, 1, 0, 1, 0, 1, 9)], model.BOX)
     tree = hierarchy.sibling_tree(boxes.withColumn("g", F.when(F.col("label") == 2, "bad").otherwise("good")), "g")
-    lines = documents.vast_lines(documents.vast_segments(tree, boxes))
+    lines = documents.segment_lines(documents.segment_rows(tree, boxes))
     out.write_lines(lines.unionByName(spark.createDataFrame([(None, "% a comment"), (None, "")], "nr long, line string")), str(tmp_path / "s"))
-    found = vast.read_vast(spark, str(tmp_path / "s"))
+    found = segments.read_segments(spark, str(tmp_path / "s"))
     by = {r["nr"]: r for r in found.collect()}
     assert len(by) == 5 and by[1]["name"] == "seg1" and by[1]["nextnr"] == 3 and by[3]["prevnr"] == 1 and by[2]["anchorx"] == 3
     assert by[4]["name"] == "bad" and by[4]["childnr"] == 2 and by[5]["childnr"] == 1 and by[1]["parentnr"] == 5
@@ -131,3 +131,64 @@ def test_ingest_resumes(spark, tmp_path, volume):
         q = ingest.ingest(ingest.arriving(spark, str(tmp_path / "in"), v.schema), lambda df, _: seen.append(df.count()), str(tmp_path / "c"))
         q.awaitTermination()
     assert sum(seen) == 2 * 7 * 8
+
+
+def test_box_is_read_and_resized(spark, tmp_path, volume):
+    np.save(tmp_path / "v.npy", volume)
+    df = src.read_bbox(spark, str(tmp_path / "v.npy"), (1, 5), (0, 6), (2, 8), ratio={"x": 0.5})
+    assert df.agg(F.max("z"), F.max("y"), F.max("x")).first()[:] == (3, 5, 2)
+    assert (as_array(src.read_bbox(spark, str(tmp_path / "v.npy"), (1, 5), (0, 6), (2, 8)), (4, 6, 6)) == volume[1:5, :6, 2:8]).all()
+
+
+def test_tiled_stack(spark):
+    rng = np.random.default_rng(1)
+    a = rng.integers(1, 9, (3, 8, 6))
+    a[1] = 0
+    rows = [(z, y // 4, x // 3, y % 4, x % 3, int(a[z, y, x])) for z in range(3) for y in range(8) for x in range(6) if not (y < 4 and x >= 3)]
+    tiles = spark.createDataFrame(rows, "z int, row int, column int, y int, x int, value int")
+    whole = a.copy()
+    whole[:, :4, 3:] = 0  # a tile is missing
+    whole[1] = whole[0]
+    out = src.tile_volume(tiles, 4, 3, (0, 3), (-2, 9), (1, 8), shape={"z": 3, "y": 8, "x": 6}, fill_blank=True)
+    assert (as_array(out, (3, 11, 7), "value") == np.pad(whole[:, :, 1:], ((0, 0), (2, 1), (0, 2)), "reflect")).all()
+
+
+def test_chunk_grid(spark):
+    a = np.arange(1, 4 * 4 * 4 + 1).reshape(4, 4, 4) % 5
+    rows = [(z // 2, y // 2, x // 2, 0, z % 2, y % 2, x % 2, int(a[z, y, x])) for z in range(4) for y in range(4) for x in range(4)]
+    chunks = spark.createDataFrame(rows, "cz int, cy int, cx int, c int, z int, y int, x int, label long")
+    got = src.chunk_grid(chunks, (2, 2, 2), (1, 4), (0, 4), (1, 3), step=(2, 1, 1))
+    assert (as_array(got, (2, 4, 2)) == a[1:4:2, :, 1:3]).all()
+    top, before, expected = {}, 0, np.zeros_like(a)
+    for key in np.ndindex(2, 2, 2):
+        part = tuple(slice(2 * k, 2 * k + 2) for k in key)
+        expected[part] = np.where(a[part] > 0, a[part] + before, 0)
+        before += a[part].max()
+    assert (as_array(src.chunk_grid(chunks, (2, 2, 2), (0, 4), (0, 4), (0, 4), accumulate=True), (4, 4, 4)) == expected).all()
+
+
+def test_raw_blocks(spark, tmp_path, volume):
+    volume[:4, :4, :4] = 0
+    files = [os.path.basename(r["file"]) for r in out.write_blocks(src.from_array(spark, volume), f"file://{tmp_path}", volume.shape, (4, 4, 4)).collect()]
+    assert "0-4_0-4_0-4" not in files and "4-8_0-4_4-6" in files
+    raw = np.frombuffer((tmp_path / "4-8_0-4_4-6").read_bytes(), "<u4").reshape(2, 4, 4)
+    assert (raw == volume[4:6, :4, 4:8]).all()
+
+
+def test_affinity_shards_resume(spark, tmp_path):
+    rows = [(f"k{i}", c, 0, 0, x, 0.5) for i in range(4) for c in range(3) for x in range(2)]
+    chunks = spark.createDataFrame(rows, "key string, c int, z int, y int, x int, value double")
+    first = out.write_affinity(chunks, f"file://{tmp_path}", 0, 2).collect()
+    assert sorted(r["key"] for r in first) == ["k0", "k2"]
+    done = spark.createDataFrame([("k0",)], "key string")
+    assert [r["key"] for r in out.write_affinity(chunks, f"file://{tmp_path}", 0, 2, done).collect()] == ["k2"]
+    assert (tmp_path / "k2.raw").read_bytes() == bytes([128] * 6)
+
+
+def test_job_scripts():
+    from labelgrid import jobs
+
+    scripts = jobs.submit_scripts("run -ji %d -jn %d", "j", 2)
+    assert scripts[1].startswith("#!/bin/bash") and "run -ji 1 -jn 2" in scripts[1]
+    assert jobs.parser().parse_args(["-t", "voi", "-i", "a", "-o", "b"]).job_num == 1
+    assert documents.layer("a", "u", "seg", (30, 6, 8))["source"]["transform"]["outputDimensions"]["z"][0] == pytest.approx(30e-9)
