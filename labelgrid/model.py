@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators.components import written
+from .storage import written
 
 AXES = ("z", "y", "x")
 VOXEL = T.StructType([T.StructField("z", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), T.StructField("label", T.LongType())])

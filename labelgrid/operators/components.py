@@ -6,26 +6,10 @@ so a vertex with very many neighbours is split like any other skewed join key.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_local: list[str] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written to the shared checkpoint folder and read again, which cuts the lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not _local:
-            _local.append("file://" + tempfile.mkdtemp(prefix="labelgrid-"))
-        folder = _local[0]
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import written
 
 
 def large_star(edges: DataFrame) -> DataFrame:

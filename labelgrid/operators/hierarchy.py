@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import has_keyword, midpoint
-from .components import connected_components, written
+from ..storage import written
+from .components import connected_components
 
 
 def hierarchy_relabel(segments: DataFrame, bad: list[str] = ("bad", "del"), keep: list[str] = ("merge",), id: str = "nr", parent: str = "parentnr", name: str = "name", resurrect: bool = False) -> DataFrame:

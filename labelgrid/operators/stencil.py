@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import axes_of, numbered
-from .components import connected_components, written
+from ..storage import written
+from .components import connected_components
 from .stats import bbox_all
 
 BITS = 21  # of each coordinate in a voxel's key
