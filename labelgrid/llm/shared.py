@@ -3,22 +3,10 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-_local: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the session has it; a temporary folder only where it is unset, as in tests."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if given:
-        return given.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="labelgrid-"))
-    return "file://" + _local[0]
+from ..storage import folder, fresh, written  # noqa: F401
 
 
 def bounded(spark: SparkSession, rows: int = 2000) -> None:
@@ -29,17 +17,6 @@ def bounded(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once as Parquet and read again: later steps neither recompute it nor keep its lineage."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose frames are gone; it does so when the driver collects garbage."""
     gc.collect()
