@@ -146,3 +146,26 @@ def track(voxels: DataFrame, z: str = "z", axes: list[str] = ("y", "x"), label:
     matched = best_match(pairs, sizes0.where("full").drop("full"), sizes, ["z"], min_iou)
     same = sizes0.where("not full").select("z", F.col("label").alias("id0"), F.col("label").alias("id1"), F.col("cnt").alias("n0"), F.col("cnt").alias("n1"), F.col("cnt").alias("overlap"))
     return matched.unionByName(same)
+
+
+def assembled(voxels: DataFrame, z: str = "z", axes: list[str] = ("y", "x"), label: str = "label", min_iou: float = 0.0) -> DataFrame:
+    """Labels of slices as objects of the volume: labels that ``track`` ties (over ``min_iou``) get one number, from 1 in the order
+    of their first slice and label. Only the table of labels is iterated over; voxels are relabelled by one join."""
+    from ..model import numbered
+    from .components import connected_components
+
+    axes = list(axes)
+    name = lambda s, i: F.struct(F.col(s).cast("long").alias("z"), F.col(i).cast("long").alias("id"))
+    fg = voxels.where(F.col(label) > 0)
+    nodes = fg.select(F.col(z).alias("z"), F.col(label).alias("id")).distinct().select(name("z", "id").alias("node"))
+    full = fg.select(F.col(z).alias("z")).distinct()
+    slices = voxels.select(F.col(z).alias("z")).distinct().join(full.withColumn("_full", F.lit(True)), "z", "left")
+    before = F.last(F.when(F.col("_full"), F.col("z")), ignorenulls=True).over(Window.orderBy("z").rowsBetween(Window.unboundedPreceding, -1))
+    prev = slices.select("z", before.alias("_prev"), "_full").where("_full and _prev is not null").drop("_full")
+    ties = track(voxels, z, axes, label, min_iou).where("overlap > 0").join(prev, "z").select(name("_prev", "id0").alias("a"), name("z", "id1").alias("b"))
+    found = connected_components(ties).withColumnRenamed("id", "node")
+    whole = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    ids = numbered(whole.select("component").distinct(), "component", name="_new", start=1)
+    mapping = whole.join(ids, "component").select(F.col("node.z").alias("_z"), F.col("node.id").alias("_id"), "_new")
+    out = voxels.join(mapping, (F.col(z) == F.col("_z")) & (F.col(label) == F.col("_id")), "left")
+    return out.withColumn(label, F.coalesce("_new", F.lit(0)).cast("long")).select(*voxels.columns)

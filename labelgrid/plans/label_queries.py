@@ -283,17 +283,33 @@ def _(spark, d):
     return _match(spark, d, 0.092)
 
 
-@query("slice_tracking", f"""WITH v AS ({E.BLANKED}), s AS (SELECT z, max(label) > 0 AS has FROM v GROUP BY z),
+TRACK = f"""WITH RECURSIVE v AS ({E.BLANKED}), s AS (SELECT z, max(label) > 0 AS has FROM v GROUP BY z),
 p AS (SELECT z, has, last_value(CASE WHEN has THEN z END IGNORE NULLS) OVER (ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM s),
 c AS (SELECT z, label, count(*) AS n FROM v WHERE label > 0 GROUP BY 1, 2),
 n AS (SELECT p.z, a.label AS a, b.label AS b, count(*) AS n FROM p JOIN v a ON a.z = p.prev JOIN v b ON b.z = p.z AND b.y = a.y AND b.x = a.x WHERE a.label > 0 AND b.label > 0 GROUP BY 1, 2, 3),
 best AS (SELECT z, a, b, n FROM n QUALIFY row_number() OVER (PARTITION BY z, a ORDER BY n DESC, b) = 1)
 SELECT p.z, o.label AS id0, CASE WHEN p.has THEN coalesce(b, 0) ELSE o.label END AS id1, o.n AS n0, CASE WHEN p.has THEN coalesce(t.n, 0) ELSE o.n END AS n1, CASE WHEN p.has THEN coalesce(best.n, 0) ELSE o.n END AS overlap
-FROM p JOIN c o ON o.z = p.prev LEFT JOIN best ON best.z = p.z AND a = o.label LEFT JOIN c t ON t.z = p.z AND t.label = b WHERE p.prev IS NOT NULL""")
+FROM p JOIN c o ON o.z = p.prev LEFT JOIN best ON best.z = p.z AND a = o.label LEFT JOIN c t ON t.z = p.z AND t.label = b WHERE p.prev IS NOT NULL"""
+
+
+@query("slice_tracking", TRACK)
 def _(spark, d):
     return overlap.track(E.blanked(spark, d))
 
 
+ASSEMBLED = TRACK.replace("SELECT p.z, o.label AS id0", "m AS (SELECT p.prev, p.has, p.z, o.label AS id0").replace("ORDER BY n DESC, b) = 1)\nm AS", "ORDER BY n DESC, b) = 1),\nm AS") + """),
+k AS (SELECT prev * 1000 + id0 AS a, z * 1000 + id1 AS b FROM m WHERE has AND overlap / (n0 + n1 - overlap) > 0.2),
+g AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+r AS (SELECT z * 1000 + label AS id, z * 1000 + label AS o FROM c UNION SELECT r.id, g.b FROM r JOIN g ON g.a = r.o),
+q AS (SELECT id, min(o) AS component FROM r GROUP BY id), w AS (SELECT id, dense_rank() OVER (ORDER BY component) AS new FROM q)
+SELECT v.z, v.y, v.x, CAST(coalesce(new, 0) AS BIGINT) AS label FROM v LEFT JOIN w ON w.id = v.z * 1000 + v.label AND v.label > 0"""
+
+
+@query("track_assembly", ASSEMBLED)
+def _(spark, d):
+    return overlap.assembled(E.blanked(spark, d).drop("value"), min_iou=0.2)
+
+
 @query("masked_rand", f"WITH v AS (SELECT label AS gt, CAST(CASE WHEN (x + y) % 5 = 0 THEN 0 ELSE label % 11 END AS BIGINT) AS seg FROM ({E.GRID}))" + ARAND)
 def _(spark, d):
     v = E.grid(spark, d)
