@@ -2,7 +2,8 @@
 
 Rabin-Karp hashes of every window of ``length`` words are merged per group of documents,
 counted over all groups in hash buckets, and answered back to the groups; repeated windows
-of a document merge into maximal intervals of removed words. Groups are ranges of the id,
+of a document merge into maximal intervals of removed words. A window is known by 80 bits: a hash
+of 64, and 16 of a second one. Groups are ranges of the id,
 so "an earlier group has it" needs only the hash; inside a group, ids are compared.
 
 Defined cases: a null text has no words; a null id is neither earlier nor later than any
@@ -23,18 +24,49 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import text as T
 
-WINDOW = 13
+WINDOW, CHECK, CHECK_SEED = 13, np.uint64(0xFFFF), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def _windows(column, length: int):
-    """Bytes, words and window hashes of a string column; row of each window, and its first word."""
+    """Bytes and words of a string column; hash, check bits, row and first word of each window.
+
+    The check bits are those of a second, independent hash: windows are equal only if both agree."""
     buf, off = T.flat(column)
     starts, ends, woff = T.words(buf, off)
-    roll = T.rolling(T.hashes(buf, starts, ends), length)
+    unit = T.hashes(buf, starts, ends)
+    roll, check = T.rolling(unit, length), T.rolling(T.mix(unit ^ CHECK_SEED), length) & CHECK
     n = np.diff(woff) - length + 1
     n[n < 0] = 0
     at = T.ragged(woff[:-1], n)
-    return buf, off, starts, ends, woff, roll[at], np.repeat(np.arange(len(n)), n), at
+    return buf, off, starts, ends, woff, roll[at], check[at], np.repeat(np.arange(len(n)), n), at
+
+
+def _by_value(h: np.ndarray, check: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order by hash, check bits and ``last``, and where a new window begins in it. Sorting by check bits is left out
+    where no two windows with the same hash differ in them, as is nearly always so."""
+    order = np.argsort(h, kind="stable") if last is None else np.lexsort((last, h))
+    sh, sc = h[order], check[order]
+    same = sh[1:] == sh[:-1]
+    if (same & (sc[1:] != sc[:-1])).any():
+        order = np.lexsort(((np.arange(len(h)) if last is None else last), check, h))
+        sh, sc = h[order], check[order]
+        same = sh[1:] == sh[:-1]
+    return order, np.concatenate([[True], ~same | (sc[1:] != sc[:-1])]) if len(h) else np.zeros(0, bool)
+
+
+def _seen(known: np.ndarray, checks: np.ndarray, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Which windows are among ``known`` (ascending by hash, equal hashes with different check bits)."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    at = np.searchsorted(known, h)
+    out, run = np.zeros(len(h), bool), 0
+    while True:
+        here = np.minimum(at + run, len(known) - 1)
+        same = known[here] == h
+        out |= same & (checks[here] == check)
+        run += 1
+        if run >= len(known) or not (known[run:] == known[:-run]).any():
+            return out
 
 
 def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -42,15 +74,15 @@ def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _earlier_inside(ids, known, row, h) -> np.ndarray:
+def _earlier_inside(ids, known, row, h, check) -> np.ndarray:
     """Windows that a smaller id of the same table has."""
     out = np.zeros(len(h), bool)
     use = np.flatnonzero(known[row])
-    order = use[np.lexsort((ids[row[use]], h[use]))]
+    order, new = _by_value(h[use], check[use], ids[row[use]])
+    order = use[order]
     if len(order):
-        sh, sid = h[order], ids[row[order]]
-        first = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
-        least = np.repeat(sid[first], np.diff(np.append(first, len(sh))))
+        sid, first = ids[row[order]], np.flatnonzero(new)
+        least = np.repeat(sid[first], np.diff(np.append(first, len(sid))))
         out[order] = sid > least
     return out
 
@@ -83,26 +115,30 @@ def _kept_bytes(buf, off, starts, ends, woff, gone):
 def _sender(length: int, buckets: int):
     def send(key: tuple, table: pa.Table) -> pa.Table:
         ids, known = _ids(table)
-        *_, h, row, _ = _windows(table["text"], length)
-        return pa.Table.from_batches([X.to_buckets(key[0].as_py(), np.unique(h[known[row]]), None, buckets)])
+        *_, h, check, row, _ = _windows(table["text"], length)
+        h, check = h[known[row]], check[known[row]]
+        order, new = _by_value(h, check)
+        order = order[new]
+        return pa.Table.from_batches([X.to_buckets(key[0].as_py(), h[order], check[order], buckets)])
 
     return send
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    h, g, _, first = X.merged(table)
-    later = np.ones(len(h), bool)
-    later[first] = False
-    return pa.Table.from_batches([X.replies(key[0].as_py(), g[later], h[later], None)])
+    """Windows that an earlier group has, to each group that has them too."""
+    h, g, check, _ = X.merged(table)
+    order, new = _by_value(h, check)
+    later = np.sort(order[~new])
+    return pa.Table.from_batches([X.replies(key[0].as_py(), g[later], h[later], check[later])])
 
 
 def _remover(length: int, schema: pa.Schema, texts: bool):
     def remove(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        seen, _ = X.received(told)
+        seen, checks = X.received(told)
         ids, known = _ids(docs)
-        buf, off, starts, ends, woff, h, row, at = _windows(docs["text"], length)
-        hit = X.found(seen, h)[1] & known[row]
-        hit |= _earlier_inside(ids, known, row, h)
+        buf, off, starts, ends, woff, h, check, row, at = _windows(docs["text"], length)
+        hit = _seen(seen, checks, h, check) & known[row]
+        hit |= _earlier_inside(ids, known, row, h, check)
         gone = _covered(len(starts), at[hit], length)
         kept, koff = _kept_bytes(buf, off, starts, ends, woff, gone)
         total = np.concatenate([[0], np.cumsum(gone)])

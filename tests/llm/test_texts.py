@@ -309,3 +309,29 @@ def test_statistics_of_one_text_do_not_depend_on_the_batch(documents):
     texts = [t for _, t in rows_of(documents)][:50]
     whole = quality.statistics(pa.array(texts))
     assert all(np.allclose(whole[i], quality.statistics(pa.array([t]))[0]) for i, t in enumerate(texts))
+
+
+def test_windows_whose_hashes_collide(documents, monkeypatch):
+    """With few hash bits, the check bits tell windows apart."""
+    rolling = T.rolling
+
+    def narrow(units, length):
+        out = rolling(units, length)
+        return out & np.uint64(0xFFF) << np.uint64(52) if not narrow.second else out
+
+    def windows(column, length, plain=substring._windows):
+        narrow.second = False
+        found = list(plain(column, length))
+        found[6] = rolling(T.mix(T.hashes(found[0], found[2], found[3]) ^ substring.CHECK_SEED), length)[found[8]]
+        return tuple(found)
+
+    texts = pa.table({"id": [1, 2, 3], "text": [t for _, t in rows_of(documents)[:3]]})
+    both = pa.concat_tables([texts, pa.table({"id": [7, 8, 9], "text": texts["text"]})])
+    monkeypatch.setattr(T, "rolling", narrow)
+    monkeypatch.setattr(substring, "_windows", windows)
+    sent = substring._sender(13, 1)((pa.scalar(0),), texts)
+    later = substring._sender(13, 1)((pa.scalar(1),), both)
+    told = substring._answer((pa.scalar(0),), pa.concat_tables([later, sent]))
+    out = substring._remover(13, pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]), False)((pa.scalar(1),), both, told)
+    whole = brute.without_repeats([(0, " \n ".join(texts["text"].to_pylist())), *zip([1, 2, 3, 7, 8, 9], both["text"].to_pylist())])
+    assert out["n_removed"].to_pylist() == [whole[d][1] for d in (1, 2, 3, 7, 8, 9)]
