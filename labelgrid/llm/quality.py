@@ -197,7 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 stats = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * len(NAMES), pa.int32()), pa.array(statistics(part.column("text")).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), stats], names=["id", "y", "x"])
 
-    rows = texts.mapInArrow(T.steady(measure), "id long, y int, x array<double>").limit(2 * sample).toArrow()
+    # of rows that share an id, one is learned from: at most ``sample`` rows of numbers reach the driver
+    measured = texts.mapInArrow(T.steady(measure), "id long, y int, x array<double>")
+    rows = measured.groupBy("id").agg(F.min(F.struct("y", "x")).alias("r")).select("id", "r.y", "r.x").toArrow()
     x = np.array(rows["x"].combine_chunks().flatten()).reshape(-1, len(NAMES)) if rows.num_rows else np.zeros((0, len(NAMES)))
     y, ids = rows["y"].to_numpy().astype(float), rows["id"].to_numpy()
     order = np.lexsort((*x.T, ids))
