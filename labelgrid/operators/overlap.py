@@ -38,14 +38,13 @@ def _with_marginals(table: DataFrame) -> DataFrame:
 
 def adapted_rand(pairs: DataFrame) -> DataFrame:
     """``error, precision, recall`` of a segmentation against a ground truth whose label 0 is not counted."""
-    table = contingency(pairs)
-    total = table.agg(F.sum("n").cast("double").alias("n"))
-    gt = table.where("gt > 0")
-    rows = gt.groupBy("gt").agg(F.sum("n").cast("double").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("a"))
-    cols = gt.where("seg > 0").groupBy("seg").agg(F.sum("n").cast("double").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("b"))
-    cells = gt.agg(F.sum(F.when(F.col("seg") > 0, F.col("n").cast("double") * F.col("n"))).alias("ab"), F.sum(F.when(F.col("seg") == 0, F.col("n"))).cast("double").alias("c"))
-    one = total.crossJoin(rows).crossJoin(cols).crossJoin(cells)
-    # in counts; foreground voxels that the segmentation leaves out add their share of all voxels to both sums
+    table = contingency(pairs).withColumn("n", F.col("n").cast("double"))
+    fg, both_fg = F.col("gt") > 0, (F.col("gt") > 0) & (F.col("seg") > 0)
+    # a sum of squared marginals is the sum over pairs of the pair's count times its marginal: one pass over the pairs
+    wide = table.withColumns({"row": F.sum("n").over(Window.partitionBy("gt")), "col": F.sum(F.when(both_fg, F.col("n"))).over(Window.partitionBy("seg"))})
+    n = F.col("n")
+    one = wide.agg(F.sum("n").alias("n"), F.sum(F.when(fg, n * F.col("row"))).alias("a"), F.sum(F.when(both_fg, n * F.col("col"))).alias("b"), F.sum(F.when(both_fg, n * n)).alias("ab"), F.sum(F.when(fg & (F.col("seg") == 0), n)).alias("c"))
+    # foreground voxels that the segmentation leaves out add their share of all voxels to both sums
     zero = F.lit(0.0)
     lone = F.coalesce(F.col("c") / F.col("n"), zero)
     both = F.coalesce("ab", zero) + lone

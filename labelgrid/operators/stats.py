@@ -15,8 +15,9 @@ def label_count(df: DataFrame, label: str = "label", drop_zero: bool = False) ->
     counts = df.groupBy(F.col(label).cast("long").alias("label")).agg(F.count("*").alias("cnt"))
     if drop_zero:
         return counts.where("label != 0")
-    top = counts.agg(F.max("label").alias("_top"))
-    return counts.crossJoin(F.broadcast(top)).where("_top > 1 or (_top = 1 and label = 1)").drop("_top")
+    # both columns are used, so that the counts are computed once for both sides
+    top = counts.agg(F.max(F.struct("label", "cnt")).alias("_top"))
+    return counts.crossJoin(F.broadcast(top)).where("_top.label > 1 or (_top.label = 1 and label = 1)").drop("_top")
 
 
 def label_sizes(df: DataFrame, label: str = "label") -> DataFrame:
