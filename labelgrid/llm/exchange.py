@@ -101,8 +101,10 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def group_count(total: int, group_bytes: int = 4 * MB, most_bytes: int = 256 * MB, many: int = 4096) -> int:
-    """How many groups so many bytes of text need: ``group_bytes`` each, and more once there would be over ``many`` groups."""
+def group_count(total: int, group_bytes: int = 4 * MB, most_bytes: int = 128 * MB, many: int = 8192) -> int:
+    """How many groups so many bytes of text need. A group has ``group_bytes``; once there would be over ``many`` groups they
+    grow, up to ``most_bytes``, so that the blobs between groups and buckets do not become tiny. A task holds about
+    25 times its group while it counts."""
     each = min(max(group_bytes, total // many), most_bytes)
     return max(1, -(-total // each))
 
