@@ -247,3 +247,35 @@ def test_clahe_of_a_flat_image_is_flat(spark):
 def test_gaussian_attention(spark):
     v = spark.range(3).select(scalar.gaussian_attention("id", 1, 2, 3, 4).alias("a")).collect()
     assert [r["a"] for r in v] == [round(math.exp(-((x - 1) ** 2 / (360 * 3) + (x - 2) ** 2 / (640 * 4)))) for x in range(3)]
+
+
+@pytest.mark.parametrize("name", ["contingency", "seg_iou", "slice_tracking", "relabel_by_size", "acc_id_offset", "voxel_components"])
+def test_results_do_not_depend_on_partitions(spark, sf, name):
+    from labelgrid.plans import catalogue
+
+    before, runs = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("1", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found = catalogue.queries()[name](spark, sf)
+        runs.append(sorted(map(repr, found.select(*sorted(found.columns)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert runs[0] == runs[1]
+
+
+def test_scores_do_not_depend_on_label_names(spark):
+    rng = np.random.default_rng(6)
+    seg, gt = rng.integers(0, 5, (4, 9, 9)), rng.integers(0, 4, (4, 9, 9))
+    names = np.array([0, 3, 4, 1, 2])
+    score = lambda s: overlap.adapted_rand(pairs(spark, s, gt)).first()[:] + overlap.voi(pairs(spark, s, gt)).first()[:]
+    assert score(seg) == pytest.approx(score(names[seg]))
+
+
+def test_merging_boxes_commutes(spark):
+    a, b = (stats.bbox_all(table(spark, v)) for v in (GT, SEG))
+    assert sorted(map(tuple, stats.merge_boxes(a, b).collect())) == sorted(map(tuple, stats.merge_boxes(b, a).collect()))
+
+
+def test_objects_from_slices(spark):
+    a = np.array([[[1, 1, 0, 2]], [[0, 0, 0, 0]], [[5, 5, 0, 0]], [[7, 0, 0, 2]]])
+    out = array(overlap.assembled(table(spark, a)), a.shape)
+    assert out[:, 0].tolist() == [[1, 1, 0, 2], [0, 0, 0, 0], [1, 1, 0, 0], [1, 0, 0, 3]]
