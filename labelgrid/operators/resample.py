@@ -66,11 +66,6 @@ def reflect_pad(df: DataFrame, pad: dict[str, tuple[int, int]], shape: dict[str,
     return df
 
 
-def _grid(spark, sizes: dict[str, tuple[int, int]]) -> dict[str, list]:
-    """For each axis, source places and weights are functions of the output place."""
-    return {a: [(n - 1) / (m - 1) if m > 1 else 0.0, n] for a, (n, m) in sizes.items()}
-
-
 def resize(df: DataFrame, ratio: dict[str, float], shape: dict[str, int], value: str = "value", order: int = 0) -> DataFrame:
     """Spline zoom of order 0 (nearest) or 1 (linear): ends of the axes are matched, sizes rounded. A ratio of 1 is the identity.
 

@@ -11,8 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ceil_div
-
 KINDS = {"im": ("image", "uint8", "jpeg"), "seg": ("segmentation", "uint32", "compressed_segmentation"), "skel": ("segmentation", "uint32", "raw")}
 
 
