@@ -311,8 +311,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # shingle regions with two members or more, and the cells that they form
     entries = member.select("id", F.explode("prefix").alias("s"))
     least = entries.groupBy("s").agg(F.min("id").alias("m"), F.count("*").alias("c")).where("c > 1").select("s", "m")
-    # the same id with several sets is one vertex: an edge of its own
-    again = rows.where("id is not null").groupBy("id").agg(F.min("f1").alias("x"), F.max("f1").alias("y"), F.min("f2").alias("z"), F.max("f2").alias("w")).where("x != y or z != w").select("id")
     edges = entries.join(least, "s").where("id != m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
     cells = connected_components(edges)
     cells = member.join(cells.withColumnRenamed("component", "cell"), "id").select(F.col("cell").cast("string").alias("cell"), "id", "prefix", "shingles")
@@ -320,15 +318,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     small, links = _split_cells(cells, percent, cell_bytes)
     joined = shared.written(small.groupBy("cell").applyInArrow(T.one(_joiner(percent)), "id long, component long"), "links")
     same = joined.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)
-    sets = rows.where("id is not null and n > 0").select("id", "f1", "f2")
-    twice = sets.join(again, "id", "left_semi")
-    same = same.unionByName(twice.join(member.select("f1", "f2", F.col("id").alias("b")), ["f1", "f2"]).select(F.col("id").alias("a"), "b").where("a != b"))
-    roots = connected_components(same)
+    # rows that share an id are one vertex: its sets are tied, and every such row has the vertex' component
+    sets = rows.where("id is not null").groupBy("id").agg(F.min("f1").alias("x"), F.max("f1").alias("y"), F.min("f2").alias("z"), F.max("f2").alias("w"))
+    several = shared.written(sets.where("x != y or z != w").select("id"), "several")
+    tied = rows.where("n > 0").select("id", "f1", "f2").join(several, "id", "left_semi").join(member.select("f1", "f2", F.col("id").alias("b")), ["f1", "f2"])
+    roots = connected_components(same.unionByName(tied.select(F.col("id").alias("a"), "b").where("a != b")))
     # members are few and their copies many: the copies' side is salted against a set that a third of all rows share
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     named = member.join(roots, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"), salt)
     found = rows.drop("prefix", "shingles").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(named, ["f1", "f2", "salt"], "left")
-    return found.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id"))).alias("component_id"))
+    vertex = several.join(roots, "id").select("id", F.col("component").alias("vertex"))
+    found = found.join(vertex, "id", "left")
+    own = F.coalesce("vertex", F.when(F.col("n") > 0, F.col("component")), F.col("id"))
+    return found.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:

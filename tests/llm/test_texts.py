@@ -138,8 +138,9 @@ def test_join_defined_cases(odd):
 
 def test_same_id_with_different_texts_is_one_vertex(spark):
     a, b = " ".join("abcdefghij"), " ".join("klmnopqrst")
-    df = spark.createDataFrame([(5, a), (5, b), (3, a), (9, b)], "doc_id long, text string")
-    assert {(r["id"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()} == {(3, 3), (5, 3), (9, 3)}
+    df = spark.createDataFrame([(5, a), (5, b), (5, "a text of its own"), (5, None), (3, a), (9, b), (8, "another text")], "doc_id long, text string")
+    out = jaccard.jaccard_components(df).collect()
+    assert {(r["id"], r["component_id"]) for r in out} == {(3, 3), (5, 3), (9, 3), (8, 8)} and len(out) == 7
 
 
 def test_representatives(odd):
