@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..model import axes_of, numbered
 from ..storage import written
-from .components import connected_components
+from .components import connected_components, linked_minima
 from .stats import bbox_all
 
 BITS = 21  # of each coordinate in a voxel's key
@@ -172,20 +172,7 @@ def _block_labels(axes: list[str], moves: list[tuple[int, ...]], names: list[str
             hit = np.flatnonzero(code[at] == code + step)
             ends.append((hit, at[hit]))
         a, b = (np.concatenate(x) for x in zip(*ends))
-        root = np.arange(n)
-        while True:
-            low_ = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, root[a], low_)
-            np.minimum.at(new, root[b], low_)
-            while True:
-                jump = new[new]
-                if (jump == new).all():
-                    break
-                new = jump
-            if (new == root).all():
-                break
-            root = new
+        root = linked_minima(a, b, n)
         # the least place of each part names it
         out = np.empty(n, np.int64)
         keys = table["_key"].to_numpy()[order]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelgrid import model
 from labelgrid.functions import scalar
-from labelgrid.operators import hierarchy, ordered, overlap, relabel, resample, stats, stencil
+from labelgrid.operators import components, hierarchy, ordered, overlap, relabel, resample, stats, stencil
 from labelgrid.operators.components import connected_components
 from labelgrid.sources.volumes import from_array
 
@@ -195,13 +195,27 @@ def test_opening_and_closing(spark):
     assert got.tolist() == closed.tolist()
 
 
-def test_components_do_not_depend_on_order(spark):
+@pytest.mark.parametrize("small", [1 << 18, 60, 0])
+def test_components_do_not_depend_on_order(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(5, 5), (None, 3)]
     a = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     b = connected_components(spark.createDataFrame([(y, x) for x, y in reversed(edges)], "a long, b long").repartition(7)).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert len({r["id"] for r in a}) == len(a)
+    parent = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for x, y in edges:
+        if x is not None:
+            x, y = sorted((root(x), root(y)))
+            parent[y] = x
+    assert {r["id"]: r["component"] for r in a} == {v: root(v) for v in list(parent)}
 
 
 def test_numbered_is_dense(spark):
