@@ -40,6 +40,12 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
 
 
+def rule_table(spark, rules=RULES) -> DataFrame:
+    """Rules as a table: ``rule, verdict``."""
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for r, v in rules])
+    return spark.range(1).select(F.inline(rows))
+
+
 def fitting(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """``host, rules``: the rules of each host's domains, the longest first, for hosts that have any."""
     split_rule = rules.select("rule", "verdict", F.substring_index("rule", "/", 1).alias("domain"), F.expr("substring(rule, instr(rule, '/'))").alias("prefix"))
@@ -98,5 +104,4 @@ def judged(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str =
 
 def op2(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    rules = spark.createDataFrame(list(RULES), "rule string, verdict string")
-    return judged(pages, rules).withColumnRenamed("page", "page_id")
+    return judged(pages, rule_table(spark)).withColumnRenamed("page", "page_id")

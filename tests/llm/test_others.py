@@ -17,7 +17,7 @@ from labelgrid.llm import ann, bpe, jpeg, queries, quality, shared, urls, warc
 
 def verdicts(spark, rows, rules=urls.RULES):
     pages = spark.createDataFrame([(*r, 7, "x") for r in rows], "page_id long, url string, html string, host int, verdict string")
-    out = urls.judged(pages, spark.createDataFrame(list(rules), "rule string, verdict string"))
+    out = urls.judged(pages, urls.rule_table(spark, rules))
     return {r["page"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
 
 
@@ -68,7 +68,7 @@ def test_no_python_in_the_plan(spark, sf):
 
 def test_empty_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").limit(0)
-    assert urls.judged(pages, spark.createDataFrame(list(urls.RULES), "rule string, verdict string")).collect() == []
+    assert urls.judged(pages, urls.rule_table(spark)).collect() == []
 
 
 # --- archives
