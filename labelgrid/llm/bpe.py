@@ -90,16 +90,31 @@ class Vocabulary:
         self._forget()
 
     def _trie(self) -> None:
-        # nodes that go on come first, so that the table of steps has no rows for leaves
+        # nodes that go on come first; their steps lie in one shared array, each node's at an offset of its own
         nodes: dict[bytes, int] = dict.fromkeys([b"", *(t[:k] for t in self.tokens for k in range(1, len(t)))])
         self.inner = len(nodes)
         nodes.update(dict.fromkeys(self.tokens))
         for i, p in enumerate(nodes):
             nodes[p] = i
-        self.next = np.full(self.inner * 256, -1, np.int32)
+        steps: list[list[tuple[int, int]]] = [[] for _ in range(self.inner)]
         for p, i in nodes.items():
             if p:
-                self.next[nodes[p[:-1]] * 256 + p[-1]] = i
+                steps[nodes[p[:-1]]].append((p[-1], i))
+        used = bytearray(256 * (self.inner + 2))
+        self.base, self.owner, self.step = np.zeros(self.inner, np.int32), np.full(len(used), -1, np.int32), np.zeros(len(used), np.int32)
+        low = end = 256
+        for i in sorted(range(self.inner), key=lambda i: -len(steps[i])):
+            signs = [c for c, _ in steps[i]]
+            while used[low]:
+                low += 1
+            # a few tries in the gaps, then behind all others; nodes with one step come last and fill the gaps
+            first = low - min(signs)
+            base = next((b for b in range(first, first + 16) if not any(used[b + c] for c in signs)), end - min(signs))
+            self.base[i], end = base, max(end, base + max(signs) + 1)
+            for c, j in steps[i]:
+                used[base + c], self.owner[base + c], self.step[base + c] = 1, i, j
+        # a step looks at most 255 places behind a base
+        self.owner, self.step = self.owner[: end + 256].copy(), self.step[: end + 256].copy()
         self.accepts = np.full(len(nodes), -1, np.int32)
         for i, t in enumerate(self.tokens):
             self.accepts[nodes[t]] = i
@@ -116,12 +131,12 @@ class Vocabulary:
         found, where, count = [], [], np.zeros(len(starts), np.int64)
         while len(lanes):
             at, end = pos.copy(), ends[lanes]
-            node, best, best_end = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64), pos.copy()
+            node, best, best_end = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int64), pos.copy()
             live = np.arange(len(lanes))
             while len(live):
-                node = self.next[node * 256 + buf[at[live]]].astype(np.int64)
-                ok = node >= 0
-                live, node = live[ok], node[ok]
+                slot = self.base[node] + buf[at[live]]
+                ok = self.owner[slot] == node
+                live, node = live[ok], self.step[slot[ok]]
                 at[live] += 1
                 token = self.accepts[node]
                 hit = token >= 0
