@@ -50,6 +50,7 @@ def test_rolling_hash_depends_on_the_window_only():
     assert (both[50:] == both[7 : 7 + len(both) - 50]).all() and len(set(both[:38].tolist())) == 38
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=40))
 def test_blobs_round_trip(values):
     h = np.array(sorted(values), np.uint64)
