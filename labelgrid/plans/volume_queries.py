@@ -66,27 +66,40 @@ def _(spark, d):
     return stencil.sphericity(E.grid(spark, d)).withColumn("sphericity", F.round("sphericity", 9))
 
 
-@query("fill_holes")
+# connected components by reachability: each voxel with all that it reaches
+REACH = G.replace("WITH v", "WITH RECURSIVE v") + """, f AS (SELECT z * 1280 + y * 64 + x AS k, z, y, x, label FROM v WHERE label > 0),
+e AS (SELECT a.k AS a, b.k AS b FROM f a JOIN f b ON b.label = a.label AND {0}), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT k AS id, k AS o FROM f UNION SELECT r.id, n.b FROM r JOIN n ON n.a = r.o),
+c AS (SELECT id, min(o) AS m FROM r GROUP BY id), p AS (SELECT z, y, x, label, m, {1} AS component FROM f JOIN c ON c.id = f.k) """
+NEXT = "(b.z = a.z AND b.y = a.y AND b.x = a.x + 1 OR b.z = a.z AND b.y = a.y + 1 AND b.x = a.x{0})"
+VOLUME = REACH.format(NEXT.format(" OR b.z = a.z + 1 AND b.y = a.y AND b.x = a.x"), "dense_rank() OVER (ORDER BY m)")
+
+
+@query("fill_holes", G.replace("WITH v", "WITH RECURSIVE v") + f""", {CROSS},
+b AS (SELECT label, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM v WHERE label > 0 GROUP BY 1),
+h AS (SELECT b.label AS l, v.z, v.y, v.x, v.z IN (z0, z1) OR v.y IN (y0, y1) OR v.x IN (x0, x1) AS rim FROM b JOIN v ON v.z BETWEEN z0 AND z1 AND v.y BETWEEN y0 AND y1 AND v.x BETWEEN x0 AND x1 WHERE v.label <> b.label),
+u AS (SELECT l, z, y, x FROM h WHERE rim UNION SELECT h.l, h.z, h.y, h.x FROM u, o, h WHERE h.l = u.l AND h.z = u.z + dz AND h.y = u.y + dy AND h.x = u.x + dx),
+p AS (SELECT label AS l, z, y, x FROM v WHERE label > 0 UNION ALL SELECT l, z, y, x FROM (SELECT l, z, y, x FROM h EXCEPT SELECT l, z, y, x FROM u))""" + MERGED)
 def _(spark, d):
     return stencil.fill_holes(E.grid(spark, d).drop("value"))
 
 
-@query("voxel_components")
+@query("voxel_components", VOLUME + "SELECT z, y, x, label, component FROM p")
 def _(spark, d):
     return stencil.voxel_components(E.grid(spark, d).drop("value"))
 
 
-@query("slice_components")
+@query("slice_components", REACH.format(NEXT.format(""), "dense_rank() OVER (PARTITION BY z ORDER BY m)") + "SELECT z, y, x, label, component FROM p")
 def _(spark, d):
     return stencil.slice_components(E.grid(spark, d).drop("value"))
 
 
-@query("biggest_component")
+@query("biggest_component", VOLUME + "SELECT z, y, x, component AS label FROM p WHERE component = (SELECT component FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
 def _(spark, d):
     return stencil.biggest_component(E.grid(spark, d).drop("value"))
 
 
-@query("remove_small_components")
+@query("remove_small_components", VOLUME + "SELECT z, y, x, CAST(CASE WHEN count(*) OVER (PARTITION BY component) < 30 THEN 0 ELSE component END AS BIGINT) AS label FROM p")
 def _(spark, d):
     return stencil.remove_small_components(E.grid(spark, d).drop("value"), 30)
 
