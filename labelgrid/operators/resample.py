@@ -162,4 +162,4 @@ def clahe(df: DataFrame, shape: dict[str, int], value: str = "value", tiles: tup
     looked = (below + F.col("_e") * (F.col(value) + 1)) * 255 / F.col("_all")
     rest = [c for c in df.columns if c != value]
     out = met.withColumn("_s", F.col("_w") * looked).groupBy(*rest, value).agg(F.sum("_s").alias("_s"))
-    return out.select(*rest, F.least(F.greatest(F.floor(F.col("_s") + 0.5), F.lit(0)), F.lit(255)).cast("int").alias(value))
+    return out.select(*rest, F.least(F.greatest(F.floor(F.round("_s", 6) + 0.5), F.lit(0)), F.lit(255)).cast("int").alias(value))

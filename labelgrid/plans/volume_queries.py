@@ -162,7 +162,16 @@ def _(spark, d):
     return resample.stitch(tiles, 20, 64)
 
 
-@query("clahe")
+@query("clahe", f"""WITH v AS (SELECT z, y, x, CAST(floor(least(greatest(value + 0.5, 0.0::DOUBLE), 1.0::DOUBLE) * 255) AS INTEGER) AS value FROM ({E.GRID})),
+h AS (SELECT z, y // 10 AS ty, x // 16 AS tx, value AS b, count(*) AS n FROM v GROUP BY 1, 2, 3, 4),
+a AS (SELECT *, sum(n) OVER (PARTITION BY z, ty, tx) AS al FROM h), m AS (SELECT *, greatest(1, floor(2.0::DOUBLE * al / 256)) AS most FROM a),
+t AS (SELECT z, ty, tx, b, al, sum(least(n, most)) OVER (PARTITION BY z, ty, tx ORDER BY b) AS c, sum(greatest(n - most, 0)) OVER (PARTITION BY z, ty, tx) / 256.0::DOUBLE AS e FROM m),
+g AS (SELECT z, ty, tx, max(al) AS al, max(e) AS e FROM t GROUP BY 1, 2, 3),
+w AS (SELECT v.*, (y + 0.5::DOUBLE) / 10 - 0.5::DOUBLE AS fy, (x + 0.5::DOUBLE) / 16 - 0.5::DOUBLE AS fx FROM v),
+q AS (SELECT z, y, x, value, CASE WHEN i = 0 THEN greatest(floor(fy), 0) ELSE least(floor(fy) + 1, 1) END AS ty, CASE WHEN j = 0 THEN greatest(floor(fx), 0) ELSE least(floor(fx) + 1, 3) END AS tx,
+ CASE WHEN i = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE WHEN j = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS k FROM w, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)),
+l AS (SELECT q.z, q.y, q.x, q.k, ((coalesce((SELECT max(c) FROM t WHERE t.z = q.z AND t.ty = q.ty AND t.tx = q.tx AND t.b <= q.value), 0)) + g.e * (q.value + 1)) * 255 / g.al AS o FROM q JOIN g ON g.z = q.z AND g.ty = q.ty AND g.tx = q.tx)
+SELECT z, y, x, CAST(least(greatest(floor(round(sum(k * o), 6) + 0.5), 0), 255) AS INTEGER) AS value FROM l GROUP BY 1, 2, 3""")
 def _(spark, d):
     byte = E.grid(spark, d).select("z", "y", "x", F.floor(S.clip(F.col("value") + 0.5, 0.0, 1.0) * 255).cast("int").alias("value"))
     return resample.clahe(byte, {"y": 20, "x": 64}, tiles=(2, 4))
