@@ -5,7 +5,8 @@ a list of ids. A shard's graph is a flat array of neighbours per layer. It is bu
 that at most double it: all vectors of a batch walk the current graph in step (a beam search
 over arrays), choose neighbours that are nearer to them than to each other, and are linked
 back. Blocks of queries meet every shard, walk its graph in step, and are scored exactly, in
-double precision, on the original vectors; the best of all shards are merged per query.
+double precision, on the original vectors; the best of all shards are merged per query. Shards grow with
+the table, so that their number, and with it the copies of the queries, stays bounded.
 
 Defined cases: vectors that are null, zero, of another length than the most common one, or that
 hold a null or non-finite component take no part, as queries or as candidates; rows without an
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from . import shared
 from . import text as T
 
-LINKS, BUILD_BEAM, BEAM, SHARD_ROWS, BLOCK_ROWS, NEAREST, QUERY_EVERY = 16, 64, 192, 4096, 1024, 5, 50
+LINKS, BUILD_BEAM, BEAM, NEAREST, QUERY_EVERY = 16, 64, 192, 5, 50
+#: Rows of a shard at least and at most; between them, there are ``SHARDS`` shards. Queries walk a graph in blocks.
+LEAST_ROWS, MOST_ROWS, SHARDS, BLOCK = 4096, 1 << 18, 4096, 256
 SHARD = pa.schema([("shard", pa.int32()), ("graph", pa.binary())])
 
 
@@ -221,33 +224,53 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
-def nearest(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = NEAREST, every: int = QUERY_EVERY, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+def shard_size(rows: int) -> int:
+    return min(max(LEAST_ROWS, -(-rows // SHARDS)), MOST_ROWS)
+
+
+def _searcher(width: int, k: int, beam: int):
+    """Rows by shard, each shard's graph before its queries -> neighbours found in the shard. One graph is in memory at a time,
+    and the queries pass by in batches."""
+
+    def search(batches):
+        graph, at = None, None
+        for batch in batches:
+            shard, is_graph = batch.column("shard").to_numpy(), batch.column("graph").is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column("id").fill_null(0).to_numpy(zero_copy_only=False)  # whole numbers, also where a graph has none
+            cuts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | is_graph[1:] | is_graph[:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                if is_graph[first]:
+                    graph, at = Graph.load(batch.column("graph")[int(first)].as_py()), shard[first]
+                    continue
+                if at != shard[first]:
+                    continue  # a shard without rows has no graph
+                q = _matrix(batch.column("v").slice(first, last - first), width)
+                own = ids[first:last]
+                for x in range(0, len(own), BLOCK):
+                    row, near, score = graph.nearest(q[x : x + BLOCK], own[x : x + BLOCK], k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[x : x + BLOCK][row]), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return search
+
+
+def nearest(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = NEAREST, every: int = QUERY_EVERY, shard_rows: int | None = None, beam: int = BEAM) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every``, its ``k`` nearest other rows."""
     src, width = usable(vectors, key, column)
     rows = src.count()
-    shards = max(1, -(-rows // shard_rows))
-    blocks = max(1, -(-rows // (every * BLOCK_ROWS)))
+    shards = max(1, -(-rows // (shard_rows or shard_size(rows))))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         graph = Graph(_matrix(table["v"], width), table["id"].to_numpy())
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([graph.stored()], pa.binary())], schema=SHARD)
 
-    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])]
-        if left.num_rows and right.num_rows:
-            graph, ids, q = Graph.load(left["graph"][0].as_py()), right["id"].to_numpy(), _matrix(right["v"], width)
-            for a in range(0, len(ids), 256):
-                row, near, score = graph.nearest(q[a : a + 256], ids[a : a + 256], k, beam)
-                out.append(pa.table([pa.array(ids[a : a + 256][row]), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"]))
-        return pa.concat_tables(out)
-
     dealt = src.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     graphs = shared.written(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(T.one(build), "shard int, graph binary"), "graphs")
-    # the stated queries meet every shard, block by block
-    every_block, every_shard = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    queries = src.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", every_shard)
-    met = graphs.withColumn("block", every_block).groupBy("shard", "block").cogroup(queries.groupBy("shard", "block"))
-    found = met.applyInArrow(T.two(search), "query_id long, vec_id long, score double")
+    # the stated queries go to every shard; a graph moves once, to the task that its queries pass through
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    queries = src.where(F.col("id") % every == 0).select(every_shard.alias("shard"), "id", "v", F.lit(None).cast("binary").alias("graph"))
+    both = graphs.select("shard", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "graph").unionByName(queries)
+    ordered = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("graph").isNull())
+    found = ordered.mapInArrow(T.steady(_searcher(width, k, beam)), "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -160,6 +160,10 @@ def test_neighbours_defined_cases(spark):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert got == {0: [(1, 1.0), (6, 1.0), (50, 1.0), (5, 0.0), (100, -1.0)], 50: [(0, 1.0), (1, 1.0), (6, 1.0), (5, 0.0), (100, -1.0)], 100: [(5, 0.0), (0, -1.0), (1, -1.0), (6, -1.0), (50, -1.0)]}
     assert ann.nearest(df.limit(0)).collect() == []
+    far = 1 << 60  # ids beyond what doubles tell apart
+    large = spark.createDataFrame([(far + i, [1.0, float(i)]) for i in range(51)], "vec_id long, embedding array<double>")
+    out = [(r["query_id"], r["vec_id"]) for r in ann.nearest(large, every=far + 50).where("rank = 1").collect()]
+    assert out == [(far + 50, far + 49)]
     many = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(300)] + [(1000, [1.0, 0.9])], "vec_id long, embedding array<double>")
     first = [r["vec_id"] for r in ann.nearest(many).where("query_id = 0").orderBy("rank").collect()]
     assert first == [1, 2, 3, 4, 5]
