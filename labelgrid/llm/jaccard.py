@@ -33,7 +33,7 @@ from . import text as T
 
 U64 = np.uint64
 SHINGLE, PERCENT = 4, 85
-LEAF, PIVOTS, CELL_BYTES, SALTS = 64, 8, 8 << 20, 16
+LEAF, PIVOTS, CELL_BYTES, PART, SALTS = 64, 8, 1 << 20, 256, 16
 ROWS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())])
 SPARK_ROWS = "id long, n long, f1 long, f2 long, prefix array<long>, shingles binary"
 
@@ -260,7 +260,7 @@ def _split_cells(cells: DataFrame, percent: int, cell_bytes: int) -> tuple[DataF
         cells = cells.join(large.select("cell", "members"), "cell")
         one = [F.min(F.struct(F.xxhash64("id", F.lit(depth * PIVOTS + j)).alias("h"), "id", "prefix", "shingles")).alias(f"p{j}") for j in range(PIVOTS)]
         pivots = cells.groupBy("cell").agg(*one).select("cell", F.posexplode(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivot", "p"))
-        parts = F.greatest(F.lit(1), F.ceil(F.col("members") / 2000)).cast("int")
+        parts = F.greatest(F.lit(1), F.ceil(F.col("members") / PART)).cast("int")
         dealt = cells.select("cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(-1).alias("pivot"), "id", "prefix", "shingles")
         told = pivots.join(large.select("cell", "members"), "cell").select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "pivot", "p.id", "p.prefix", "p.shingles")
         made = dealt.unionByName(told).groupBy("cell", "part").applyInArrow(T.one(_splitter(percent)), "cell string, sub int, id long, prefix array<long>, shingles binary, dist double, near boolean, tie long")
