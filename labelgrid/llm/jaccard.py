@@ -33,7 +33,7 @@ from . import text as T
 
 U64 = np.uint64
 SHINGLE, PERCENT = 4, 85
-LEAF, PIVOTS, CELL_BYTES, PART, SALTS = 64, 8, 1 << 20, 256, 16
+LEAF, PIVOTS, CELL_BYTES, PART, SALTS = 64, 8, 8 << 20, 256, 16
 ROWS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())])
 SPARK_ROWS = "id long, n long, f1 long, f2 long, prefix array<long>, shingles binary"
 
