@@ -13,6 +13,12 @@ how often it touched each row; changes are averaged row by row, in two summing s
 the next slice starts from there. The weights' size is fixed by constants (about 8 MB), so they
 are broadcast. Scoring multiplies nothing dense: it gathers the rows of active features.
 
+That model is the base of one that grows with the corpus. Every pair of a history (three words
+back, two back, the previous word, the pair of previous words) and its next word, of any word,
+is counted over all training documents, in the same exchange as the words; from the weakest
+history to the strongest, P = (n(history, word) + s * P') / (n(history) + s), P' being the step
+before. Pairs are counted in two passes, so that the blobs of one are gone before the next. The bits of a pair's hash grow with the text, so that less than one in 200 of its values is used.
+
 Defined cases: a null or empty text is one end token; a null id is never held out; rows that
 share an id are scored each on its own; without training documents every word is unseen
 (N = V = 0) and both scores are sums of log10(1) = 0 but for the class model's share.
@@ -38,6 +44,9 @@ WORDS = (CLASSES - 1) * SLOTS
 ROWS = 1 << ROWS_LOG2
 BLOCKS, PLACES_LOG2 = 16, 20
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
+#: Histories of the counted pairs: bits that name them in a hash, seed, least place in a document, strength of what they correct.
+GRAMS = {"three": (3, 0xD6E8FEB86659FD93, 3, 400.0), "two": (2, 0xA0761D6478BD642F, 2, 200.0), "one": (0, 0xE7037ED1A0B428DB, 0, 30.0), "pair": (1, 0x8EBC6AF09C88C6E3, 1, 4.0)}
+PARTS = 4  # buckets of pairs a bucket of words
 SEEDS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
 
 
@@ -92,16 +101,21 @@ class Model:
         return np.where(self.known[slot := self.places[(tok * self.odd) >> U64(64 - PLACES_LOG2)]] == tok, self.number[slot], -1) if len(self.known) else np.full(len(tok), -1)
 
 
+def _places(toff: np.ndarray) -> np.ndarray:
+    return np.arange(toff[-1]) - np.repeat(toff[:-1], np.diff(toff))
+
+
+def _back(x: np.ndarray, toff: np.ndarray, k: int, start) -> np.ndarray:
+    """What each token's k-th token back has, or ``start`` where a document has none."""
+    out = np.full(len(x), start, x.dtype)
+    out[k:] = x[:-k] if len(x) > k else out[k:]
+    out[_places(toff) < k] = start
+    return out
+
+
 def features(tok: np.ndarray, toff: np.ndarray) -> np.ndarray:
     """Rows of the weight tables for each token's history: previous word, pair, two and three back."""
-    back = []
-    place = np.arange(len(tok)) - np.repeat(toff[:-1], np.diff(toff))
-    for k in (1, 2, 3):
-        prev = np.full(len(tok), START)
-        prev[k:] = tok[:-k] if len(tok) > k else prev[k:]
-        prev[place < k] = START
-        back.append(prev)
-    one, two, three = back
+    one, two, three = (_back(tok, toff, k, START) for k in (1, 2, 3))
     hashed = [one * SEEDS[0], (one * SEEDS[1]) ^ (two * SEEDS[4]), two * SEEDS[2], three * SEEDS[3]]
     return np.stack([(T.mix(h) >> U64(64 - ROWS_LOG2)).astype(np.uint16) for h in hashed], axis=1)
 
@@ -223,13 +237,66 @@ def _averaged(batches):
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([task], pa.int64()), pa.array([mean.astype(np.float16).tobytes()], pa.binary()), pa.array([weight.astype(np.float32).tobytes()], pa.binary())], schema=CHANGE)
 
 
-def _sender(buckets: int):
+def kept_bits(total: int) -> np.uint64:
+    """A mask of the leading hash bits by which pairs are known: two for the kind of history, and 2**7 values a byte of text or more."""
+    bits = max(40, 8 * -(-(max(total, 1).bit_length() + 9) // 8))
+    return U64((1 << 64) - (1 << (64 - min(bits, 64))))
+
+
+def _gram(name: str, history: np.ndarray, tok: np.ndarray, mask: np.uint64) -> np.ndarray:
+    """Hashes of pairs of a history and a word, those of one kind of history in one range."""
+    kind, seed, _, _ = GRAMS[name]
+    return ((T.mix(T.mix(history * U64(seed)) + tok) >> U64(2)) | U64(kind << 62)) & mask
+
+
+def grams(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, words: np.ndarray, mask: np.uint64, kinds=range(4)):
+    """By kind of history of ``kinds``, in the order of hashes: name, its distinct pairs, their training counts here, the pair of each token
+    from the least place on, these tokens, and the pair of each of ``words`` with the end (which tells how often
+    a history is too near the end to have a next word)."""
+    place = _places(toff)
+    for name, (_, _, least, _) in sorted(GRAMS.items(), key=lambda x: x[1][0]):
+        if GRAMS[name][0] not in kinds:
+            continue
+        at = np.flatnonzero(place >= least)
+        history = {"one": lambda: _back(tok, toff, 1, START), "two": lambda: _back(tok, toff, 2, START), "three": lambda: _back(tok, toff, 3, START), "pair": lambda: T.mix(_back(tok, toff, 1, START) * SEEDS[1]) + _back(tok, toff, 2, START)}[name]()
+        h = _gram(name, history[at], tok[at], mask)
+        if name in ("one", "two"):
+            h = np.concatenate([h, _gram(name, words.copy(), np.full(len(words), END), mask)])
+        u, back = np.unique(h, return_inverse=True)
+        yield name, u, np.bincount(back[: len(at)][learn[at]], minlength=len(u)).astype(U64), back[: len(at)], at, back[len(at) :]
+
+
+def _learns(table: pa.Table, toff: np.ndarray) -> np.ndarray:
+    return np.repeat(table["learn"].combine_chunks().to_numpy(zero_copy_only=False), np.diff(toff))
+
+
+CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def _squeezed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Blob rows in fewer bytes: most planes of pairs hold zeros."""
+    small = lambda c: pa.array([x and CODEC.compress(x, asbytes=True) for x in batch.column(c).to_pylist()], pa.binary())
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "g", "n")), small("h"), small("v")], schema=X.BLOB_ARROW)
+
+
+def _loosened(table: pa.Table) -> pa.Table:
+    n = table["n"].to_pylist()
+    large = lambda c: pa.array([x and CODEC.decompress(x, 8 * k, asbytes=True) for x, k in zip(table[c].to_pylist(), n)], pa.large_binary())
+    return pa.table([*(table[c] for c in ("bucket", "g", "n")), large("h"), large("v")], names=X.BLOB_ARROW.names)
+
+
+def _sender(buckets: int, mask: np.uint64, kinds=range(4), with_words: bool = True):
     def send(key: tuple, table: pa.Table) -> pa.Table:
         tok, toff = tokens(table["text"])
-        learn = np.repeat(table["learn"].combine_chunks().to_numpy(zero_copy_only=False), np.diff(toff))
+        learn = _learns(table, toff)
         h, back = np.unique(tok, return_inverse=True)
         count = np.bincount(back[learn], minlength=len(h)).astype(U64)
-        return pa.Table.from_batches([X.to_buckets(key[0].as_py(), h, count, buckets)])
+        del back
+        out = [_squeezed(X.to_buckets(key[0].as_py(), h, count, buckets))] if with_words else []
+        found = [(u, n) for _, u, n, *_ in grams(tok, toff, learn, h, mask, kinds)]
+        pairs = X.to_buckets(key[0].as_py(), *(np.concatenate(x) for x in zip(*found)), PARTS * buckets)
+        at = pa.array(pairs.column("bucket").to_numpy() + np.int32(buckets), pa.int32())
+        return pa.Table.from_batches([*out, _squeezed(pa.RecordBatch.from_arrays([at, *pairs.columns[1:]], schema=X.BLOB_ARROW))])
 
     return send
 
@@ -237,6 +304,23 @@ def _sender(buckets: int):
 TOP, STATS = -1, -2
 
 
+def _answerer(buckets: int):
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        out = _answer(key, _loosened(table)) if key[0].as_py() < buckets else _answer_pairs(_loosened(table))
+        return pa.Table.from_batches([_squeezed(x) for x in out.to_batches()], schema=X.BLOB_ARROW)
+
+    return answer
+
+
+def _answer_pairs(table: pa.Table) -> pa.Table:
+    """The counts over all groups of each group's pairs, in the order that the group has them."""
+    cuts = np.cumsum(table["n"].to_numpy())
+    _, back = np.unique(np.concatenate([X.unpack(x) for x in table["h"].to_pylist()]), return_inverse=True)
+    total = np.bincount(back, np.concatenate([X.unplanes(x) for x in table["v"].to_pylist()])).astype(U64)[back]
+    v = pa.array([X.planes(x) for x in np.split(total, cuts[:-1])], pa.binary())
+    return pa.table([table["bucket"], table["g"], table["n"], pa.nulls(len(v), pa.binary()), v], schema=X.BLOB_ARROW)
+
+
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
     """Each group's words with their count over all groups; the bucket's top words (group -1), its sums (group -2)."""
     h, g, v, first = X.merged(table)
@@ -255,33 +339,76 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
 
 def _unpacked(batches):
     for batch in batches:
-        for g, h, v in zip(*(batch.column(c).to_pylist() for c in ("g", "h", "v"))):
+        for g, h, v in zip(*(_loosened(pa.Table.from_batches([batch]))[c].to_pylist() for c in ("g", "h", "v"))):
             h, v = X.unpack(h), X.unplanes(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), g), pa.int32()), pa.array(h.view(np.int64)), pa.array(v.view(np.int64))], names=["g", "h", "v"])
 
 
-def _scorer(shared_model):
+def gram_counts(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, known: tuple, told: np.ndarray, mask: np.uint64) -> dict:
+    """By kind of history: for each token, how often training has its history with a next word, and with this word.
+    ``known``: hashes and counts of words; ``told``: the counts of all pairs that ``grams`` finds."""
+    words, back = np.unique(tok, return_inverse=True)
+    at, hit = X.found(known[0], words)
+    count = np.zeros(len(words))
+    count[hit] = known[1][at[hit]]
+    docs = count[words == END].sum()
+    out, followed, done = {}, count, 0
+    for name, u, _, pair, at, end in grams(tok, toff, learn, words, mask):
+        total = told[done : done + len(u)].astype(np.float64)
+        done += len(u)
+        n = np.zeros(len(tok))
+        n[at] = total[pair]
+        if name == "one":
+            history, one = _back(count[back], toff, 1, docs), n
+        elif name == "pair":
+            history = _back(one, toff, 1, 0.0)
+        else:
+            history = _back(followed[back], toff, GRAMS[name][2], 0.0)
+        if name in ("one", "two"):
+            followed = np.maximum(followed - total[end], 0)  # with a word two (three) places on
+        out[name] = (np.maximum(history, n), n)
+    return out
+
+
+def corrected(p: np.ndarray, counts: dict) -> np.ndarray:
+    """Probabilities of the base model, corrected by the counted pairs, the strongest history last."""
+    for name, (_, _, _, strength) in GRAMS.items():
+        history, n = counts[name]
+        p = (n + strength * p) / (history + strength)
+    return p
+
+
+def _scorer(shared_model, buckets: int, mask: np.uint64):
     def score(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         m = shared_model.value
-        known, counts = X.received(told)
-        out = []
+        if not docs.num_rows:
+            return SCORED.empty_table()
+        of_pairs = told["bucket"].to_numpy() >= buckets
+        known = X.received(_loosened(told.filter(pa.array(~of_pairs))))
+        pairs = _loosened(told.filter(pa.array(of_pairs)).sort_by("bucket"))["v"].to_pylist()
+        pairs = np.concatenate([X.unplanes(x) for x in pairs]) if pairs else np.zeros(0, U64)
+        tok, toff = tokens(docs["text"])
+        lens = np.diff(toff)
+        row = np.repeat(np.arange(len(lens)), lens)
+        add = lambda x: np.bincount(row, x, len(lens))
+        at, hit = X.found(known[0], tok)
+        c = np.zeros(len(tok))
+        c[hit] = known[1][at[hit]]
+        del at
+        base = add(np.log10(c + 1)) - lens * math.log10(m.total + m.distinct + 1)
+        p = np.empty(len(tok))
         for a, b in T.spans(docs["text"], 2 << 20):
-            part = docs.slice(a, b - a)
-            tok, toff = tokens(part["text"])
-            at, hit = X.found(known, tok)
-            c = np.zeros(len(tok))
-            c[hit] = counts[at[hit]]
-            lens = np.diff(toff)
-            row = np.repeat(np.arange(len(lens)), lens)
-            add = lambda x: np.bincount(row, x, len(lens))
-            base = add(np.log10(c + 1)) - lens * math.log10(m.total + m.distinct + 1)
-            own = add(score_tokens(m, tok, toff, c)) / math.log(10)
-            out.append(pa.table([part["id"], part["held_out"], pa.array(lens, pa.int64()), pa.array(add(hit.astype(float)).astype(np.int64)), pa.array(np.full(len(lens), m.total), pa.int64()), pa.array(base), pa.array(own)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.concat_tables(out)
+            s = slice(toff[a], toff[b])
+            p[s] = score_tokens(m, tok[s], toff[a : b + 1] - toff[a], c[s])
+        own = add(np.log10(corrected(np.exp(p), gram_counts(tok, toff, _learns(docs, toff), known, pairs, mask))))
+        return pa.table([docs["id"], docs["held_out"], pa.array(lens, pa.int64()), pa.array(add(hit.astype(float)).astype(np.int64)), pa.array(np.full(len(lens), m.total), pa.int64()), pa.array(base), pa.array(own)], schema=SCORED)
 
     return score
 
 
+SCORED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
 def trained(src: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """One pass over the tokens of all rows that ``learn``, a slice of the documents a round."""
     spark = src.sparkSession
@@ -307,6 +434,8 @@ def trained(src: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             weights = (model.class_weights, model.slot_weights)[table]
             weights[b * size : (b + 1) * size] += np.frombuffer(x["d"], np.float16).reshape(size, -1).astype(np.float32)
         told.unpersist()
+        del part, sent, first
+        shared.release(spark)
     return model
 
 
@@ -320,17 +449,23 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == fold, F.lit(False))
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), held.alias("held_out"), (~held).alias("learn"))
-    groups = groups or X.group_count(X.text_bytes(src), 8 * X.MB)
+    size = X.text_bytes(src)
+    groups, mask = groups or X.group_count(size, 8 * X.MB), kept_bits(size)
     dealt = X.by_hash(src, groups, "id").select("g", "id", "text", "held_out", "learn")
-    sent = dealt.groupBy("g").applyInArrow(T.one(_sender(groups)), X.BLOB)
-    counts = shared.written(sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(T.one(_answer), X.BLOB), "counts")
-    few = counts.where(F.col("g") < 0).mapInArrow(_unpacked, "g int, h long, v long")
-    sums = {x.h: int(x.s) for x in few.where(F.col("g") == STATS).groupBy("h").agg(F.sum("v").alias("s")).collect()}
-    top = few.where(F.col("g") == TOP).orderBy(F.desc("v"), "h").limit(WORDS).toArrow()
+    counts = []
+    for kinds in ((0, 1), (2, 3)):
+        sent = dealt.groupBy("g").applyInArrow(T.one(_sender(groups, mask, kinds, not counts)), X.BLOB)
+        counts.append(shared.written(sent.repartition((1 + PARTS // 2) * groups, "bucket").groupBy("bucket").applyInArrow(T.one(_answerer(groups)), X.BLOB), "counts"))
+        del sent
+        if len(counts) == 1:
+            few = counts[0].where(F.col("g") < 0).mapInArrow(_unpacked, "g int, h long, v long")
+            sums = {x.h: int(x.s) for x in few.where(F.col("g") == STATS).groupBy("h").agg(F.sum("v").alias("s")).collect()}
+            top = few.where(F.col("g") == TOP).orderBy(F.desc("v"), "h").limit(WORDS).toArrow()
+        shared.release(spark)
     words, n = top["h"].to_numpy().view(U64), top["v"].to_numpy()
     model = trained(src, Model(words, n.astype(np.int64), sums.get(0, 0), sums.get(1, 0)))
-    told = counts.where(F.col("g") >= 0).repartition(groups, "g")
-    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_scorer(spark.sparkContext.broadcast(model))), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    told = counts[0].unionByName(counts[1]).where(F.col("g") >= 0).repartition(groups, "g")
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_scorer(spark.sparkContext.broadcast(model), groups, mask)), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

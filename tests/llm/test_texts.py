@@ -270,6 +270,57 @@ def test_model_is_a_distribution():
     assert seen + rest[0] + 30 * rest[1] == pytest.approx(1, abs=1e-4)
 
 
+def test_pairs_of_the_whole_corpus_count(documents):
+    rows = rows_of(documents.limit(40))
+    toks = [tuple(brute.words(t, lower=True)) for _, t in rows]
+    learn = [zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in rows]
+    texts = pa.array([t or "" for _, t in rows])
+    tok, toff = lm.tokens(texts)
+    mask = lm.kept_bits(sum(len(t or "") for _, t in rows))
+    words, back = np.unique(tok, return_inverse=True)
+    known = (words, np.bincount(back[np.repeat(learn, np.diff(toff))], minlength=len(words)))
+    told = np.concatenate([x[2] for x in lm.grams(tok, toff, np.repeat(learn, np.diff(toff)), words, mask)])
+    got = lm.gram_counts(tok, toff, np.repeat(learn, np.diff(toff)), known, told, mask)
+
+    def history(name, w, i):
+        if i < lm.GRAMS[name][2]:
+            return None
+        at = lambda k: w[i - k] if i >= k else "<start>"
+        return {"one": (at(1),), "two": (at(2),), "three": (at(3),), "pair": (at(2), at(1))}[name]
+
+    for name in lm.GRAMS:
+        flat = [(h, x, ok) for w, ok in zip(toks, learn) for i, x in enumerate((*w, None)) for h in [history(name, w, i)]]
+        both, alone = Counter((h, x) for h, x, ok in flat if ok and h), Counter(h for h, _, ok in flat if ok and h)
+        assert got[name][1].tolist() == [both[h, x] for h, x, _ in flat]
+        assert got[name][0].tolist() == [alone[h] for h, _, _ in flat]
+
+
+def test_rare_words_depend_on_their_history(spark):
+    import random
+
+    # 6000 words beyond the classed ones by far, each always followed by the same other one
+    rnd, rows = random.Random(5), []
+    for i in range(600):
+        rows.append((i, " ".join(f"a{j} b{j}" for j in rnd.sample(range(3000), 60))))
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    right = {i: " ".join(f"a{j} b{j}" for j in range(k * 20, k * 20 + 20)) for k, i in enumerate(held)}
+    wrong = {i: " ".join(f"a{j} b{20 * (j // 20) + (j + 7) % 20}" for j in range(k * 20, k * 20 + 20)) for k, i in enumerate(held)}
+    runs = []
+    for other, groups in ((right, 1), (right, 3), (wrong, 3)):
+        table = spark.createDataFrame([(i, other.get(i, t)) for i, t in rows], "doc_id long, text string").coalesce(1)
+        runs.append({r["id"]: r for r in lm.scored(table, groups=groups).where("held_out").collect()})
+    one, three, mixed = runs
+    assert all(three[i]["score"] == pytest.approx(one[i]["score"], rel=0.03) for i in held)  # what other groups have counts as well; of words as frequent, others may have a class
+    assert all(three[i]["base_score"] == pytest.approx(mixed[i]["base_score"]) for i in held)
+    # 20 words that follow as ever, or that follow as never
+    assert all(three[i]["score"] > mixed[i]["score"] + 10 for i in held)
+
+
+def test_corrected_model_is_a_distribution():
+    p, n = np.full(41, 1 / 41), np.random.default_rng(0).integers(0, 9, (4, 41)).astype(float)
+    assert lm.corrected(p, {k: (np.full(41, x.sum()), x) for k, x in zip(lm.GRAMS, n)}).sum() == pytest.approx(1)
+
+
 def test_lm_defined_cases(odd):
     out = lm.scored(odd).collect()
     assert len(out) == odd.count() and all(math.isfinite(r["score"]) and not (r["id"] is None and r["held_out"]) for r in out)
