@@ -12,6 +12,8 @@ rows that share an id are judged each on its own; of rules equally long, the fir
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 DAMPING, ITERATIONS, THRESHOLD, SALTS = 0.85, 10, 0.5, 16
+#: Scores are settled once a step reaches no new host and changes none by more than this share of it.
+TOLERANCE = 1e-6
 
 
 def lower(c: Column) -> Column:
@@ -61,23 +65,33 @@ def by_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return salted.join(told, ["host", "salt"], "left").drop("salt")
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int | None = ITERATIONS) -> DataFrame:
     """``side, host, score`` after personalised PageRank. ``edges``: side, src, dst, w; ``seeds``: side, host, share,
-    summing to 1 on each side. What reaches a host without edges goes back to the seeds."""
+    summing to 1 on each side. What reaches a host without edges goes back to the seeds. ``iterations`` None: until the scores
+    are settled, which they come to be, as what is unsettled shrinks by ``damping`` each step."""
     out = edges.groupBy("side", "src").agg(F.sum("w").alias("out"))
     step = shared.written(edges.join(out, ["side", "src"]).select("side", "src", "dst", (F.col("w") / F.col("out")).alias("part")), "steps")
     score = seeds.select("side", "host", F.col("share").alias("score"))
     if step.isEmpty():
         return score
-    for i in range(iterations):
+    for i in itertools.count() if iterations is None else range(iterations):
+        last = score
         moved = step.join(score.withColumnRenamed("host", "src"), ["side", "src"]).groupBy("side", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("part")).alias("got"))
         kept = moved.groupBy("side").agg(F.sum("got").alias("total"))
         back = seeds.join(kept, "side", "left").select("side", "host", (F.col("share") * (1 - damping * F.coalesce("total", F.lit(0.0)))).alias("score"))
         score = moved.select("side", "host", (damping * F.col("got")).alias("score")).unionByName(back).groupBy("side", "host").agg(F.sum("score").alias("score"))
         score = shared.written(score, "scores")
+        if iterations is None and _settled(last, score):
+            break
     return score
 
 
+def _settled(last: DataFrame, score: DataFrame) -> bool:
+    """Whether every score is what it was before, within the tolerance; hosts once reached stay reached."""
+    both = score.join(last.withColumnRenamed("score", "last"), ["side", "host"], "left")
+    return both.where(F.col("last").isNull() | (F.abs(F.col("score") - F.col("last")) > TOLERANCE * F.col("score"))).isEmpty()
+
+
 def judged(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """``page, host, path, rule, verdict, distrust`` of every row."""
     host, path = split(F.col(url))
@@ -95,7 +109,7 @@ def judged(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str =
     total = seeds.groupBy("side").agg(F.count("*").alias("of"))
     seeds = shared.written(seeds.join(total, "side").select("side", "host", (1 / F.col("of")).alias("share")), "seeds")
     both = edges.select(F.lit("trust").alias("side"), F.col("host").alias("src"), F.col("to").alias("dst"), "w").unionByName(edges.select(F.lit("distrust").alias("side"), F.col("to").alias("src"), F.col("host").alias("dst"), "w"))
-    score = propagated(both, seeds).groupBy("host").agg(F.sum(F.when(F.col("side") == "trust", F.col("score"))).alias("t"), F.sum(F.when(F.col("side") == "distrust", F.col("score"))).alias("d"))
+    score = propagated(both, seeds, iterations=None).groupBy("host").agg(F.sum(F.when(F.col("side") == "trust", F.col("score"))).alias("t"), F.sum(F.when(F.col("side") == "distrust", F.col("score"))).alias("d"))
     share = F.coalesce("d", F.lit(0.0)) / (F.coalesce("t", F.lit(0.0)) + F.coalesce("d", F.lit(0.0)))
     bad = score.where("coalesce(t, 0) + coalesce(d, 0) > 0").select("host", share.alias("distrust")).where(F.col("distrust") > threshold)
     out = by_host(ruled, bad)

@@ -61,6 +61,26 @@ def test_propagation_equals_power_iteration(spark):
     assert all(got.get(f"h{i}", 0) == pytest.approx(now[i]) for i in range(9))
 
 
+def test_propagation_goes_on_until_scores_are_settled(spark):
+    # a chain of 14 hosts from the seed, with a way back to its middle
+    edges = [(i, i + 1, 2.0) for i in range(13)] + [(13, 5, 1.0), (7, 2, 1.0)]
+    e = spark.createDataFrame([("trust", f"h{a}", f"h{b}", w) for a, b, w in edges], "side string, src string, dst string, w double")
+    m = np.zeros((14, 14))
+    for a, b, w in edges:
+        m[b, a] = w
+    m /= m.sum(axis=0)
+    seed = np.eye(14)[0]
+    settled = np.linalg.solve(np.eye(14) - 0.85 * m, seed * 0.15)  # every host has links, so that nothing goes back
+    got = {r["host"]: r["score"] for r in urls.propagated(e, spark.createDataFrame([("trust", "h0", 1.0)], "side string, host string, share double"), iterations=None).collect()}
+    assert len(got) == 14 and all(got[f"h{i}"] == pytest.approx(settled[i], rel=1e-4) for i in range(14))
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    link = lambda to: f"<a href='http://{to}/'>"
+    got = verdicts(spark, [(0, "http://bad.net/", ""), (1, "http://l1.com/", link("bad.net")), *((i, f"http://l{i}.com/", link(f"l{i - 1}.com")) for i in range(2, 14)), (14, "http://other.com/", "")])
+    assert {k: v[3] for k, v in got.items()} == {**dict.fromkeys(range(14), "block"), 14: "allow"}
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = urls.op2(spark, sf)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
