@@ -2,11 +2,11 @@
 
 Rows are dealt into shards by the hash of their id; equal vectors of a shard are one node with
 a list of ids. A shard's graph is a flat array of neighbours per layer. It is built in batches
-that at most double it: all vectors of a batch walk the current graph in step (a beam search
+that at most double it, and whose marks of seen nodes are bounded: all vectors of a batch walk the current graph in step (a beam search
 over arrays), choose neighbours that are nearer to them than to each other, and are linked
 back. Blocks of queries meet every shard, walk its graph in step, and are scored exactly, in
 double precision, on the original vectors; the best of all shards are merged per query. Shards grow with
-the table, so that their number, and with it the copies of the queries, stays bounded.
+the table up to a size whose recall is tested; beyond it their number grows, and with it the copies of the queries.
 
 Defined cases: vectors that are null, zero, of another length than the most common one, or that
 hold a null or non-finite component take no part, as queries or as candidates; rows without an
@@ -29,7 +29,9 @@ from . import text as T
 
 LINKS, BUILD_BEAM, BEAM, NEAREST, QUERY_EVERY = 16, 64, 192, 5, 50
 #: Rows of a shard at least and at most; between them, there are ``SHARDS`` shards. Queries walk a graph in blocks.
-LEAST_ROWS, MOST_ROWS, SHARDS, BLOCK = 4096, 1 << 18, 4096, 256
+LEAST_ROWS, MOST_ROWS, SHARDS, BLOCK = 4096, 1 << 14, 4096, 256
+#: Bytes that mark what the walks of one batch of new nodes have seen.
+SEEN = 32 << 20
 SHARD = pa.schema([("shard", pa.int32()), ("graph", pa.binary())])
 
 
@@ -62,7 +64,7 @@ class Graph:
         self.levels = levels
         done = 1
         while done < n:
-            batch = np.arange(done, min(n, 2 * done))
+            batch = np.arange(done, min(n, 2 * done, done + max(1, SEEN // n)))
             self._insert(batch)
             done = batch[-1] + 1
 

@@ -171,6 +171,18 @@ def test_recall_of_a_full_shard():
     assert np.mean([len(set(near[row == i]) & set(exact(ids, v, 50 * i, 5))) / 5 for i in range(80)]) >= 0.9
 
 
+def test_the_largest_shard(monkeypatch):
+    n, marked, walk = ann.MOST_ROWS, [], ann.Graph._beam
+    monkeypatch.setattr(ann.Graph, "_beam", lambda g, q, *a: marked.append(len(q) * len(g.unit)) or walk(g, q, *a))
+    assert ann.shard_size(10**12) == n
+    v, ids = np.random.default_rng(5).normal(size=(n, 48)), np.arange(n)
+    g = ann.Graph(v, ids)
+    assert max(marked) <= ann.SEEN
+    q = ids[:: n // 128]
+    row, near, _ = g.nearest(v[q], q, 5)
+    assert np.mean([len(set(near[row == i]) & set(exact(ids, v, x, 5))) / 5 for i, x in enumerate(q)]) >= 0.9
+
+
 def test_neighbours_defined_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, nan]), (5, [0.0, 1.0]), (100, [-1e300, 0.0]), (6, [1.0, 0.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, [None, 1.0])]
