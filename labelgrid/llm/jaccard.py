@@ -21,10 +21,13 @@ null component; rows that share an id are one vertex; ties and repeated rows giv
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators.components import connected_components
 from . import exchange as X
@@ -270,7 +273,7 @@ def _split_cells(cells: DataFrame, percent: int, cell_bytes: int) -> tuple[DataF
         kept = made.join(rim, ["cell", "sub"]).where(F.expr(f"not near or dist >= rim - {radius!r}"))
         shrunk = kept.groupBy("cell", "sub").count().join(large.select("cell", "members"), "cell").groupBy("cell").agg((F.max("count") < 0.9 * F.max("members")).alias("shrinks"))
         kept = kept.join(shrunk, "cell")
-        stuck = kept.where("not shrinks").dropDuplicates(["cell", "id"]).select("cell", "id", "prefix", "shingles")
+        stuck = kept.where("not shrinks").dropDuplicates(["cell", "id", "shingles"]).select("cell", "id", "prefix", "shingles")
         done.append(_blocks(stuck, cell_bytes))
         cells = shared.written(kept.where("shrinks").select(F.concat_ws("/", "cell", "sub").alias("cell"), "id", "prefix", "shingles"), "cells")
     return _union([*done, _blocks(cells, cell_bytes)]), links
@@ -333,16 +336,34 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return found.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
 
 
+SET = "set of shingles"
+
+
+def _with_sets(text: str, k: int):
+    """Rows with a digest of their set of shingles."""
+
+    def add(batches):
+        for batch in batches:
+            value, off = shingle_sets(batch.column(text), k)
+            sets = [hashlib.blake2b(value[a:b].tobytes(), digest_size=16).digest() for a, b in zip(off[:-1], off[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary())], names=[*batch.schema.names, SET])
+
+    return add
+
+
 def representatives(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` but one a group of linked documents: the least id stays; rows without an id stay."""
+    """The rows of ``docs`` but one a group of linked documents: the least id stays, with one row for each of its sets; rows
+    without an id stay."""
     found = jaccard_components(docs, key, **how)
     gone = shared.written(found.where("id != component_id").select(F.col("id").alias(key)).distinct(), "gone")
     again = found.groupBy("id").count().where("count > 1 and id is not null")
+    again = shared.written(again.select(F.col("id").alias(key)), "again")
     kept = docs.join(gone, key, "left_anti")
     if again.isEmpty():
         return kept
-    lone = kept.where(F.col(key).isNull())
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(lone)
+    several = kept.join(again, key, "left_semi")
+    with_sets = several.mapInArrow(T.steady(_with_sets(how.get("text", "text"), how.get("k", SHINGLE))), StructType([*several.schema.fields, StructField(SET, BinaryType())]))
+    return kept.join(again, key, "left_anti").unionByName(with_sets.dropDuplicates([key, SET]).drop(SET))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -151,6 +151,27 @@ def test_representatives(odd):
     assert out.where("doc_id is null").count() == 2
 
 
+def test_representatives_keep_unequal_texts_of_an_id(spark):
+    a, b = " ".join("abcdefghij"), " ".join("klmnopqrst")
+    df = spark.createDataFrame([(5, a), (5, b), (5, a), (5, a.upper()), (5, None), (5, ""), (8, "another text"), (9, b)], "doc_id long, text string")
+    out = [(r["doc_id"], (r["text"] or "").lower()) for r in jaccard.representatives(df).collect()]
+    assert sorted(out) == [(5, ""), (5, a), (5, b), (8, "another text")]
+
+
+def test_all_sets_of_an_id_stay_in_a_cell_that_does_not_shrink(spark):
+    rng = np.random.default_rng(4)
+    ids = [7, 7, *range(10, 160)]  # all at about the same distance from each other
+    sets = [X.pack(np.unique(np.append(rng.integers(1, 1 << 62, 30).astype(np.uint64), np.uint64(9)))) for _ in ids]
+    cells = spark.createDataFrame([("c", i, [9], s) for i, s in zip(ids, sets)], "cell string, id long, prefix array<long>, shingles binary")
+    rows, _ = jaccard._split_cells(cells, 85, 12000)
+    held = {}
+    for r in rows.collect():
+        held.setdefault(r["cell"], set()).add((r["id"], bytes(r["shingles"])))
+    left = set().union(*held.values())  # without the eight pivots, which have met all others
+    assert {(7, sets[0]), (7, sets[1])} <= left <= set(zip(ids, sets)) and len(left) >= len(ids) - 8
+    assert all(any({x, y} <= c for c in held.values()) for x in left for y in left)
+
+
 # --- tokens
 
 
