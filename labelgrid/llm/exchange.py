@@ -109,9 +109,10 @@ def group_count(total: int, group_bytes: int = 4 * MB, most_bytes: int = 128 * M
     return max(1, -(-total // each))
 
 
-def by_hash(docs: DataFrame, groups: int, key: str = "doc_id") -> DataFrame:
-    """Documents with a group ``g`` by the hash of their key, together by group."""
-    g = F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).cast("int")
+def by_hash(docs: DataFrame, groups: int, key: str = "id", text: str = "text") -> DataFrame:
+    """Documents with a group ``g`` by the hash of their key, those without one by that of their text, together by group.
+    Rows with neither are alike, and have no words."""
+    g = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text))), F.lit(groups)).cast("int")
     return docs.withColumn("g", g).repartition(groups, "g")
 
 

@@ -1,27 +1,27 @@
 """Language-model scoring: a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history). The most frequent words
-of the training documents form ``CLASSES - 1`` classes of ``SLOTS`` words by rank, all others
-share the last class, inside which a word has its smoothed unigram probability (words never
-seen count as one more word). Features of the history are the previous word, the pair of
-previous words, and the words two and three back (skips), hashed into fixed weight tables.
-
-Word counts over all training documents are summed in Spark as sorted blobs (``exchange``).
-Training makes one pass over all training tokens in ``rounds`` slices: each task takes
-gradient steps from the current weights over its part of a slice and sends its change, with
-how often it touched each row; changes are averaged row by row, in two summing steps, and
-the next slice starts from there. The weights' size is fixed by constants (about 8 MB), so they
-are broadcast. Scoring multiplies nothing dense: it gathers the rows of active features.
-
-That model is the base of one that grows with the corpus. Every pair of a history (three words
-back, two back, the previous word, the pair of previous words) and its next word, of any word,
-is counted over all training documents, in the same exchange as the words; from the weakest
-history to the strongest, P = (n(history, word) + s * P') / (n(history) + s), P' being the step
-before. Pairs are counted in two passes, so that the blobs of one are gone before the next. The bits of a pair's hash grow with the text, so that less than one in 200 of its values is used.
-
-Defined cases: a null or empty text is one end token; a null id is never held out; rows that
-share an id are scored each on its own; without training documents every word is unseen
-(N = V = 0) and both scores are sums of log10(1) = 0 but for the class model's share.
+P(word | history) = P(class | history) * P(word | class, history). Every word has a class: the most frequent words of the
+training documents form ``HEAD`` classes of ``SLOTS`` words by rank, and all others share the remaining classes by their hash.
+Inside a head class the choice is a softmax of its own; inside the others a word has its smoothed unigram probability (words
+never seen count as one more word). Features of the history are the previous word and the words two and three back
+(skips), hashed into fixed weight tables.
+
+Word counts over all training documents are summed in Spark as sorted blobs (``exchange``). Training makes one pass over
+all training tokens in ``rounds`` slices. Documents are dealt into shards by their id and sorted inside them, so what is
+learned does not depend on how the table is partitioned. A shard takes gradient steps from the current weights over its
+part of a slice and sends its change, with how often it touched each row; changes are averaged row by row, in two steps
+of at most ``FAN`` shards each, and the next slice starts from there. The weights' size is fixed by constants (about 8 MB), so
+they are broadcast. Scoring multiplies nothing dense: it gathers the rows of active features.
+
+That model is the base of one that grows with the corpus. Every pair of a history (the previous word, the two previous
+words) and its next word, of any word, is counted over all training documents, in the same exchange as the words; from
+the weaker history to the stronger, P = (n(history, word) + s * P') / (n(history) + s), P' being the step before. The bits
+of a pair's hash grow with the text, so that less than one in 200 of its values is used.
+
+Defined cases: a null or empty text is one end token; a null id is never held out; rows that share an id are scored each
+on its own; an empty table gives no rows; without training documents every word is unseen (N = V = 0) and both scores are
+sums of log10(1) = 0 but for the class model's share; a word of any length is one token, and a text of any length is
+learned and scored whole; only the key and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +38,16 @@ from . import shared
 from . import text as T
 
 U64 = np.uint64
-CLASSES, SLOTS, ROWS_LOG2, ROUNDS, RATE, BATCH, FOLDS = 32, 32, 15, 3, 0.8, 4096, 7
-WORDS = (CLASSES - 1) * SLOTS
+CLASSES, HEAD, SLOTS, ROWS_LOG2, ROUNDS, RATE, BATCH, FOLDS = 32, 16, 32, 15, 3, 0.8, 8192, 7
+TAIL, WORDS = CLASSES - HEAD, HEAD * SLOTS
+#: Bytes of text in a training shard while there are at most ``SHARDS``; bytes between two cuts into steps; changes that one task averages.
+SHARD_BYTES, SHARDS, CHUNK, FAN = 16 << 20, 4096, 1 << 20, 256
 ROWS = 1 << ROWS_LOG2
 BLOCKS, PLACES_LOG2 = 16, 20
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
-#: Histories of the counted pairs: bits that name them in a hash, seed, least place in a document, strength of what they correct.
-GRAMS = {"three": (3, 0xD6E8FEB86659FD93, 3, 400.0), "two": (2, 0xA0761D6478BD642F, 2, 200.0), "one": (0, 0xE7037ED1A0B428DB, 0, 30.0), "pair": (1, 0x8EBC6AF09C88C6E3, 1, 4.0)}
-PARTS = 4  # buckets of pairs a bucket of words
+#: Histories of the counted pairs: number, seed, least place in a document, strength of what they correct.
+GRAMS = {"one": (0, 0xE7037ED1A0B428DB, 0, 1000.0), "pair": (1, 0x8EBC6AF09C88C6E3, 1, 10.0)}
+PARTS = 2  # buckets of pairs a bucket of words
 SEEDS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
 
 
@@ -66,12 +67,13 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Word classes and weights. ``known``: hashes of the classed words, ascending; ``number``: their ranks."""
+    """Word classes and weights. ``words``: hashes of the words of head classes by rank, with their ``counts``; ``totals`` and
+    ``distinct``: training tokens and words of each hash class (head words included)."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, distinct: np.ndarray):
         order = np.argsort(words)
         self.known, self.number = words[order], np.arange(len(words))[order]
-        # a table in which no two classed words meet
+        # a table in which no two head words meet
         odd = 0x9E3779B97F4A7C15
         while True:
             at = (self.known * U64(odd)) >> U64(64 - PLACES_LOG2)
@@ -80,25 +82,34 @@ class Model:
             odd = (odd * 0xD1342543DE82EF95 | 1) % (1 << 64)
         self.odd, self.places = U64(odd), np.zeros(1 << PLACES_LOG2, np.int16)
         self.places[at] = np.arange(len(at))
-        self.total, self.distinct = total, distinct
-        self.rest_total, self.rest_distinct = total - int(counts.sum()), distinct - len(words)
-        mass = np.zeros(CLASSES)
-        np.add.at(mass, np.arange(len(words)) // SLOTS, counts)
-        mass[-1] += self.rest_total
-        slots = np.zeros((CLASSES, SLOTS), np.float32)
+        self.total, self.distinct = int(totals.sum()), int(distinct.sum())
+        own = tail_of(words)
+        self.rest_total = totals - np.bincount(own, counts, TAIL).astype(np.int64)
+        self.rest_distinct = distinct - np.bincount(own, minlength=TAIL)
+        mass = np.concatenate([np.bincount(np.arange(len(words)) // SLOTS, counts, HEAD), self.rest_total])
+        slots = np.zeros((HEAD, SLOTS), np.float32)
         slots.ravel()[: len(words)] = counts
-        used = np.zeros((CLASSES, SLOTS), bool)
+        used = np.zeros((HEAD, SLOTS), bool)
         used.ravel()[: len(words)] = True
-        # a class or slot that holds nothing has no probability; the last class always may come
+        # a head class or slot that holds nothing has no probability; a hash class always may come
         self.class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1)), -40).astype(np.float32)
-        self.class_bias[-1] = max(self.class_bias[-1], 0)
+        self.class_bias[HEAD:] = np.maximum(self.class_bias[HEAD:], 0)
         self.slot_bias = np.where(used, np.log(np.maximum(slots, 1)), -40).astype(np.float32)
         self.class_weights = np.zeros((ROWS, CLASSES), np.float32)
         self.slot_weights = np.zeros((ROWS, SLOTS), np.float32)
 
-    def targets(self, tok: np.ndarray) -> np.ndarray:
-        """Rank of each token, or -1."""
-        return np.where(self.known[slot := self.places[(tok * self.odd) >> U64(64 - PLACES_LOG2)]] == tok, self.number[slot], -1) if len(self.known) else np.full(len(tok), -1)
+    def targets(self, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each token (-1: none) and its class."""
+        rank = np.full(len(tok), -1)
+        if len(self.known):
+            slot = self.places[(tok * self.odd) >> U64(64 - PLACES_LOG2)]
+            rank = np.where(self.known[slot] == tok, self.number[slot], -1)
+        return rank, np.where(rank >= 0, rank // SLOTS, HEAD + tail_of(tok))
+
+
+def tail_of(tok: np.ndarray) -> np.ndarray:
+    """Hash class of each word that is in no head class."""
+    return ((tok >> U64(32)) % U64(TAIL)).astype(np.int64)
 
 
 def _places(toff: np.ndarray) -> np.ndarray:
@@ -114,16 +125,15 @@ def _back(x: np.ndarray, toff: np.ndarray, k: int, start) -> np.ndarray:
 
 
 def features(tok: np.ndarray, toff: np.ndarray) -> np.ndarray:
-    """Rows of the weight tables for each token's history: previous word, pair, two and three back."""
-    one, two, three = (_back(tok, toff, k, START) for k in (1, 2, 3))
-    hashed = [one * SEEDS[0], (one * SEEDS[1]) ^ (two * SEEDS[4]), two * SEEDS[2], three * SEEDS[3]]
-    return np.stack([(T.mix(h) >> U64(64 - ROWS_LOG2)).astype(np.uint16) for h in hashed], axis=1)
+    """Rows of the weight tables for each token's history: previous word, two and three back."""
+    rows = [T.mix(_back(tok, toff, k, START) * SEEDS[k]) >> U64(64 - ROWS_LOG2) for k in (1, 2, 3)]
+    return np.stack([r.astype(np.uint16) for r in rows], axis=1)
 
 
 def slot_features(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Rows for the choice inside a class: previous word and two back, each with the class."""
     mixed = lambda x, seed: (T.mix((x.astype(U64) << U64(8) | group.astype(U64)) * seed) >> U64(64 - ROWS_LOG2)).astype(np.uint16)
-    return np.stack([mixed(rows[:, 0], SEEDS[4]), mixed(rows[:, 2], SEEDS[5])], axis=1)
+    return np.stack([mixed(rows[:, 0], SEEDS[4]), mixed(rows[:, 1], SEEDS[5])], axis=1)
 
 
 def _folded(x: np.ndarray, f) -> np.ndarray:
@@ -155,16 +165,15 @@ def _segment_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def score_tokens(m: Model, tok: np.ndarray, toff: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Natural log probability of every token under the model; ``counts``: its training count."""
-    rank, rows = m.targets(tok), features(tok, toff)
-    group = np.where(rank >= 0, rank // SLOTS, CLASSES - 1)
+    (rank, group), rows = m.targets(tok), features(tok, toff)
     out = np.empty(len(tok))
     for a in range(0, len(tok), BATCH):
         s = slice(a, a + BATCH)
         p = log_softmax(_gathered(m.class_weights, rows[s], m.class_bias))
         out[s] = p[np.arange(len(p)), group[s]]
-    rest = rank < 0
-    out[rest] += np.log((counts[rest] + 1.0) / (m.rest_total + m.rest_distinct + 1.0))
-    inner = np.flatnonzero(~rest)
+    rest = np.flatnonzero(rank < 0)
+    out[rest] += np.log((counts[rest] + 1.0) / (m.rest_total + m.rest_distinct + 1.0)[group[rest] - HEAD])
+    inner = np.flatnonzero(rank >= 0)
     for a in range(0, len(inner), BATCH):
         i = inner[a : a + BATCH]
         p = log_softmax(_gathered(m.slot_weights, slot_features(rows[i], group[i]), m.slot_bias[group[i]]))
@@ -195,8 +204,7 @@ class Trainer:
 
     def learn(self, tok: np.ndarray, toff: np.ndarray) -> None:
         m = self.m
-        rank, rows = m.targets(tok), features(tok, toff)
-        group = np.where(rank >= 0, rank // SLOTS, CLASSES - 1)
+        (rank, group), rows = m.targets(tok), features(tok, toff)
         for a in range(0, len(tok), BATCH):
             s = slice(a, a + BATCH)
             self._step(0, rows[s], m.class_bias, group[s])
@@ -205,7 +213,7 @@ class Trainer:
             i = inner[a : a + BATCH]
             self._step(1, slot_features(rows[i], group[i]), m.slot_bias[group[i]], rank[i] % SLOTS)
 
-    def changes(self, task: int) -> pa.RecordBatch:
+    def changes(self, shard: int) -> pa.RecordBatch:
         """Blocks of rows: change times touches, and touches."""
         rows = []
         for t, ((now, _, touched), was) in enumerate(zip(self.tables, (self.m.class_weights, self.m.slot_weights))):
@@ -213,7 +221,7 @@ class Trainer:
             for b in range(BLOCKS):
                 s = slice(b * size, (b + 1) * size)
                 if touched[s].any():
-                    rows.append((t * BLOCKS + b, task, (now[s] - was[s]).astype(np.float16).tobytes(), touched[s].astype(np.float32).tobytes()))
+                    rows.append((t * BLOCKS + b, shard, (now[s] - was[s]).astype(np.float16).tobytes(), touched[s].astype(np.float32).tobytes()))
         return pa.RecordBatch.from_pydict({k: list(v) for k, v in zip(("block", "task", "d", "w"), zip(*rows))} if rows else {k: [] for k in ("block", "task", "d", "w")}, schema=CHANGE)
 
 
@@ -221,7 +229,8 @@ CHANGE = pa.schema([("block", pa.int32()), ("task", pa.int64()), ("d", pa.binary
 
 
 def _averaged(batches):
-    """Change blocks of one block number, averaged by touches row by row: one row."""
+    """Change blocks of one block number, averaged by touches row by row: one row. They come in the order of shards, which
+    makes the sums repeatable."""
     change = weight = None
     block = task = 0
     for batch in batches:
@@ -238,32 +247,27 @@ def _averaged(batches):
 
 
 def kept_bits(total: int) -> np.uint64:
-    """A mask of the leading hash bits by which pairs are known: two for the kind of history, and 2**7 values a byte of text or more."""
+    """A mask of the leading hash bits by which pairs are known: one for the kind of history, and 2**7 values a byte of text or more."""
     bits = max(40, 8 * -(-(max(total, 1).bit_length() + 9) // 8))
     return U64((1 << 64) - (1 << (64 - min(bits, 64))))
 
 
-def _gram(name: str, history: np.ndarray, tok: np.ndarray, mask: np.uint64) -> np.ndarray:
-    """Hashes of pairs of a history and a word, those of one kind of history in one range."""
-    kind, seed, _, _ = GRAMS[name]
-    return ((T.mix(T.mix(history * U64(seed)) + tok) >> U64(2)) | U64(kind << 62)) & mask
+def histories(tok: np.ndarray, toff: np.ndarray, name: str) -> np.ndarray:
+    """Hash of each token's history of one kind."""
+    one = _back(tok, toff, 1, START)
+    return one if name == "one" else T.mix(one * SEEDS[1]) + _back(tok, toff, 2, START)
 
 
-def grams(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, words: np.ndarray, mask: np.uint64, kinds=range(4)):
-    """By kind of history of ``kinds``, in the order of hashes: name, its distinct pairs, their training counts here, the pair of each token
-    from the least place on, these tokens, and the pair of each of ``words`` with the end (which tells how often
-    a history is too near the end to have a next word)."""
+def grams(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, mask: np.uint64):
+    """By kind of history, in the order of hashes: name, its distinct pairs, their training counts here, the pair of
+    each token from the least place on, and these tokens."""
     place = _places(toff)
-    for name, (_, _, least, _) in sorted(GRAMS.items(), key=lambda x: x[1][0]):
-        if GRAMS[name][0] not in kinds:
-            continue
+    for name, (kind, seed, least, _) in GRAMS.items():
         at = np.flatnonzero(place >= least)
-        history = {"one": lambda: _back(tok, toff, 1, START), "two": lambda: _back(tok, toff, 2, START), "three": lambda: _back(tok, toff, 3, START), "pair": lambda: T.mix(_back(tok, toff, 1, START) * SEEDS[1]) + _back(tok, toff, 2, START)}[name]()
-        h = _gram(name, history[at], tok[at], mask)
-        if name in ("one", "two"):
-            h = np.concatenate([h, _gram(name, words.copy(), np.full(len(words), END), mask)])
+        h = T.mix(T.mix(histories(tok, toff, name)[at] * U64(seed)) + tok[at])
+        h = ((h >> U64(1)) | U64(kind << 63)) & mask
         u, back = np.unique(h, return_inverse=True)
-        yield name, u, np.bincount(back[: len(at)][learn[at]], minlength=len(u)).astype(U64), back[: len(at)], at, back[len(at) :]
+        yield name, u, np.bincount(back[learn[at]], minlength=len(u)).astype(U64), back, at
 
 
 def _learns(table: pa.Table, toff: np.ndarray) -> np.ndarray:
@@ -285,18 +289,19 @@ def _loosened(table: pa.Table) -> pa.Table:
     return pa.table([*(table[c] for c in ("bucket", "g", "n")), large("h"), large("v")], names=X.BLOB_ARROW.names)
 
 
-def _sender(buckets: int, mask: np.uint64, kinds=range(4), with_words: bool = True):
+def _sender(buckets: int, mask: np.uint64):
     def send(key: tuple, table: pa.Table) -> pa.Table:
+        g = key[0].as_py()
         tok, toff = tokens(table["text"])
         learn = _learns(table, toff)
         h, back = np.unique(tok, return_inverse=True)
-        count = np.bincount(back[learn], minlength=len(h)).astype(U64)
+        words = X.to_buckets(g, h, np.bincount(back[learn], minlength=len(h)).astype(U64), buckets)
         del back
-        out = [_squeezed(X.to_buckets(key[0].as_py(), h, count, buckets))] if with_words else []
-        found = [(u, n) for _, u, n, *_ in grams(tok, toff, learn, h, mask, kinds)]
-        pairs = X.to_buckets(key[0].as_py(), *(np.concatenate(x) for x in zip(*found)), PARTS * buckets)
+        found = [(u, n) for _, u, n, *_ in grams(tok, toff, learn, mask)]
+        pairs = X.to_buckets(g, *(np.concatenate(x) for x in zip(*found)), PARTS * buckets)
         at = pa.array(pairs.column("bucket").to_numpy() + np.int32(buckets), pa.int32())
-        return pa.Table.from_batches([*out, _squeezed(pa.RecordBatch.from_arrays([at, *pairs.columns[1:]], schema=X.BLOB_ARROW))])
+        pairs = pa.RecordBatch.from_arrays([at, *pairs.columns[1:]], schema=X.BLOB_ARROW)
+        return pa.Table.from_batches([_squeezed(words), _squeezed(pairs)])
 
     return send
 
@@ -322,7 +327,8 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """Each group's words with their count over all groups; the bucket's top words (group -1), its sums (group -2)."""
+    """Each group's words with their count over all groups; the bucket's top words (group -1); tokens and words of each
+    hash class (group -2)."""
     h, g, v, first = X.merged(table)
     bucket = key[0].as_py()
     if not len(h):
@@ -332,8 +338,9 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     some = each > 0
     top = np.lexsort((h[first], -total.astype(np.int64)))[:WORDS]
     top = np.sort(top[total[top] > 0])
-    sums = np.array([total.sum(), (total > 0).sum()], U64)
-    out = [X.replies(bucket, g[some], h[some], each[some]), X.replies(bucket, np.full(len(top), TOP, np.int32), h[first][top], total[top]), X.replies(bucket, np.full(2, STATS, np.int32), np.arange(2, dtype=U64), sums)]
+    own, seen = tail_of(h[first]), total > 0
+    sums = np.concatenate([np.bincount(own, total, TAIL), np.bincount(own[seen], minlength=TAIL)]).astype(U64)
+    out = [X.replies(bucket, g[some], h[some], each[some]), X.replies(bucket, np.full(len(top), TOP, np.int32), h[first][top], total[top]), X.replies(bucket, np.full(2 * TAIL, STATS, np.int32), np.arange(2 * TAIL, dtype=U64), sums)]
     return pa.Table.from_batches(out)
 
 
@@ -347,32 +354,24 @@ def _unpacked(batches):
 def gram_counts(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, known: tuple, told: np.ndarray, mask: np.uint64) -> dict:
     """By kind of history: for each token, how often training has its history with a next word, and with this word.
     ``known``: hashes and counts of words; ``told``: the counts of all pairs that ``grams`` finds."""
-    words, back = np.unique(tok, return_inverse=True)
-    at, hit = X.found(known[0], words)
-    count = np.zeros(len(words))
+    at, hit = X.found(known[0], tok)
+    count = np.zeros(len(tok))
     count[hit] = known[1][at[hit]]
-    docs = count[words == END].sum()
-    out, followed, done = {}, count, 0
-    for name, u, _, pair, at, end in grams(tok, toff, learn, words, mask):
-        total = told[done : done + len(u)].astype(np.float64)
-        done += len(u)
+    # every word is followed by a word or the end; what begins a document follows the start, once a document
+    followed = _back(count, toff, 1, count[tok == END].max(initial=0))
+    out, done = {}, 0
+    for name, u, _, pair, at in grams(tok, toff, learn, mask):
         n = np.zeros(len(tok))
-        n[at] = total[pair]
-        if name == "one":
-            history, one = _back(count[back], toff, 1, docs), n
-        elif name == "pair":
-            history = _back(one, toff, 1, 0.0)
-        else:
-            history = _back(followed[back], toff, GRAMS[name][2], 0.0)
-        if name in ("one", "two"):
-            followed = np.maximum(followed - total[end], 0)  # with a word two (three) places on
-        out[name] = (np.maximum(history, n), n)
+        n[at] = told[done : done + len(u)].astype(np.float64)[pair]
+        done += len(u)
+        out[name] = (np.maximum(followed, n), n)
+        followed = _back(n, toff, 1, 0.0)
     return out
 
 
 def corrected(p: np.ndarray, counts: dict) -> np.ndarray:
     """Probabilities of the base model, corrected by the counted pairs, the strongest history last."""
-    for name, (_, _, _, strength) in GRAMS.items():
+    for name, (*_, strength) in GRAMS.items():
         history, n = counts[name]
         p = (n + strength * p) / (history + strength)
     return p
@@ -409,38 +408,66 @@ def _scorer(shared_model, buckets: int, mask: np.uint64):
 SCORED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def trained(src: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """One pass over the tokens of all rows that ``learn``, a slice of the documents a round."""
+def _learner(told):
+    """Rows sorted by shard -> the changes of each shard. Cuts between chunks depend on the shard's rows only."""
+
+    def learn(batches):
+        trainer, at, held, size = None, None, [], 0
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, int)
+            for first, last in zip(edges[:-1], edges[1:]):
+                if at != shard[first]:
+                    if trainer is not None:
+                        trainer.learn(*tokens(pa.chunked_array(held, pa.large_string())))
+                        yield trainer.changes(at)
+                    trainer, at, held, size = Trainer(told.value), int(shard[first]), [], 0
+                text = batch.column("text").slice(first, last - first).cast(pa.large_string())
+                _, off = T.flat(text)
+                a = 0
+                while a < len(text):
+                    b = min(len(text), max(a + 1, int(np.searchsorted(off, off[a] + CHUNK - size))))
+                    held.append(text.slice(a, b - a))
+                    size += int(off[b] - off[a])
+                    a = b
+                    if size >= CHUNK:
+                        trainer.learn(*tokens(pa.chunked_array(held)))
+                        held, size = [], 0
+        if trainer is not None:
+            trainer.learn(*tokens(pa.chunked_array(held, pa.large_string())))
+            yield trainer.changes(at)
+
+    return learn
+
+
+def trained(src: DataFrame, model: Model, size: int, rounds: int = ROUNDS) -> Model:
+    """One pass over the tokens of all rows that ``learn``, a slice of the documents a round; ``size``: bytes of all texts."""
     spark = src.sparkSession
     shared.bounded(spark)
+    shards = min(SHARDS, max(1, -(-size // SHARD_BYTES)))
+    name = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text")), F.lit(1))
+    part = src.where("learn").withColumns({"round": F.pmod(name, F.lit(rounds)), "shard": F.pmod(F.shiftrightunsigned(name, 16), F.lit(shards)).cast("int")})
+    fields = "block int, task long, d binary, w binary"
     for r in range(rounds):
         told = spark.sparkContext.broadcast(model)
-
-        def learn(batches):
-            trainer = Trainer(told.value)
-            for batch in batches:
-                for a, b in T.spans(batch.column("text"), 1 << 20):
-                    trainer.learn(*tokens(batch.column("text").slice(a, b - a)))
-            yield trainer.changes(TaskContext.get().partitionId())
-
-        part = src.where(F.col("learn") & (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rounds)) == r)).select("text")
-        sent = part.mapInArrow(T.steady(learn), "block int, task long, d binary, w binary")
-        # two steps, so that no task adds up the blocks of more than a few hundred others
-        first = sent.withColumn("salt", F.floor(F.col("task") / 256)).groupBy("block", "salt").applyInArrow(_average_group, "block int, task long, d binary, w binary")
-        done = first.groupBy("block").applyInArrow(_average_group, "block int, task long, d binary, w binary").toArrow().to_pylist()
-        size = ROWS // BLOCKS
+        mine = part.where(F.col("round") == r).select("shard", "id", F.xxhash64("text").alias("order"), "text")
+        sent = mine.repartition(shards, "shard").sortWithinPartitions("shard", "id", "order").mapInArrow(T.steady(_learner(told)), fields)
+        # two steps, so that no task adds up the blocks of more than ``FAN`` others
+        first = sent.withColumn("salt", F.floor(F.col("task") / FAN)).groupBy("block", "salt").applyInArrow(_average_group, fields)
+        done = first.groupBy("block").applyInArrow(_average_group, fields).toArrow().to_pylist()
+        rows = ROWS // BLOCKS
         for x in done:
             table, b = divmod(x["block"], BLOCKS)
             weights = (model.class_weights, model.slot_weights)[table]
-            weights[b * size : (b + 1) * size] += np.frombuffer(x["d"], np.float16).reshape(size, -1).astype(np.float32)
+            weights[b * rows : (b + 1) * rows] += np.frombuffer(x["d"], np.float16).reshape(rows, -1).astype(np.float32)
         told.unpersist()
-        del part, sent, first
+        del mine, sent, first
         shared.release(spark)
     return model
 
 
 def _average_group(table: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(_averaged(table.select(CHANGE.names).to_batches()), schema=CHANGE)
+    return pa.Table.from_batches(_averaged(table.select(CHANGE.names).sort_by("task").to_batches()), schema=CHANGE)
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS, fold: int = 2, groups: int | None = None) -> DataFrame:
@@ -450,22 +477,22 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == fold, F.lit(False))
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), held.alias("held_out"), (~held).alias("learn"))
     size = X.text_bytes(src)
-    groups, mask = groups or X.group_count(size, 8 * X.MB), kept_bits(size)
+    groups, mask = groups or X.group_count(size), kept_bits(size)
     dealt = X.by_hash(src, groups, "id").select("g", "id", "text", "held_out", "learn")
-    counts = []
-    for kinds in ((0, 1), (2, 3)):
-        sent = dealt.groupBy("g").applyInArrow(T.one(_sender(groups, mask, kinds, not counts)), X.BLOB)
-        counts.append(shared.written(sent.repartition((1 + PARTS // 2) * groups, "bucket").groupBy("bucket").applyInArrow(T.one(_answerer(groups)), X.BLOB), "counts"))
-        del sent
-        if len(counts) == 1:
-            few = counts[0].where(F.col("g") < 0).mapInArrow(_unpacked, "g int, h long, v long")
-            sums = {x.h: int(x.s) for x in few.where(F.col("g") == STATS).groupBy("h").agg(F.sum("v").alias("s")).collect()}
-            top = few.where(F.col("g") == TOP).orderBy(F.desc("v"), "h").limit(WORDS).toArrow()
-        shared.release(spark)
-    words, n = top["h"].to_numpy().view(U64), top["v"].to_numpy()
-    model = trained(src, Model(words, n.astype(np.int64), sums.get(0, 0), sums.get(1, 0)))
-    told = counts[0].unionByName(counts[1]).where(F.col("g") >= 0).repartition(groups, "g")
-    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_scorer(spark.sparkContext.broadcast(model), groups, mask)), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sent = dealt.groupBy("g").applyInArrow(T.one(_sender(groups, mask)), X.BLOB)
+    answered = sent.repartition((1 + PARTS) * groups, "bucket").groupBy("bucket").applyInArrow(T.one(_answerer(groups)), X.BLOB)
+    counts = shared.written(answered, "counts")
+    del sent, answered
+    few = counts.where(F.col("g") < 0).mapInArrow(_unpacked, "g int, h long, v long")
+    sums = {x.h: int(x.s) for x in few.where(F.col("g") == STATS).groupBy("h").agg(F.sum("v").alias("s")).collect()}
+    top = few.where(F.col("g") == TOP).orderBy(F.desc("v"), "h").limit(WORDS).toArrow()
+    shared.release(spark)
+    totals = np.array([sums.get(i, 0) for i in range(2 * TAIL)], np.int64)
+    model = Model(top["h"].to_numpy().view(U64), top["v"].to_numpy().astype(np.int64), totals[:TAIL], totals[TAIL:])
+    model = spark.sparkContext.broadcast(trained(src, model, size))
+    told = counts.where(F.col("g") >= 0).repartition(groups, "g")
+    fields = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_scorer(model, groups, mask)), fields)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

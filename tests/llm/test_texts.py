@@ -278,17 +278,37 @@ def test_counts_equal_brute_force(documents):
 def test_model_is_a_distribution():
     words = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(200, 100, -1)
-    m = lm.Model(words, counts, int(counts.sum()) + 50, 130)
+    # beside the head words, each hash class has 3 words that occur 50 times in all
+    own = lm.tail_of(words)
+    totals = np.bincount(own, counts, lm.TAIL).astype(np.int64) + 50
+    m = lm.Model(words, counts, totals, np.bincount(own, minlength=lm.TAIL) + 3)
     trainer = lm.Trainer(m)
     rng = np.random.default_rng(0)
     trainer.learn(rng.choice(words, 6000), np.array([0, 6000]))
     m.class_weights, m.slot_weights = trainer.tables[0][0], trainer.tables[1][0]
     history = words[[5, 9, 3]]
-    # each classed word after one history, and the words of the last class by their counts: 50 tokens over 30 words, and the unseen one
-    seen = sum(math.exp(lm.score_tokens(m, np.append(history, w), np.array([0, 4]), np.ones(4))[3]) for w in words)
-    other = np.uint64(12345)
-    rest = [math.exp(lm.score_tokens(m, np.append(history, other), np.array([0, 4]), np.array([0, 0, 0, c]))[3]) for c in (0, 50 / 30)]
-    assert seen + rest[0] + 30 * rest[1] == pytest.approx(1, abs=1e-4)
+    last = lambda w, c: math.exp(lm.score_tokens(m, np.append(history, np.uint64(w)), np.array([0, 4]), np.array([0, 0, 0, c]))[3])
+    # each head word after one history, and in each hash class its words by their counts and the unseen one
+    seen = sum(last(w, 1) for w in words)
+    rest = [last((k << 32) + 5, 0) + 3 * last((k << 32) + 5, 50 / 3) for k in range(lm.TAIL)]
+    assert seen + sum(rest) == pytest.approx(1, abs=1e-4)
+
+
+def pair_counts(toks, learn):
+    """By kind of history, for every token in order: training count of its history with a next word, and with this word."""
+
+    def history(name, w, i):
+        if name == "pair" and i == 0:
+            return None
+        at = lambda k: w[i - k] if i >= k else "<start>"
+        return {"one": (at(1),), "pair": (at(2), at(1))}[name]
+
+    out = {}
+    for name in ("one", "pair"):
+        flat = [(history(name, w, i), x, ok) for w, ok in zip(toks, learn) for i, x in enumerate((*w, None))]
+        both, alone = Counter((h, x) for h, x, ok in flat if ok and h), Counter(h for h, _, ok in flat if ok and h)
+        out[name] = [(alone[h], both[h, x]) for h, x, _ in flat]
+    return out
 
 
 def test_pairs_of_the_whole_corpus_count(documents):
@@ -300,20 +320,69 @@ def test_pairs_of_the_whole_corpus_count(documents):
     mask = lm.kept_bits(sum(len(t or "") for _, t in rows))
     words, back = np.unique(tok, return_inverse=True)
     known = (words, np.bincount(back[np.repeat(learn, np.diff(toff))], minlength=len(words)))
-    told = np.concatenate([x[2] for x in lm.grams(tok, toff, np.repeat(learn, np.diff(toff)), words, mask)])
+    told = np.concatenate([x[2] for x in lm.grams(tok, toff, np.repeat(learn, np.diff(toff)), mask)])
     got = lm.gram_counts(tok, toff, np.repeat(learn, np.diff(toff)), known, told, mask)
-
-    def history(name, w, i):
-        if i < lm.GRAMS[name][2]:
-            return None
-        at = lambda k: w[i - k] if i >= k else "<start>"
-        return {"one": (at(1),), "two": (at(2),), "three": (at(3),), "pair": (at(2), at(1))}[name]
-
-    for name in lm.GRAMS:
-        flat = [(h, x, ok) for w, ok in zip(toks, learn) for i, x in enumerate((*w, None)) for h in [history(name, w, i)]]
-        both, alone = Counter((h, x) for h, x, ok in flat if ok and h), Counter(h for h, _, ok in flat if ok and h)
-        assert got[name][1].tolist() == [both[h, x] for h, x, _ in flat]
-        assert got[name][0].tolist() == [alone[h] for h, _, _ in flat]
+    for name, expected in pair_counts(toks, learn).items():
+        assert list(zip(*(x.tolist() for x in got[name]))) == expected
+
+
+def test_score_equals_dense_softmax(documents, monkeypatch):
+    """Every token's probability by a plain softmax over all classes and slots, and plain pair counts."""
+    models, trained = [], lm.trained
+    monkeypatch.setattr(lm, "trained", lambda *a, **k: models.append(trained(*a, **k)) or models[-1])
+    few = documents.where("doc_id % 7 < 2").limit(90)
+    got = {r["id"]: r["score"] for r in lm.scored(few, groups=2).collect()}
+    m, rows = models[0], sorted(rows_of(few))
+    assert np.abs(m.class_weights).max() > 0.1 and np.abs(m.slot_weights).max() > 0.1  # something was learned
+    toks = [tuple(brute.words(t, lower=True)) for _, t in rows]
+    learn = [zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in rows]
+    texts = pa.array([t or "" for _, t in rows])
+    tok, toff = lm.tokens(texts)
+    count = Counter(t for w, ok in zip(toks, learn) if ok for t in (*w, None))
+    pairs = pair_counts(toks, learn)
+    rank = dict(zip(m.known.tolist(), m.number.tolist()))
+    top = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & top
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & top
+        return h ^ h >> 31
+
+    def chosen(weights, at, bias, target):
+        logits = [float(sum(float(weights[r, j]) for r in at) + float(bias[j])) for j in range(len(bias))]
+        high = max(logits)
+        return math.exp(logits[target] - high) / sum(math.exp(x - high) for x in logits)
+
+    flat = -1
+    for (d, _), words, a, b in zip(rows, toks, toff[:-1], toff[1:]):
+        own = [int(x) for x in tok[a:b]]
+        score = 0.0
+        for i, t in enumerate(own):
+            flat += 1
+            back = [own[i - k] if i >= k else int(lm.START) for k in (1, 2, 3)]
+            at = [mixed(x * int(lm.SEEDS[k]) & top) >> 64 - lm.ROWS_LOG2 for k, x in zip((1, 2, 3), back)]
+            group = rank[t] // lm.SLOTS if t in rank else lm.HEAD + (t >> 32) % lm.TAIL
+            p = chosen(m.class_weights, at, m.class_bias, group)
+            if t in rank:
+                inner = [mixed((at[j] << 8 | group) * int(lm.SEEDS[s]) & top) >> 64 - lm.ROWS_LOG2 for j, s in ((0, 4), (1, 5))]
+                p *= chosen(m.slot_weights, inner, m.slot_bias[group], rank[t] % lm.SLOTS)
+            else:
+                c = count[(*words, None)[i]]
+                p *= (c + 1) / (m.rest_total[group - lm.HEAD] + m.rest_distinct[group - lm.HEAD] + 1)
+            for name in ("one", "pair"):
+                history, n = pairs[name][flat]
+                s = lm.GRAMS[name][3]
+                p = (n + s * p) / (history + s)
+            score += math.log10(p)
+        assert got[d] == pytest.approx(score, rel=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions(documents, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 300_000)
+    runs = []
+    for table, groups in ((documents.coalesce(1), 2), (documents.repartition(8), 5)):
+        runs.append({r["id"]: r["score"] for r in lm.scored(table, groups=groups).collect()})
+    assert runs[0].keys() == runs[1].keys() and all(runs[1][d] == pytest.approx(s, rel=1e-9) for d, s in runs[0].items())
 
 
 def test_rare_words_depend_on_their_history(spark):
@@ -338,7 +407,7 @@ def test_rare_words_depend_on_their_history(spark):
 
 
 def test_corrected_model_is_a_distribution():
-    p, n = np.full(41, 1 / 41), np.random.default_rng(0).integers(0, 9, (4, 41)).astype(float)
+    p, n = np.full(41, 1 / 41), np.random.default_rng(0).integers(0, 9, (2, 41)).astype(float)
     assert lm.corrected(p, {k: (np.full(41, x.sum()), x) for k, x in zip(lm.GRAMS, n)}).sum() == pytest.approx(1)
 
 
