@@ -20,12 +20,23 @@ BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("n", pa.int6
 
 
 def planes(x: np.ndarray) -> bytes:
-    """64-bit values as eight byte planes, which the shuffle's codec packs well."""
-    return np.ascontiguousarray(x.astype(U64, copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit values as byte planes, without the planes that are zero in all of them: the first and last plane, then the planes."""
+    x = np.ascontiguousarray(x.astype(U64, copy=False))
+    used = np.flatnonzero(np.bitwise_or.reduce(x, initial=U64(0)).reshape(1).view(np.uint8)) if len(x) else np.zeros(0, int)
+    low, high = (int(used[0]), int(used[-1]) + 1) if len(used) else (0, 1)
+    out, each = np.empty((high - low, len(x)), np.uint8), x.view(np.uint8).reshape(-1, 8)
+    for k in range(low, high):
+        out[k - low] = each[:, k]
+    return bytes([low, high]) + out.tobytes()
 
 
 def unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(U64).reshape(-1)
+    low, high = b[0], b[1]
+    each = np.frombuffer(b, np.uint8, offset=2).reshape(high - low, -1)
+    out = np.zeros((each.shape[1], 8), np.uint8)
+    for k in range(low, high):
+        out[:, k] = each[k - low]
+    return out.view(U64).reshape(-1)
 
 
 def pack(h: np.ndarray) -> bytes:

@@ -94,7 +94,8 @@ class Model:
         # a head class or slot that holds nothing has no probability; a hash class always may come
         self.class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1)), -40).astype(np.float32)
         self.class_bias[HEAD:] = np.maximum(self.class_bias[HEAD:], 0)
-        self.slot_bias = np.where(used, np.log(np.maximum(slots, 1)), -40).astype(np.float32)
+        self.class_bias = centred(self.class_bias)
+        self.slot_bias = centred(np.where(used, np.log(np.maximum(slots, 1)), -40))
         self.class_weights = np.zeros((ROWS, CLASSES), np.float32)
         self.slot_weights = np.zeros((ROWS, SLOTS), np.float32)
 
@@ -144,10 +145,22 @@ def _folded(x: np.ndarray, f) -> np.ndarray:
     return x
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= _folded(logits, np.maximum)
-    logits -= np.log(_folded(np.exp(logits), np.add))
-    return logits
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(logits), and their sums as a column. Biases are centred, so only far outliers need a shift of their rows."""
+    with np.errstate(over="ignore"):
+        e = np.exp(logits)
+        total = _folded(e, np.add)
+    if not (np.isfinite(total) & (total > 1e-30)).all():
+        logits -= _folded(logits, np.maximum)
+        e = np.exp(logits)
+        total = _folded(e, np.add)
+    return e, total
+
+
+def centred(bias: np.ndarray) -> np.ndarray:
+    """Rows of log weights, less the logarithm of their sum."""
+    top = bias.max(axis=-1, keepdims=True)
+    return (bias - top - np.log(np.exp(bias - top).sum(axis=-1, keepdims=True))).astype(np.float32)
 
 
 def _gathered(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -163,21 +176,25 @@ def _segment_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x.view(np.complex64), first, axis=0).view(np.float32)
 
 
+def _log_chosen(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of one column of each row."""
+    _, total = exponentials(logits)
+    return logits[np.arange(len(logits)), target] - np.log(total[:, 0])
+
+
 def score_tokens(m: Model, tok: np.ndarray, toff: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Natural log probability of every token under the model; ``counts``: its training count."""
     (rank, group), rows = m.targets(tok), features(tok, toff)
     out = np.empty(len(tok))
     for a in range(0, len(tok), BATCH):
         s = slice(a, a + BATCH)
-        p = log_softmax(_gathered(m.class_weights, rows[s], m.class_bias))
-        out[s] = p[np.arange(len(p)), group[s]]
+        out[s] = _log_chosen(_gathered(m.class_weights, rows[s], m.class_bias), group[s])
     rest = np.flatnonzero(rank < 0)
     out[rest] += np.log((counts[rest] + 1.0) / (m.rest_total + m.rest_distinct + 1.0)[group[rest] - HEAD])
     inner = np.flatnonzero(rank >= 0)
     for a in range(0, len(inner), BATCH):
         i = inner[a : a + BATCH]
-        p = log_softmax(_gathered(m.slot_weights, slot_features(rows[i], group[i]), m.slot_bias[group[i]]))
-        out[i] += p[np.arange(len(p)), rank[i] % SLOTS]
+        out[i] += _log_chosen(_gathered(m.slot_weights, slot_features(rows[i], group[i]), m.slot_bias[group[i]]), rank[i] % SLOTS)
     return out
 
 
@@ -191,7 +208,8 @@ class Trainer:
     def _step(self, table: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> None:
         weights, past, touched = self.tables[table]
         n = len(rows)
-        g = np.exp(log_softmax(_gathered(weights, rows, bias)))
+        g, total = exponentials(_gathered(weights, rows, bias))
+        g /= total
         g[np.arange(n), target] -= 1
         flat = rows.T.ravel()
         order = np.argsort(flat, kind="stable")
@@ -274,21 +292,6 @@ def _learns(table: pa.Table, toff: np.ndarray) -> np.ndarray:
     return np.repeat(table["learn"].combine_chunks().to_numpy(zero_copy_only=False), np.diff(toff))
 
 
-CODEC = pa.Codec("zstd", compression_level=1)
-
-
-def _squeezed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Blob rows in fewer bytes: most planes of pairs hold zeros."""
-    small = lambda c: pa.array([x and CODEC.compress(x, asbytes=True) for x in batch.column(c).to_pylist()], pa.binary())
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "g", "n")), small("h"), small("v")], schema=X.BLOB_ARROW)
-
-
-def _loosened(table: pa.Table) -> pa.Table:
-    n = table["n"].to_pylist()
-    large = lambda c: pa.array([x and CODEC.decompress(x, 8 * k, asbytes=True) for x, k in zip(table[c].to_pylist(), n)], pa.large_binary())
-    return pa.table([*(table[c] for c in ("bucket", "g", "n")), large("h"), large("v")], names=X.BLOB_ARROW.names)
-
-
 def _sender(buckets: int, mask: np.uint64):
     def send(key: tuple, table: pa.Table) -> pa.Table:
         g = key[0].as_py()
@@ -301,7 +304,7 @@ def _sender(buckets: int, mask: np.uint64):
         pairs = X.to_buckets(g, *(np.concatenate(x) for x in zip(*found)), PARTS * buckets)
         at = pa.array(pairs.column("bucket").to_numpy() + np.int32(buckets), pa.int32())
         pairs = pa.RecordBatch.from_arrays([at, *pairs.columns[1:]], schema=X.BLOB_ARROW)
-        return pa.Table.from_batches([_squeezed(words), _squeezed(pairs)])
+        return pa.Table.from_batches([words, pairs])
 
     return send
 
@@ -311,8 +314,7 @@ TOP, STATS = -1, -2
 
 def _answerer(buckets: int):
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        out = _answer(key, _loosened(table)) if key[0].as_py() < buckets else _answer_pairs(_loosened(table))
-        return pa.Table.from_batches([_squeezed(x) for x in out.to_batches()], schema=X.BLOB_ARROW)
+        return _answer(key, table) if key[0].as_py() < buckets else _answer_pairs(table)
 
     return answer
 
@@ -346,17 +348,14 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
 
 def _unpacked(batches):
     for batch in batches:
-        for g, h, v in zip(*(_loosened(pa.Table.from_batches([batch]))[c].to_pylist() for c in ("g", "h", "v"))):
+        for g, h, v in zip(*(batch.column(c).to_pylist() for c in ("g", "h", "v"))):
             h, v = X.unpack(h), X.unplanes(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), g), pa.int32()), pa.array(h.view(np.int64)), pa.array(v.view(np.int64))], names=["g", "h", "v"])
 
 
-def gram_counts(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, known: tuple, told: np.ndarray, mask: np.uint64) -> dict:
+def gram_counts(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, count: np.ndarray, told: np.ndarray, mask: np.uint64) -> dict:
     """By kind of history: for each token, how often training has its history with a next word, and with this word.
-    ``known``: hashes and counts of words; ``told``: the counts of all pairs that ``grams`` finds."""
-    at, hit = X.found(known[0], tok)
-    count = np.zeros(len(tok))
-    count[hit] = known[1][at[hit]]
+    ``count``: training count of each token; ``told``: the counts of all pairs that ``grams`` finds."""
     # every word is followed by a word or the end; what begins a document follows the start, once a document
     followed = _back(count, toff, 1, count[tok == END].max(initial=0))
     out, done = {}, 0
@@ -383,8 +382,8 @@ def _scorer(shared_model, buckets: int, mask: np.uint64):
         if not docs.num_rows:
             return SCORED.empty_table()
         of_pairs = told["bucket"].to_numpy() >= buckets
-        known = X.received(_loosened(told.filter(pa.array(~of_pairs))))
-        pairs = _loosened(told.filter(pa.array(of_pairs)).sort_by("bucket"))["v"].to_pylist()
+        known = X.received(told.filter(pa.array(~of_pairs)))
+        pairs = told.filter(pa.array(of_pairs)).sort_by("bucket")["v"].to_pylist()
         pairs = np.concatenate([X.unplanes(x) for x in pairs]) if pairs else np.zeros(0, U64)
         tok, toff = tokens(docs["text"])
         lens = np.diff(toff)
@@ -399,7 +398,7 @@ def _scorer(shared_model, buckets: int, mask: np.uint64):
         for a, b in T.spans(docs["text"], 2 << 20):
             s = slice(toff[a], toff[b])
             p[s] = score_tokens(m, tok[s], toff[a : b + 1] - toff[a], c[s])
-        own = add(np.log10(corrected(np.exp(p), gram_counts(tok, toff, _learns(docs, toff), known, pairs, mask))))
+        own = add(np.log10(corrected(np.exp(p), gram_counts(tok, toff, _learns(docs, toff), c, pairs, mask))))
         return pa.table([docs["id"], docs["held_out"], pa.array(lens, pa.int64()), pa.array(add(hit.astype(float)).astype(np.int64)), pa.array(np.full(len(lens), m.total), pa.int64()), pa.array(base), pa.array(own)], schema=SCORED)
 
     return score
@@ -451,7 +450,7 @@ def trained(src: DataFrame, model: Model, size: int, rounds: int = ROUNDS) -> Mo
     for r in range(rounds):
         told = spark.sparkContext.broadcast(model)
         mine = part.where(F.col("round") == r).select("shard", "id", F.xxhash64("text").alias("order"), "text")
-        sent = mine.repartition(shards, "shard").sortWithinPartitions("shard", "id", "order").mapInArrow(T.steady(_learner(told)), fields)
+        sent = mine.repartitionById(shards, "shard").sortWithinPartitions("shard", "id", "order").mapInArrow(T.steady(_learner(told)), fields)
         # two steps, so that no task adds up the blocks of more than ``FAN`` others
         first = sent.withColumn("salt", F.floor(F.col("task") / FAN)).groupBy("block", "salt").applyInArrow(_average_group, fields)
         done = first.groupBy("block").applyInArrow(_average_group, fields).toArrow().to_pylist()
