@@ -314,38 +314,25 @@ TOP, STATS = -1, -2
 
 def _answerer(buckets: int):
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        return _answer(key, table) if key[0].as_py() < buckets else _answer_pairs(table)
+        """The counts over all groups of each group's hashes, in the order that the group has them; of words also the
+        bucket's top ones (group -1), and tokens and words of each hash class (group -2)."""
+        bucket, cuts = key[0].as_py(), np.cumsum(table["n"].to_numpy())
+        hashes, back = np.unique(np.concatenate([X.unpack(x) for x in table["h"].to_pylist()]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([X.unplanes(x) for x in table["v"].to_pylist()])).astype(U64)
+        v = pa.array([X.planes(x) for x in np.split(total[back], cuts[:-1])], pa.binary())
+        out = [pa.table([table["bucket"], table["g"], table["n"], pa.nulls(len(v), pa.binary()), v], schema=X.BLOB_ARROW)]
+        if bucket < buckets:
+            top = np.lexsort((hashes, -total.astype(np.int64)))[:WORDS]
+            top = np.sort(top[total[top] > 0])
+            own, seen = tail_of(hashes), total > 0
+            sums = np.concatenate([np.bincount(own, total, TAIL), np.bincount(own[seen], minlength=TAIL)]).astype(U64)
+            out.append(pa.Table.from_batches([X.replies(bucket, np.full(len(top), TOP, np.int32), hashes[top], total[top])]))
+            out.append(pa.Table.from_batches([X.replies(bucket, np.full(2 * TAIL, STATS, np.int32), np.arange(2 * TAIL, dtype=U64), sums)]))
+        return pa.concat_tables(out)
 
     return answer
 
 
-def _answer_pairs(table: pa.Table) -> pa.Table:
-    """The counts over all groups of each group's pairs, in the order that the group has them."""
-    cuts = np.cumsum(table["n"].to_numpy())
-    _, back = np.unique(np.concatenate([X.unpack(x) for x in table["h"].to_pylist()]), return_inverse=True)
-    total = np.bincount(back, np.concatenate([X.unplanes(x) for x in table["v"].to_pylist()])).astype(U64)[back]
-    v = pa.array([X.planes(x) for x in np.split(total, cuts[:-1])], pa.binary())
-    return pa.table([table["bucket"], table["g"], table["n"], pa.nulls(len(v), pa.binary()), v], schema=X.BLOB_ARROW)
-
-
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """Each group's words with their count over all groups; the bucket's top words (group -1); tokens and words of each
-    hash class (group -2)."""
-    h, g, v, first = X.merged(table)
-    bucket = key[0].as_py()
-    if not len(h):
-        return pa.Table.from_batches([X.replies(bucket, g, h, v)])
-    total = np.add.reduceat(v, first)
-    each = np.repeat(total, np.diff(np.append(first, len(h))))
-    some = each > 0
-    top = np.lexsort((h[first], -total.astype(np.int64)))[:WORDS]
-    top = np.sort(top[total[top] > 0])
-    own, seen = tail_of(h[first]), total > 0
-    sums = np.concatenate([np.bincount(own, total, TAIL), np.bincount(own[seen], minlength=TAIL)]).astype(U64)
-    out = [X.replies(bucket, g[some], h[some], each[some]), X.replies(bucket, np.full(len(top), TOP, np.int32), h[first][top], total[top]), X.replies(bucket, np.full(2 * TAIL, STATS, np.int32), np.arange(2 * TAIL, dtype=U64), sums)]
-    return pa.Table.from_batches(out)
-
-
 def _unpacked(batches):
     for batch in batches:
         for g, h, v in zip(*(batch.column(c).to_pylist() for c in ("g", "h", "v"))):
@@ -361,7 +348,7 @@ def gram_counts(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, count: np.
     out, done = {}, 0
     for name, u, _, pair, at in grams(tok, toff, learn, mask):
         n = np.zeros(len(tok))
-        n[at] = told[done : done + len(u)].astype(np.float64)[pair]
+        n[at] = told[done : done + len(u)][pair]
         done += len(u)
         out[name] = (np.maximum(followed, n), n)
         followed = _back(n, toff, 1, 0.0)
@@ -376,30 +363,31 @@ def corrected(p: np.ndarray, counts: dict) -> np.ndarray:
     return p
 
 
+def _told(table: pa.Table) -> np.ndarray:
+    """Counts that all buckets answered, in the order of hashes."""
+    parts = [X.unplanes(x) for x in table.sort_by("bucket")["v"].to_pylist()]
+    return np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
+
+
 def _scorer(shared_model, buckets: int, mask: np.uint64):
     def score(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         m = shared_model.value
         if not docs.num_rows:
             return SCORED.empty_table()
-        of_pairs = told["bucket"].to_numpy() >= buckets
-        known = X.received(told.filter(pa.array(~of_pairs)))
-        pairs = told.filter(pa.array(of_pairs)).sort_by("bucket")["v"].to_pylist()
-        pairs = np.concatenate([X.unplanes(x) for x in pairs]) if pairs else np.zeros(0, U64)
+        of_pairs = pa.compute.greater_equal(told["bucket"], buckets)
+        counts, pairs = (_told(told.filter(x)) for x in (pa.compute.invert(of_pairs), of_pairs))
         tok, toff = tokens(docs["text"])
         lens = np.diff(toff)
         row = np.repeat(np.arange(len(lens)), lens)
         add = lambda x: np.bincount(row, x, len(lens))
-        at, hit = X.found(known[0], tok)
-        c = np.zeros(len(tok))
-        c[hit] = known[1][at[hit]]
-        del at
+        c = counts[np.unique(tok, return_inverse=True)[1]]
         base = add(np.log10(c + 1)) - lens * math.log10(m.total + m.distinct + 1)
         p = np.empty(len(tok))
         for a, b in T.spans(docs["text"], 2 << 20):
             s = slice(toff[a], toff[b])
             p[s] = score_tokens(m, tok[s], toff[a : b + 1] - toff[a], c[s])
         own = add(np.log10(corrected(np.exp(p), gram_counts(tok, toff, _learns(docs, toff), c, pairs, mask))))
-        return pa.table([docs["id"], docs["held_out"], pa.array(lens, pa.int64()), pa.array(add(hit.astype(float)).astype(np.int64)), pa.array(np.full(len(lens), m.total), pa.int64()), pa.array(base), pa.array(own)], schema=SCORED)
+        return pa.table([docs["id"], docs["held_out"], pa.array(lens, pa.int64()), pa.array(add(c > 0).astype(np.int64)), pa.array(np.full(len(lens), m.total), pa.int64()), pa.array(base), pa.array(own)], schema=SCORED)
 
     return score
 
