@@ -128,6 +128,80 @@ def test_large_groups_of_near_copies(clusters, cell_bytes):
     assert found_components(clusters, groups=3, cell_bytes=cell_bytes) == brute.components(rows_of(clusters), 4, 85)
 
 
+def drifting(seed, members, words=80, chains=5):
+    """Texts that drift away from each other step by step, so that links form chains."""
+    import random
+
+    rnd, out = random.Random(seed), []
+    for _ in range(chains):
+        now = [f"w{rnd.randrange(4000)}" for _ in range(words)]
+        for _ in range(members):
+            out.append(" ".join(now))
+            now[rnd.randrange(len(now))] = f"w{rnd.randrange(4000)}"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pivots_and_windows_carry_the_join(seed):
+    texts = drifting(seed, 60)
+    value, off = jaccard.shingle_sets(pa.array(texts), 4)
+    ids = np.random.default_rng(seed).permutation(10 * len(texts))[: len(texts)]
+    sets = jaccard.Sets(ids, [X.pack(value[a:b]) for a, b in zip(off[:-1], off[1:])], 85)
+    leaves, leaf = [], sets.leaf
+    sets.leaf = lambda members: (leaves.append(len(members)), leaf(members))
+    sets.join(np.arange(len(texts)))
+    assert sets.splits > 20 and max(leaves) < len(texts) / 2  # regions were parted, and no leaf holds all
+    found = dict(zip(ids.tolist(), sets.components().tolist()))
+    assert found == {d: c for d, (_, c) in brute.components(list(zip(ids.tolist(), texts)), 4, 85).items()}
+
+
+def test_windows_hold_all_links():
+    """Any two members within the radius meet in a region, or are linked to the same pivot."""
+    value, off = jaccard.shingle_sets(pa.array(drifting(7, 40)), 4)
+    sets = jaccard.Sets(np.arange(len(off) - 1), [X.pack(value[a:b]) for a, b in zip(off[:-1], off[1:])], 85)
+    everyone = np.arange(len(sets.ids))
+    full, linked = sets.distances(everyone, everyone)
+    pivots = everyone[::29]
+    dist, near = full[pivots], linked[pivots]
+    regions = list(jaccard.windows(dist, near, sets.radius))
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        assert any(r[i] and r[j] for r in regions) or (near[:, i] & near[:, j]).any()
+
+
+def test_sketches_and_places_lose_no_link(documents):
+    rows = [(d, t) for d, t in rows_of(documents) if t]
+    value, off = jaccard.shingle_sets(pa.array([t for _, t in rows]), 4)
+    sketch = np.frombuffer(b"".join(jaccard.sketches(value, off, np.ones(len(rows), bool))), np.uint8).reshape(-1, jaccard.SKETCH)
+    n, linked = np.diff(off), brute.components(rows, 4, 85)
+    root = jaccard.ties(np.zeros(len(rows), np.int64), n, np.zeros(len(rows), np.int64), sketch, 85)
+    where = {d: i for i, (d, _) in enumerate(rows)}
+    assert all(root[where[d]] == root[where[c]] for d, (_, c) in linked.items())
+    assert len(set(root.tolist())) > len(rows) / 2  # and most others are apart
+
+
+@pytest.mark.parametrize("first, most, members", [(8, 64, 24), (4, 32, 100)])
+def test_cells_are_split_over_tasks(spark, clusters, monkeypatch, first, most, members):
+    for name, value in {"FIRST_PIVOTS": first, "MOST_PIVOTS": most, "PART": 16, "PIVOTS": min(8, first)}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    largest, split = [], jaccard._split_cells
+
+    def watched(*args):
+        small, links = split(*args)
+        largest.append((small.groupBy("cell").count().agg({"count": "max"}).first()[0], links.count()))
+        return small, links
+
+    monkeypatch.setattr(jaccard, "_split_cells", watched)
+    chains = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(drifting(1, 60, chains=2))], "doc_id long, text string")
+    table = clusters.unionByName(chains)
+    assert found_components(table, groups=3, cell_members=members) == brute.components(rows_of(table), 4, 85)
+    assert largest[0][0] <= members and largest[0][1] > 50
+
+
+def test_large_regions_are_tied_as_a_whole(clusters, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION", 20)
+    assert found_components(clusters, groups=2, cell_members=64) == brute.components(rows_of(clusters), 4, 85)
+
+
 def test_join_defined_cases(odd):
     out = jaccard.jaccard_components(odd).collect()
     assert len(out) == odd.count()
