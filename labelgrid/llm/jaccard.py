@@ -45,11 +45,11 @@ from . import text as T
 
 U64 = np.uint64
 SHINGLE, PERCENT = 4, 85
-LEAF, PIVOTS, CELL_BYTES, CELL_MEMBERS, PART, SALTS = 8, 8, 8 << 20, 512, 256, 16
+LEAF, PIVOTS, CELL_BYTES, CELL_MEMBERS, PART, SALTS = 8, 8, 8 << 20, 256, 256, 16
 #: Members of a region whose pairs are looked at one by one; hash buckets of a sketch; pairs in memory at once.
 REGION, SKETCH, PAIRS = 4096, 64, 1 << 18
 #: Bytes of small cells that one call joins.
-PACK = 1 << 20
+PACK = 1 << 18
 #: Pivots of a cell that doesn't shrink, at first and at most.
 FIRST_PIVOTS, MOST_PIVOTS = 32, 1024
 ROWS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("lead", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary()), ("shingles", pa.binary())])
@@ -272,8 +272,9 @@ class Sets:
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         both = np.zeros((k, k))
-        wide = max(256, (1 << 22) // k)
-        for first in range(0, int(several.sum()), wide):
+        columns = int(several.sum())
+        wide = max(1, min(columns, max(256, (1 << 22) // k)))
+        for first in range(0, columns, wide):
             a, b = np.searchsorted(column, [first, first + wide])
             part = np.zeros((k, wide), np.float32)
             part[row[a:b], column[a:b] - first] = 1

@@ -179,7 +179,7 @@ def test_sketches_and_places_lose_no_link(documents):
     assert len(set(root.tolist())) > len(rows) / 2  # and most others are apart
 
 
-@pytest.mark.parametrize("first, most, members", [(8, 64, 24), (4, 32, 100)])
+@pytest.mark.parametrize("first, most, members", [(8, 64, 24), (4, 32, 12)])
 def test_cells_are_split_over_tasks(spark, clusters, monkeypatch, first, most, members):
     for name, value in {"FIRST_PIVOTS": first, "MOST_PIVOTS": most, "PART": 16, "PIVOTS": min(8, first)}.items():
         monkeypatch.setattr(jaccard, name, value)
