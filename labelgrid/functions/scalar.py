@@ -42,9 +42,14 @@ def dim_pack(parts: list[Column | str], factor: int) -> Column:
     return out
 
 
+def floor_div(a: Column | str, b: int) -> Column:
+    """Floor of a quotient of whole numbers, exact for all longs (``/`` would be in double precision)."""
+    a, b = col(a).cast("long"), F.lit(b).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b)
+
+
 def dim_unpack(value: Column | str, factor: int, n: int = 3) -> list[Column]:
-    v = col(value).cast("long")
-    return [F.pmod(F.floor(v / F.lit(factor**k)).cast("long"), F.lit(factor)).cast("long") for k in range(n - 1, -1, -1)]
+    return [F.pmod(floor_div(value, factor**k), F.lit(factor)).cast("long") for k in range(n - 1, -1, -1)]
 
 
 def array_text(values: Column | str) -> Column:
@@ -72,12 +77,14 @@ def spaced_colors(spark, n: int) -> DataFrame:
 
 
 def ceil_div(a: Column | str, b: int) -> Column:
-    """Ceiling of a quotient of non-negative numbers."""
-    return F.floor((col(a) + (b - 1)) / b).cast("long")
+    """Ceiling of a quotient of whole numbers."""
+    return -floor_div(-col(a).cast("long"), b)
 
 
 def midpoint(a: Column | str, b: Column | str) -> Column:
-    return F.floor((col(a) + col(b)) / 2).cast("long")
+    """Floor of the mean of two whole numbers; their sum may be beyond a long."""
+    a, b = col(a).cast("long"), col(b).cast("long")
+    return a.bitwiseAND(b) + F.shiftright(a.bitwiseXOR(b), 1)
 
 
 def square_chunk(target: Column | str, least: Column | str) -> Column:
@@ -114,11 +121,12 @@ def adjust(df: DataFrame, value: str, low: float | None = None, high: float | No
     return df.withColumn("adjusted", v).drop("_low", "_high")
 
 
-def divide_by_marginal(df: DataFrame, value: str, by: str) -> Column:
-    """A value over its row's or column's sum; zeros stay zero."""
-    from pyspark.sql import Window
-
-    return F.coalesce(F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(by))), F.lit(0.0))
+def divide_by_marginal(df: DataFrame, value: str, by: str, name: str) -> DataFrame:
+    """``df`` with a column ``name``: a value over its row's or column's sum; zeros stay zero. The sums are an aggregation, which
+    combines before its shuffle, and are joined back, so that no task holds all values of one row."""
+    sums = df.groupBy(by).agg(F.sum(value).alias("_sum"))
+    share = F.coalesce(F.try_divide(F.col(value), F.col("_sum")), F.lit(0.0))
+    return df.join(sums, by).select(*[c for c in df.columns if c != name], share.alias(name))
 
 
 def gaussian_attention(x: Column | str, c1: float, c2: float, v1: float, v2: float) -> Column:

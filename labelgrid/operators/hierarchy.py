@@ -15,20 +15,28 @@ def hierarchy_relabel(segments: DataFrame, bad: list[str] = ("bad", "del"), keep
     parents, up to the root, except below parents whose name has a word of ``keep`` or is the background. With ``resurrect``,
     a bad child of a good parent is merged instead of deleted.
 
-    Chains are followed by pointer doubling: the number of joins is the logarithm of the longest chain."""
+    Chains are followed by pointer doubling: the number of joins is the logarithm of the longest chain. Segments that are
+    their own ancestors raise ValueError with one of their ids."""
     seg = segments.select(F.col(id).cast("long").alias("id"), F.col(parent).cast("long").alias("p"), has_keyword(name, list(bad)).alias("bad"), has_keyword(name, [*keep, "background"]).alias("stop"))
     over = seg.select(F.col("id").alias("p"), F.col("bad").alias("p_bad"), F.col("stop").alias("p_stop"))
     both = seg.join(over, "p", "left").withColumns({"p_bad": F.coalesce("p_bad", F.lit(False)), "p_stop": F.coalesce("p_stop", F.col("p") == 0)})
     merges = ~F.col("p_bad") & ~F.col("p_stop")
     gone = F.col("bad") | F.col("p_bad")
     to = F.when(merges, F.col("p")).when(gone, 0).otherwise(F.col("id")) if resurrect else F.when(gone, 0).when(merges, F.col("p")).otherwise(F.col("id"))
-    now = written(both.select("id", to.cast("long").alias("new")), "chains")
+    first = now = written(both.select("id", to.cast("long").alias("new")), "chains")
+    # whoever stands for others must stand for itself; on a cycle nobody does, or nobody comes to rest
+    moving = first.where("new != id and new != 0").select(F.col("id").alias("new"))
+    rounds = now.count().bit_length() + 1
     while True:
         on = now.select(F.col("id").alias("new"), F.col("new").alias("_next"))
         step = written(now.join(on, "new", "left").select("id", "new", F.coalesce("_next", "new").alias("_next")), "chains")
-        moved = step.where("new != _next").limit(1).count()
+        moved = step.where("new != _next").first()
         now = step.select("id", F.col("_next").alias("new"))
-        if not moved:
+        rounds -= 1
+        caught = now.join(moving, "new", "left_semi").first() if moved is None else moved if rounds < 0 else None
+        if caught is not None:
+            raise ValueError(f"segment {caught['id']} is below a cycle of parents")
+        if moved is None:
             return now
 
 
@@ -97,7 +105,8 @@ class Sets:
         return ids.join(self.elements.withColumnRenamed("id", key), key, "left_semi")
 
     def relabel(self) -> DataFrame:
-        """``id, new`` for 0 to the largest element: the least member of its set, or itself for what is no element."""
+        """``id, new`` for 0 to the largest element: the least member of its set, or itself for what is no element. One row an id
+        up to the largest, which suits dense ids; for sparse ones ``mapping`` has the elements only."""
         spark = self.elements.sparkSession
         top = self.elements.agg(F.max("id")).first()[0]
         return spark.range((top if top is not None else -1) + 1).join(self.mapping(), "id", "left").select("id", F.coalesce("component", "id").alias("new"))

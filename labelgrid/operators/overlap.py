@@ -30,20 +30,16 @@ def contingency(pairs: DataFrame, ignore_seg: list[int] = (), ignore_gt: list[in
     return table.crossJoin(F.broadcast(total)).select("seg", "gt", "n", (F.col("n") / F.col("_all")).alias("p"))
 
 
-def _with_marginals(table: DataFrame) -> DataFrame:
-    """Adds each pair's marginal sums over the whole table."""
-    seg, gt = Window.partitionBy("seg"), Window.partitionBy("gt")
-    return table.withColumns({"n_seg": F.sum("n").over(seg), "n_gt": F.sum("n").over(gt)})
-
-
 def adapted_rand(pairs: DataFrame) -> DataFrame:
     """``error, precision, recall`` of a segmentation against a ground truth whose label 0 is not counted."""
     table = contingency(pairs).withColumn("n", F.col("n").cast("double"))
     fg, both_fg = F.col("gt") > 0, (F.col("gt") > 0) & (F.col("seg") > 0)
-    # a sum of squared marginals is the sum over pairs of the pair's count times its marginal: one pass over the pairs
-    wide = table.withColumns({"row": F.sum("n").over(Window.partitionBy("gt")), "col": F.sum(F.when(both_fg, F.col("n"))).over(Window.partitionBy("seg"))})
-    n = F.col("n")
-    one = wide.agg(F.sum("n").alias("n"), F.sum(F.when(fg, n * F.col("row"))).alias("a"), F.sum(F.when(both_fg, n * F.col("col"))).alias("b"), F.sum(F.when(both_fg, n * n)).alias("ab"), F.sum(F.when(fg & (F.col("seg") == 0), n)).alias("c"))
+    # pairs and both marginals from one pass over the pairs, combined before the shuffle; labels are never null, so null is "all"
+    table = table.withColumns({"both": F.when(both_fg, F.col("n")), "lone": F.when(fg & (F.col("seg") == 0), F.col("n"))})
+    sums = table.groupingSets([["seg", "gt"], ["gt"], ["seg"]], "seg", "gt").agg(F.grouping_id().alias("of"), *[F.sum(c).alias(c) for c in ("n", "both", "lone")])
+    square = lambda c, where: F.sum(F.when(where, F.col(c) * F.col(c)))
+    pair, by_gt, by_seg = F.col("of") == 0, F.col("of") == 2, F.col("of") == 1
+    one = sums.agg(F.sum(F.when(pair, F.col("n"))).alias("n"), square("n", by_gt & fg).alias("a"), square("both", by_seg).alias("b"), square("both", pair).alias("ab"), F.sum(F.when(pair, F.col("lone"))).alias("c"))
     # foreground voxels that the segmentation leaves out add their share of all voxels to both sums
     zero = F.lit(0.0)
     lone = F.coalesce(F.col("c") / F.col("n"), zero)
@@ -56,15 +52,14 @@ def adapted_rand(pairs: DataFrame) -> DataFrame:
 def vi_tables(pairs: DataFrame, ignore_seg: list[int] = (), ignore_gt: list[int] = ()) -> DataFrame:
     """Conditional entropy (bits) that each label adds: ``side, label, entropy``. Side ``seg``: of the ground truth inside
     the segment; side ``gt``: of the segmentation inside the true object."""
-    table = _with_marginals(contingency(pairs, ignore_seg, ignore_gt))
+    # with m the label's voxels and N all voxels: -m/N sum (n/m) log2 (n/m) = (m log2 m - sum n log2 n) / N, so one
+    # aggregation with both sides as grouping sets is enough
+    table = contingency(pairs, ignore_seg, ignore_gt).withColumn("w", xlogx(F.col("n").cast("double")))
     total = table.agg(F.sum("n").alias("_all"))
-    table = table.crossJoin(F.broadcast(total))
-    out = None
-    for side in ("seg", "gt"):
-        inner = xlogx(F.col("n") / F.col(f"n_{side}"))
-        part = table.groupBy(F.lit(side).alias("side"), F.col(side).alias("label")).agg((-F.sum(inner) * F.max(F.col(f"n_{side}") / F.col("_all"))).alias("entropy"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    sums = table.groupingSets([["seg"], ["gt"]], "seg", "gt").agg(F.grouping_id().alias("of"), F.sum("n").cast("double").alias("m"), F.sum("w").alias("w"))
+    side = F.when(F.col("of") == 1, "seg").otherwise("gt")
+    entropy = F.greatest(xlogx(F.col("m")) - F.col("w"), F.lit(0.0)) / F.col("_all")
+    return sums.crossJoin(F.broadcast(total)).select(side.alias("side"), F.coalesce("seg", "gt").alias("label"), entropy.alias("entropy"))
 
 
 def split_vi(pairs: DataFrame, ignore_seg: list[int] = (), ignore_gt: list[int] = ()) -> DataFrame:

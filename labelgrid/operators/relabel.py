@@ -98,7 +98,7 @@ def offset_labels(df: DataFrame, chunk: list[str], label: str = "label") -> Data
 def merge_pairs(a: DataFrame, b: DataFrame, axes: list[str], offset_a: int, offset_b: int) -> DataFrame:
     """Pairs of instances that meet, of two volumes whose labels 2n-1 and 2n are the two sides of instance n: for each
     distinct pair, (2n, 2m) and (2n-1, 2m-1) with offsets. ``id0, id1``."""
-    half = lambda c: F.floor((F.col(c) + 1) / 2).cast("long")
+    half = lambda c: F.shiftright(F.col(c).cast("long"), 1) + F.col(c).cast("long").bitwiseAND(F.lit(1))
     left, right = a.select(*axes, half("label").alias("a")), b.select(*axes, half("label").alias("b"))
     pairs = left.join(right, axes).where("a > 0 and b > 0").select("a", "b").distinct()
     side = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")

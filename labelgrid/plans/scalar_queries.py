@@ -97,7 +97,8 @@ def _(spark, d):
 @query("divide_rows", "SELECT l_returnflag, l_linestatus, round(coalesce(q / nullif(sum(q) OVER (PARTITION BY l_returnflag), 0), 0), 9) AS by_row, round(coalesce(q / nullif(sum(q) OVER (PARTITION BY l_linestatus), 0), 0), 9) AS by_column FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)")
 def _(spark, d):
     q = E.table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("q"))
-    return q.select("l_returnflag", "l_linestatus", F.round(S.divide_by_marginal(q, "q", "l_returnflag"), 9).alias("by_row"), F.round(S.divide_by_marginal(q, "q", "l_linestatus"), 9).alias("by_column"))
+    both = S.divide_by_marginal(S.divide_by_marginal(q, "q", "l_returnflag", "by_row"), "q", "l_linestatus", "by_column")
+    return both.select("l_returnflag", "l_linestatus", F.round("by_row", 9).alias("by_row"), F.round("by_column", 9).alias("by_column"))
 
 
 @query("ceil_div", "SELECT p_partkey, CAST((p_partkey + 6) // 7 AS BIGINT) AS v, least(64.0::DOUBLE, pow(2.0::DOUBLE, ceil(log2(sqrt(CAST(p_size AS DOUBLE)))))) AS side FROM part")

@@ -11,10 +11,13 @@ _local: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the session has it; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` as the session has it. Where it is unset, a temporary folder, but only if driver and executors
+    are one process: elsewhere each executor would write to its own disk."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="labelgrid-"))
     return "file://" + _local[0]

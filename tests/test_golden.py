@@ -293,3 +293,47 @@ def test_objects_from_slices(spark):
     a = np.array([[[1, 1, 0, 2]], [[0, 0, 0, 0]], [[5, 5, 0, 0]], [[7, 0, 0, 2]]])
     out = array(overlap.assembled(table(spark, a)), a.shape)
     assert out[:, 0].tolist() == [[1, 1, 0, 2], [0, 0, 0, 0], [1, 1, 0, 0], [1, 0, 0, 3]]
+
+
+def test_whole_numbers_beyond_double_precision(spark):
+    big = [2**53 + 1, 2**62 + 1, 2**62 + 2, 7, 0]
+    df = spark.createDataFrame([(v,) for v in big], "v long")
+    three = df.select("v", *[c.alias(n) for n, c in zip("abc", scalar.dim_unpack("v", 10**6))]).collect()
+    assert all((r["a"], r["b"], r["c"]) == (r["v"] // 10**12 % 10**6, r["v"] // 10**6 % 10**6, r["v"] % 10**6) for r in three)
+    found = df.select("v", scalar.ceil_div("v", 3).alias("c"), scalar.midpoint("v", F.lit(2**62 + 1)).alias("m"), scalar.midpoint(-F.col("v"), F.lit(0)).alias("n")).collect()
+    assert all((r["c"], r["m"], r["n"]) == (-(-r["v"] // 3), (r["v"] + 2**62 + 1) // 2, -r["v"] // 2) for r in found)
+    v = spark.createDataFrame([(0, 0, 0, 2**53 + 1), (0, 0, 1, 2**62), (0, 0, 2, 7)], "z int, y int, x int, label long")
+    pairs_ = relabel.merge_pairs(v, v, ["z", "y", "x"], 0, 0).collect()
+    assert {r["id0"] for r in pairs_} == {2**53 + 2, 2**53 + 1, 2**62, 2**62 - 1, 8, 7}
+
+
+@pytest.mark.parametrize("cycle", [1, 2, 3, 5])
+def test_a_cycle_of_parents_is_an_error(spark, cycle):
+    rows = [(1 + i, 1 + (i + 1) % cycle, "a") for i in range(cycle)] + [(50, 1, "b"), (51, 50, "c"), (60, 0, "root"), (61, 60, "leaf")]
+    df = spark.createDataFrame(rows, "nr long, parentnr long, name string")
+    if cycle == 1:  # a segment that is its own parent is a root
+        assert {r["id"]: r["new"] for r in hierarchy.hierarchy_relabel(df).collect()} == {1: 1, 50: 1, 51: 1, 60: 60, 61: 60}
+        return
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.hierarchy_relabel(df)
+
+
+def test_long_chains_of_parents(spark):
+    df = spark.createDataFrame([(i + 1, i, "a") for i in range(300)], "nr long, parentnr long, name string")
+    assert {r["new"] for r in hierarchy.hierarchy_relabel(df).collect()} == {1}
+
+
+def test_scores_with_a_label_that_nearly_all_voxels_have(spark):
+    rng = np.random.default_rng(3)
+    seg, gt = rng.integers(0, 40, (5, 20, 20)), rng.integers(0, 30, (5, 20, 20))
+    seg[rng.random(seg.shape) < 0.8], gt[rng.random(gt.shape) < 0.8] = 0, 0
+    n = np.zeros((40, 30))
+    np.add.at(n, (seg.ravel(), gt.ravel()), 1)
+    rows, cols = n.sum(1), n.sum(0)
+    log = lambda x: np.where(x > 0, x * np.log2(np.maximum(x, 1)), 0)
+    found = {(r["side"], r["label"]): r["entropy"] for r in overlap.vi_tables(pairs(spark, seg, gt)).collect()}
+    for side, total, part in (("seg", rows, log(n).sum(1)), ("gt", cols, log(n).sum(0))):
+        expected = {(side, i): (log(t) - p) / n.sum() for i, (t, p) in enumerate(zip(total, part)) if t}
+        assert {k: v for k, v in found.items() if k[0] == side} == pytest.approx(expected, abs=1e-12)
+    plan = overlap.adapted_rand(pairs(spark, seg, gt))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
