@@ -3,16 +3,21 @@
 Documents are dealt into groups; each group sorts its own hashes, merges equal ones and
 sends them to hash ranges ("buckets") as compact binary rows. A bucket merges the blobs of
 all groups, and answers each group with what it needs to know. A hash that a third of all
-rows share costs one entry a group, so there is no hot key, and no text moves to a bucket.
+rows share costs one entry a group, so there is no hot key, and no text moves to a bucket. With
+many groups, blobs take two hops (see ``Hops``).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import one
+
 U64 = np.uint64
 MB = 1 << 20
 BLOB = "bucket int, g int, n long, h binary, v binary"
@@ -127,21 +132,134 @@ def by_hash(docs: DataFrame, groups: int, key: str = "id", text: str = "text") -
     return docs.withColumn("g", g).repartition(groups, "g")
 
 
-def by_range(docs: DataFrame, groups: int, key: str = "doc_id") -> DataFrame:
-    """Documents with a group ``g`` that rises with their key (null: group 0), together by group.
+#: Bounds between ranges that the driver asks for at most; bytes of text for which a row counts once more.
+BOUNDS, UNIT = 4096, 4096
+
+
+def by_range(docs: DataFrame, groups: int, key: str = "id", text: str = "text") -> DataFrame:
+    """Documents with a group ``g`` that rises with their key, together by group; those without a key are dealt by the hash of
+    their text, as they are neither before nor after any other.
 
-    The group bounds are quantiles of the key, taken over all rows; a two-level search finds a row's group."""
-    bounds = []
+    Bounds are quantiles of the key by bytes of text over all rows (a long text counts several times), ``BOUNDS`` at most;
+    a two-level search finds a row's range. Beyond that number each range is cut into equal steps of the key."""
+    bounds, name = [], key.replace("`", "``")
     if groups > 1:
-        share = [i / groups for i in range(1, groups)]
-        bounds = sorted(set(docs.agg(F.percentile_approx(key, F.lit(share), F.lit(max(10_000, 20 * groups)))).first()[0] or []))
+        ranges = min(groups, BOUNDS)
+        share = [i / ranges for i in range(1, ranges)]
+        sizes = docs.select(F.col(key).alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).alias("b")).where("k is not null")
+        weighed = sizes.select("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("b") / UNIT).cast("int"))))
+        bounds = sorted(set(weighed.agg(F.percentile_approx("k", F.lit(share), F.lit(max(10_000, 20 * ranges)))).first()[0] or []))
     if not bounds:
-        return docs.withColumn("g", F.lit(0)).repartition(groups, "g")
+        return docs.withColumn("g", F.pmod(F.xxhash64(text), F.lit(groups)).cast("int")).repartition(groups, "g")
     step = max(1, int(len(bounds) ** 0.5))
     tops, parts = bounds[::step], [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    name = key.replace("`", "``")
     listed = lambda x: "array(" + ",".join(f"{int(b)}L" for b in x) + ")"
     nested = "array(" + ",".join(map(listed, parts)) + ")"
     top = f"size(filter({listed(tops)}, b -> b <= `{name}`))"
-    g = F.expr(f"CASE WHEN `{name}` IS NULL OR {top} = 0 THEN 0 ELSE ({top} - 1) * {step} + size(filter({nested}[{top} - 1], b -> b <= `{name}`)) END").cast("int")
-    return docs.withColumn("g", g).repartition(len(bounds) + 1, "g")
+    at = f"CASE WHEN {top} = 0 THEN 0 ELSE ({top} - 1) * {step} + size(filter({nested}[{top} - 1], b -> b <= `{name}`)) END"
+    steps = -(-groups // (len(bounds) + 1))
+    docs = docs.withColumn("g", F.expr(at).cast("int"))
+    if steps > 1:
+        # the outer ranges end at the least and the largest key
+        ends = docs.agg(F.min(key), F.max(key)).first()
+        edges = [ends[0], *bounds, ends[1] + 1]
+        low, high = (F.element_at(F.expr(listed(x)), F.col("g") + 1) for x in (edges[:-1], edges[1:]))
+        part = (F.col(key) - low).cast("double") / (high - low) * steps
+        docs = docs.withColumn("g", (F.col("g") * steps + F.least(F.floor(part), F.lit(steps - 1))).cast("int"))
+    any_ = F.pmod(F.xxhash64(text), F.lit(groups)).cast("int")
+    return docs.withColumn("g", F.when(F.col(key).isNull(), any_).otherwise(F.col("g"))).repartition((len(bounds) + 1) * steps, "g")
+
+
+# --- from groups to buckets and back
+
+#: Groups that send to every bucket directly; beyond them, blobs go in two hops.
+DIRECT = 1024
+
+
+def _bundled(table: pa.Table, to: np.ndarray) -> pa.Table:
+    """Blob rows put into one row a destination, as an Arrow stream each."""
+    order = np.argsort(to, kind="stable")
+    table, to = table.take(pa.array(order)), to[order]
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, np.int64)
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        sink = pa.BufferOutputStream()
+        part = table.slice(a, b - a).combine_chunks()
+        with pa.ipc.new_stream(sink, BLOB_ARROW) as out:
+            out.write_table(part)
+        rows.append(sink.getvalue().to_pybytes())
+    return pa.table([pa.array(to[cuts[:-1]], pa.int64()), pa.array(rows, pa.binary())], names=["to", "rows"])
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    """The blob rows of bundles."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table["rows"].to_pylist()] or [BLOB_ARROW.empty_table()])
+
+
+BUNDLE = "to long, rows binary"
+
+
+class Hops:
+    """Ways of blobs between ``groups`` groups and ``buckets`` buckets.
+
+    Up to ``DIRECT`` groups, each sends a row to every bucket. Beyond them buckets are put together in about sqrt(buckets)
+    runs, groups in as many sets, and a task for each run and set passes on what comes from its groups to its buckets,
+    and the answers back; so a group or bucket sends and gets about sqrt(groups) rows, whose size does not fall with their number."""
+
+    def __init__(self, groups: int, buckets: int):
+        self.groups, self.buckets = groups, buckets
+        self.direct = groups <= DIRECT
+        self.runs, self.sets = max(1, math.isqrt(buckets)), max(1, math.isqrt(groups))
+
+    def _task(self, bucket: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return (bucket.astype(np.int64) * self.runs // self.buckets) * self.sets + g % self.sets
+
+    def sent(self, f):
+        """A function of a group that returns blob rows for buckets, as one whose rows leave for the first hop."""
+        if self.direct:
+            return f
+        return lambda key, table: (lambda out: _bundled(out, self._task(out["bucket"].to_numpy(), out["g"].to_numpy())))(f(key, table))
+
+    @property
+    def schema(self) -> str:
+        return BLOB if self.direct else BUNDLE
+
+    def _hop(self, frame: DataFrame, by: str) -> DataFrame:
+        def pass_on(key: tuple, table: pa.Table) -> pa.Table:
+            out = _opened(table)
+            return _bundled(out, out[by].to_numpy().astype(np.int64))
+
+        return frame.repartition(self.runs * self.sets, "to").groupBy("to").applyInArrow(one(pass_on), BUNDLE)
+
+    def answered(self, sent: DataFrame, answer) -> DataFrame:
+        """What buckets answer to what was ``sent``: blob rows, or bundles on their way back."""
+        if self.direct:
+            return sent.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(one(answer), BLOB)
+
+        def reply(key: tuple, table: pa.Table) -> pa.Table:
+            out = answer(key, _opened(table))
+            return _bundled(out, np.where(out["g"].to_numpy() < 0, -1, self._task(out["bucket"].to_numpy(), out["g"].to_numpy())))
+
+        return self._hop(sent, "bucket").repartition(self.buckets, "to").groupBy("to").applyInArrow(one(reply), BUNDLE)
+
+    def told(self, answered: DataFrame) -> DataFrame:
+        """Answers by group, to be grouped by ``g``."""
+        if self.direct:
+            return answered.where(F.col("g") >= 0).repartition(self.groups, "g")
+        back = self._hop(answered.where(F.col("to") >= 0), "g")
+        return back.select(F.col("to").cast("int").alias("g"), "rows").repartition(self.groups, "g")
+
+    def aside(self, answered: DataFrame) -> DataFrame:
+        """Answers to nobody (groups below 0), as blob rows."""
+        if self.direct:
+            return answered.where(F.col("g") < 0)
+
+        def opened(batches):
+            for batch in batches:
+                yield from _opened(pa.Table.from_batches([batch])).to_batches()
+
+        return answered.where(F.col("to") < 0).mapInArrow(opened, BLOB)
+
+    def rows(self, told: pa.Table) -> pa.Table:
+        """The blob rows that a group was told."""
+        return told if self.direct else _opened(told)

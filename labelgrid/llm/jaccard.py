@@ -111,9 +111,9 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _profiler(k: int, percent: int, mask: np.uint64):
+def _profiler(k: int, percent: int, mask: np.uint64, hops: X.Hops):
     def profile(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        known, df = X.received(told)
+        known, df = X.received(hops.rows(told))
         value, off = shingle_sets(docs["text"], k)
         n = np.diff(off)
         at, rep = X.found(known, value & mask)
@@ -417,9 +417,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     total = X.text_bytes(src)
     groups, mask = groups or X.group_count(total), kept_bits(total)
     dealt = X.by_hash(src, groups, "id").select("g", "id", "text")
-    sent = dealt.groupBy("g").applyInArrow(T.one(_sender(k, groups, mask)), X.BLOB)
-    told = sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(T.one(_answer), X.BLOB).repartition(groups, "g")
-    rows = shared.written(dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_profiler(k, percent, mask)), SPARK_ROWS), "profiles")
+    hops = X.Hops(groups, groups)
+    sent = dealt.groupBy("g").applyInArrow(T.one(hops.sent(_sender(k, groups, mask))), hops.schema)
+    told = hops.told(hops.answered(sent, _answer))
+    rows = shared.written(dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_profiler(k, percent, mask, hops)), SPARK_ROWS), "profiles")
     del dealt, sent, told
     shared.release(docs.sparkSession)
     # equal sets are one member: the least id stands for them
@@ -474,8 +475,8 @@ def _with_sets(text: str, k: int):
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` but one a group of linked documents: the least id stays, with one row for each of its sets; rows
-    without an id stay."""
+    """The rows of ``docs`` but one a group of linked documents: the least id stays, with one row for each of its sets, the least
+    by its text and then by all its columns as JSON; rows without an id stay."""
     found = jaccard_components(docs, key, **how)
     gone = shared.written(found.where("id != component_id").select(F.col("id").alias(key)).distinct(), "gone")
     again = found.groupBy("id").count().where("count > 1 and id is not null")
@@ -485,7 +486,10 @@ def representatives(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
         return kept
     several = kept.join(again, key, "left_semi")
     with_sets = several.mapInArrow(T.steady(_with_sets(how.get("text", "text"), how.get("k", SHINGLE))), StructType([*several.schema.fields, StructField(SET, BinaryType())]))
-    return kept.join(again, key, "left_anti").unionByName(with_sets.dropDuplicates([key, SET]).drop(SET))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = F.min_by(row, F.struct(F.col(how.get("text", "text")), F.to_json(row))).alias("row")
+    chosen = with_sets.groupBy(F.col(key).alias("a key"), SET).agg(least).select("row.*")
+    return kept.join(again, key, "left_anti").unionByName(chosen)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -369,11 +369,12 @@ def _told(table: pa.Table) -> np.ndarray:
     return np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
 
 
-def _scorer(shared_model, buckets: int, mask: np.uint64):
+def _scorer(shared_model, buckets: int, mask: np.uint64, hops: X.Hops):
     def score(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         m = shared_model.value
         if not docs.num_rows:
             return SCORED.empty_table()
+        told = hops.rows(told)
         of_pairs = pa.compute.greater_equal(told["bucket"], buckets)
         counts, pairs = (_told(told.filter(x)) for x in (pa.compute.invert(of_pairs), of_pairs))
         tok, toff = tokens(docs["text"])
@@ -466,20 +467,20 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     size = X.text_bytes(src)
     groups, mask = groups or X.group_count(size), kept_bits(size)
     dealt = X.by_hash(src, groups, "id").select("g", "id", "text", "held_out", "learn")
-    sent = dealt.groupBy("g").applyInArrow(T.one(_sender(groups, mask)), X.BLOB)
-    answered = sent.repartition((1 + PARTS) * groups, "bucket").groupBy("bucket").applyInArrow(T.one(_answerer(groups)), X.BLOB)
-    counts = shared.written(answered, "counts")
-    del sent, answered
-    few = counts.where(F.col("g") < 0).mapInArrow(_unpacked, "g int, h long, v long")
+    hops = X.Hops(groups, (1 + PARTS) * groups)
+    sent = dealt.groupBy("g").applyInArrow(T.one(hops.sent(_sender(groups, mask))), hops.schema)
+    counts = shared.written(hops.answered(sent, _answerer(groups)), "counts")
+    del sent
+    few = hops.aside(counts).mapInArrow(_unpacked, "g int, h long, v long")
     sums = {x.h: int(x.s) for x in few.where(F.col("g") == STATS).groupBy("h").agg(F.sum("v").alias("s")).collect()}
     top = few.where(F.col("g") == TOP).orderBy(F.desc("v"), "h").limit(WORDS).toArrow()
     shared.release(spark)
     totals = np.array([sums.get(i, 0) for i in range(2 * TAIL)], np.int64)
     model = Model(top["h"].to_numpy().view(U64), top["v"].to_numpy().astype(np.int64), totals[:TAIL], totals[TAIL:])
     model = spark.sparkContext.broadcast(trained(src, model, size))
-    told = counts.where(F.col("g") >= 0).repartition(groups, "g")
+    told = hops.told(counts)
     fields = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_scorer(model, groups, mask)), fields)
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_scorer(model, groups, mask, hops)), fields)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ Statistics are array arithmetic over whole batches. The trees are grown on the d
 most ``sample`` labelled rows (the first in hash order of their id, so the choice does not
 depend on partitioning), and flattened into arrays; scoring walks all trees of a batch in step.
 
-Defined cases: a null text is an empty one and gets a score like any other; a null id is never
-held out and never learned from; rows that share an id are scored each on its own, and of
-several labels for an id the least counts; without labels every score is 0.5; extra columns
-are not read.
+Defined cases: a null text is an empty one and gets a score like any other; a text of any length is measured whole; a null id is
+never held out and never learned from; rows that share an id are scored each on its own, and of several labels for an id the
+least counts; without labels every score is 0.5; an empty table gives no rows; extra columns are not read, and stay as they
+are whatever their names (``scored`` replaces a column of the score's name, ``accepted`` none).
 """
 
 from __future__ import annotations
@@ -223,8 +223,8 @@ def scored(docs: DataFrame, trees: Trees, text: str = "text", name: str = "score
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns as they are."""
-    name = "score"
-    while name in docs.columns:
+    name, taken = "score", {c.lower() for c in docs.columns}  # Spark's names don't mind case
+    while name in taken:
         name += "_"
     return scored(docs, train(docs, labels), name=name).where(F.col(name) >= threshold).drop(name)
 

@@ -9,7 +9,8 @@ so "an earlier group has it" needs only the hash; inside a group, ids are compar
 Defined cases: a null text has no words; a null id is neither earlier nor later than any
 other, so nothing is removed from such a row and nothing because of it; rows that share an
 id are one document as far as "earlier" goes, and each is returned; texts shorter than a
-window stay whole; other columns, whatever their names, are not touched.
+window stay whole, and those of any length are searched whole; an empty table gives no rows;
+other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -132,9 +133,9 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([X.replies(key[0].as_py(), g[later], h[later], check[later])])
 
 
-def _remover(length: int, schema: pa.Schema, texts: bool):
+def _remover(length: int, schema: pa.Schema, texts: bool, hops: X.Hops):
     def remove(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        seen, checks = X.received(told)
+        seen, checks = X.received(hops.rows(told))
         ids, known = _ids(docs)
         buf, off, starts, ends, woff, h, check, row, at = _windows(docs["text"], length)
         hit = _seen(seen, checks, h, check) & known[row]
@@ -175,8 +176,9 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     groups = groups or X.group_count(X.text_bytes(src))
     dealt = X.by_range(src, groups, "id")
     # all columns as below, so that both steps read one exchange
-    sent = dealt.groupBy("g").applyInArrow(T.one(_sender(length, groups)), X.BLOB)
-    told = sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(T.one(_answer), X.BLOB).repartition(groups, "g")
+    hops = X.Hops(groups, groups)
+    sent = dealt.groupBy("g").applyInArrow(T.one(hops.sent(_sender(length, groups))), hops.schema)
+    told = hops.told(hops.answered(sent, _answer))
     fields = [("id", pa.int64(), "id long"), ("n_words", pa.int64(), "n_words long"), ("n_removed", pa.int64(), "n_removed long"), ("kept_sha256", pa.string(), "kept_sha256 string")]
     if texts:
         spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -187,7 +189,7 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
         schema = schema.append(pa.field("row", to_arrow_type(src.schema["row"].dataType)))
         spark_schema += f", row {src.schema['row'].dataType.simpleString()}"
-    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_remover(length, schema, texts)), spark_schema)
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_remover(length, schema, texts, hops)), spark_schema)
 
 
 def shortened(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:

@@ -552,3 +552,49 @@ def test_windows_whose_hashes_collide(documents, monkeypatch):
     out = substring._remover(13, pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]), False)((pa.scalar(1),), both, told)
     whole = brute.without_repeats([(0, " \n ".join(texts["text"].to_pylist())), *zip([1, 2, 3, 7, 8, 9], both["text"].to_pylist())])
     assert out["n_removed"].to_pylist() == [whole[d][1] for d in (1, 2, 3, 7, 8, 9)]
+
+
+# --- blobs between groups and buckets
+
+
+def test_two_hops_bring_the_same_answers(documents, odd, monkeypatch):
+    rows = rows_of(documents)
+    scores = {r["id"]: r["score"] for r in lm.scored(documents, groups=3).collect()}
+    monkeypatch.setattr(X, "DIRECT", 2)
+    assert removed(documents, groups=10) == expected(rows)
+    assert found_components(documents, groups=10) == brute.components(rows, 4, 85)
+    found = {r["id"]: r["score"] for r in lm.scored(documents, groups=10).collect()}
+    assert found.keys() == scores.keys() and all(found[d] == pytest.approx(s, rel=1e-9) for d, s in scores.items())
+    assert removed(odd, groups=5) == expected([(d, t) for d, t in rows_of(odd) if d is not None])
+
+
+def test_hops_bound_the_rows_of_a_group():
+    def rows(groups):
+        hops = X.Hops(groups, groups)
+        h = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 40_000).astype(np.uint64) * np.uint64(2))
+        out = hops.sent(lambda key, table: pa.Table.from_batches([X.to_buckets(5, h, None, groups)]))(None, None)
+        return out.num_rows
+
+    assert rows(1024) == 1024  # straight to every bucket
+    assert (rows(4096), rows(16 * 4096)) == (64, 256)  # by hops: the root of the number of groups
+
+
+def test_ranges_of_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    long = "x" * 400_000
+    rows = [(i * 3, long if i == 500 else "ab" * 50) for i in range(1000)] + [(None, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string")
+
+    def groups(n):
+        out = X.by_range(df, n, "id").select("g", "id", F.length("text").alias("n")).collect()
+        keyed = sorted((r["id"], r["g"]) for r in out if r["id"] is not None)
+        assert [g for _, g in keyed] == sorted(g for _, g in keyed)  # groups rise with the key
+        lone = {r["g"] for r in out if r["id"] is None}
+        return len({g for _, g in keyed}), len(lone), max(sum(g == k for _, g in keyed) for k in {g for _, g in keyed})
+
+    seen, lone, most = groups(10)
+    assert seen > 5 and lone == 10 and most < 600  # nulls are dealt out
+    monkeypatch.setattr(X, "BOUNDS", 4)
+    seen, lone, most = groups(20)
+    assert seen > 10 and lone == 20
