@@ -9,11 +9,15 @@ repeated to full resolution, and samples become RGB.
 A payload of bytes is stored losslessly in the coefficients themselves: 64 bytes a block, in
 zigzag order, less 128, with all quantizers 1. Blocks fill the units of a 4:2:0 image in scan
 order; a comment names the payload's length. The scans are DC, AC 1-16 and AC 17-63 per
-component, with the last bit of DC and AC 1-16 in refining scans.
-
-Defined cases: a null or empty text is a payload of 64 zero bytes; rows that share an id are stored
-each on its own; a damaged or unsupported stream raises ValueError; equal payloads give equal
-streams, pixels and features, whatever their neighbours in a batch.
+component, with the last bit of DC and AC 1-16 in refining scans. A payload beyond ``PAYLOAD`` bytes
+is stored as several images, one after another in the same cell, so that the memory of coding does
+not grow with a text.
+
+Defined cases: a null or empty text is a payload of 64 zero bytes; a text of any length is stored
+whole; an empty table gives no rows; rows that share an id or have none are stored each on its own;
+only the key and the text are read, so other columns may have any names; a damaged or unsupported
+stream raises ValueError; equal payloads give equal streams, pixels and features, whatever their
+neighbours in a batch.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from . import text as T
 
 U64 = np.uint64
 RESTART, SPLIT = 16, 16  # units an interval; last coefficient of the first AC band
+#: Bytes of a payload in one image, and of streams that are decoded at once.
+PAYLOAD, DECODED = 2 << 20, 4 << 20
 #: Row-major place of each coefficient in zigzag order: along anti-diagonals, turning at each end.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 #: (components, first and last coefficient, bit position before, bit position now) of each scan of a stored payload.
@@ -256,6 +262,20 @@ def _segment(marker: int, body: bytes) -> bytes:
     return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
 
 
+def whole(payload: bytes) -> bytes:
+    """A payload of any size as one or more images."""
+    return b"".join(x for a in range(0, len(payload), PAYLOAD) for x in stored([payload[a : a + PAYLOAD]]))
+
+
+def single(stream: bytes) -> list[bytes]:
+    """The images of a cell. Inside an image, no end marker is followed by a start marker."""
+    out, at = [], 0
+    while (end := stream.find(b"\xff\xd9\xff\xd8", at)) >= 0:
+        out.append(stream[at : end + 2])
+        at = end + 2
+    return [*out, stream[at:]]
+
+
 def stored(payloads: list[bytes]) -> list[bytes]:
     """A progressive JPEG for each payload, whose length must be a positive multiple of 64."""
     sizes = np.array([len(p) // 64 for p in payloads])
@@ -548,7 +568,15 @@ def _read_ac_refine(l: Lanes, bits: Bits, coef: np.ndarray) -> None:
 
 
 def coefficients(streams: list[bytes]) -> tuple[list[Image], np.ndarray, np.ndarray]:
-    """Headers, the first block of each image, and all coefficients: one row a block, in zigzag order."""
+    """Headers, the first block of each image, and all coefficients: one row a block, in zigzag order. Whatever a damaged
+    stream leads to, the error is a ValueError."""
+    try:
+        return _coefficients(streams)
+    except (ArithmeticError, AttributeError, LookupError, MemoryError, TypeError) as e:
+        raise ValueError(f"a damaged stream: {e}") from e
+
+
+def _coefficients(streams: list[bytes]) -> tuple[list[Image], np.ndarray, np.ndarray]:
     raw = b"".join(streams)
     buf = np.frombuffer(raw, np.uint8)
     marks = np.flatnonzero((buf[:-1] == 0xFF) & (buf[1:] != 0) & (buf[1:] != 0xFF))
@@ -629,11 +657,10 @@ def tensors(streams: list[bytes]) -> list[np.ndarray]:
     return [rgb(m, blocks[b : b + m.blocks]) for m, b in zip(images, base)]
 
 
-def feature(m: Image, blocks: np.ndarray) -> str:
-    """Size, and sums of each channel of the RGB tensor over all and over the upper half."""
-    t = rgb(m, blocks)
-    all_, upper = t.sum(axis=(0, 1), dtype=np.int64), t[: m.height // 2].sum(axis=(0, 1), dtype=np.int64)
-    return f"{m.width}x{m.height}:" + ",".join(map(str, [*all_, *upper]))
+def feature(t: np.ndarray) -> str:
+    """Size, and sums of each channel of an RGB tensor over all and over the upper half."""
+    upper, lower = (x.sum(axis=(0, 1), dtype=np.int64) for x in (t[: len(t) // 2], t[len(t) // 2 :]))
+    return f"{t.shape[1]}x{t.shape[0]}:" + ",".join(map(str, [*(upper + lower), *upper]))
 
 
 # --- columns
@@ -648,11 +675,14 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     def task(batches):
         for batch in batches:
-            for a, b in T.spans(batch.column("text"), 2 << 20):
+            for a, b in T.spans(batch.column("text"), PAYLOAD):
                 part = batch.slice(a, b - a)
                 buf, off = T.flat(part.column("text"))
                 raw = buf.tobytes()
-                streams = stored([padded(raw[x:y]) for x, y in zip(off[:-1], off[1:])])
+                if len(raw) > PAYLOAD:  # a long text is alone in its span
+                    streams = [whole(padded(raw[x:y])) for x, y in zip(off[:-1], off[1:])]
+                else:
+                    streams = stored([padded(raw[x:y]) for x, y in zip(off[:-1], off[1:])])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(off)), pa.array(streams, pa.binary())], names=["id", "n_bytes", "media"])
 
     shared.bounded(docs.sparkSession)
@@ -671,32 +701,64 @@ def _byte_spans(column, limit: int):
         yield first, len(sizes)
 
 
+class Reading:
+    """What is known of a row's payload after some of its images."""
+
+    def __init__(self, pixels: bool):
+        self.size, self.tail, self.digest, self.features = 0, b"", hashlib.sha256(), []
+        self.pixels = pixels
+        self.shapes, self.tensors = [], []
+
+    def add(self, payload: bytes, image: Image, blocks: np.ndarray) -> None:
+        self.size += len(payload)
+        self.tail = payload[-64:]
+        self.digest.update(payload)
+        tensor = rgb(image, blocks)
+        self.features.append(feature(tensor))
+        if self.pixels:
+            self.shapes.append([image.height, image.width])
+            self.tensors.append(tensor.tobytes())
+
+
 def read(media_: DataFrame, pixels: bool = False) -> DataFrame:
-    """Digests, size and feature of each stored payload as read back; with ``pixels`` also height, width and the RGB tensor's bytes."""
+    """Digests, size and feature of each stored payload as read back; with ``pixels`` also the height and width of each of
+    its images, and the bytes of their full-resolution RGB tensors."""
 
     def task(batches):
         for batch in batches:
-            for a, b in _byte_spans(batch.column("media"), 4 << 20):
+            for a, b in _byte_spans(batch.column("media"), DECODED):
                 part = batch.slice(a, b - a)
-                streams = part.column("media").to_pylist()
-                images, base, coef = coefficients(streams)
-                blocks = samples(images, base, coef)
-                found = payloads(images, base, coef)
+                streams, rows = part.column("media").to_pylist(), [Reading(pixels) for _ in range(b - a)]
+                pieces = [(row, x) for row, s in zip(rows, streams) for x in single(s)]
+                total = np.cumsum([0, *(len(x) for _, x in pieces)])
+                first = 0
+                while first < len(pieces):
+                    last = max(first + 1, int(np.searchsorted(total, total[first] + DECODED, side="right")) - 1)
+                    images, base, coef = coefficients([x for _, x in pieces[first:last]])
+                    blocks = samples(images, base, coef)
+                    for (row, _), payload, m, at in zip(pieces[first:last], payloads(images, base, coef), images, base):
+                        row.add(payload, m, blocks[at : at + m.blocks])
+                    first = last
                 cols = [
-                    part.column("id"), part.column("n_bytes"), pa.array([len(p) for p in found], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in found], pa.string()),
-                    pa.array([zlib.crc32(p[-64:]) for p in found], pa.int64()), pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string()),
+                    part.column("id"), part.column("n_bytes"), pa.array([r.size for r in rows], pa.int64()), pa.array([r.digest.hexdigest() for r in rows], pa.string()),
+                    pa.array([zlib.crc32(r.tail) for r in rows], pa.int64()), pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string()),
+                    pa.array([";".join(r.features) for r in rows], pa.string()),
                 ]
-                parts = [(m, blocks[x : x + m.blocks]) for m, x in zip(images, base)]
-                cols.append(pa.array([feature(*p) for p in parts], pa.string()))
                 if pixels:
-                    cols += [pa.array([m.height for m in images], pa.int32()), pa.array([m.width for m in images], pa.int32()), pa.array([rgb(*p).tobytes() for p in parts], pa.binary())]
+                    cols += [pa.array([r.shapes for r in rows], pa.list_(pa.list_(pa.int32()))), pa.array([r.tensors for r in rows], pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    fields = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", height int, width int, rgb binary" if pixels else "")
+    fields = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", shapes array<array<int>>, rgb array<binary>" if pixels else "")
     names = [f.split()[0] for f in fields.split(", ")]
     return media_.mapInArrow(T.steady(task), fields)
 
 
+def tensors_written(media_: DataFrame, folder: str) -> DataFrame:
+    """The RGB tensors of stored payloads as a Parquet table under ``folder``: id, digests, shapes and tensors, read again."""
+    read(media_, pixels=True).write.parquet(folder)
+    return media_.sparkSession.read.parquet(folder)
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return read(media(docs)).withColumnRenamed("id", "doc_id")

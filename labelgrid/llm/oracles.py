@@ -8,7 +8,7 @@ WORDS = r"'[^\x20\x09-\x0D]+'"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _url_filter() -> str:
+def _url_filter(steps: int = ITERATIONS) -> str:
     """Rules, seeds, and the iterations of both propagations, one table a step."""
     parts = [r"""
 WITH r(rule, verdict, domain, prefix) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
@@ -21,10 +21,10 @@ l AS (SELECT host, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopq
 e AS (SELECT host AS a, dest AS b, CAST(count(*) AS DOUBLE) AS w FROM l WHERE host <> '' AND host <> dest GROUP BY 1, 2),
 d AS (SELECT 'trust' AS side, a AS src, b AS dst, w FROM e UNION ALL SELECT 'distrust', b, a, w FROM e),
 t AS (SELECT side, src, dst, w / sum(w) OVER (PARTITION BY side, src) AS part FROM d)"""]
-    for i in range(1, ITERATIONS + 1):
+    for i in range(1, steps + 1):
         parts.append(f"m{i} AS (SELECT t.side, dst AS host, sum(score * part) AS got FROM t JOIN s{i - 1} s ON s.side = t.side AND s.host = t.src GROUP BY 1, 2)")
         parts.append(f"s{i} AS (SELECT side, host, sum(x) AS score FROM (SELECT side, host, {DAMPING}::DOUBLE * got AS x FROM m{i} UNION ALL SELECT s0.side, s0.host, s0.score * (1 - {DAMPING}::DOUBLE * coalesce(q.total, 0)) FROM s0 LEFT JOIN (SELECT side, sum(got) AS total FROM m{i} GROUP BY 1) q ON q.side = s0.side) GROUP BY 1, 2)")
-    parts.append(f"g AS (SELECT host, coalesce(sum(score) FILTER (WHERE side = 'distrust'), 0) / sum(score) > {THRESHOLD} AS bad FROM s{ITERATIONS} GROUP BY host HAVING sum(score) > 0)")
+    parts.append(f"g AS (SELECT host, coalesce(sum(score) FILTER (WHERE side = 'distrust'), 0) / sum(score) > {THRESHOLD} AS bad FROM s{steps} GROUP BY host HAVING sum(score) > 0)")
     return ",\n".join(parts) + "\nSELECT page_id, f.host, path, rule, coalesce(verdict, CASE WHEN g.bad THEN 'block' ELSE 'allow' END) AS verdict FROM f LEFT JOIN g ON g.host = f.host"
 
 

@@ -6,10 +6,12 @@ read. Resolution moves headers alone: they are shuffled by digest, the record wi
 largest id stays the response of a payload, the others become revisit records that refer to
 it, and each archive is copied once with fresh headers.
 
-Defined cases: a null payload is an empty one; a null id is below all others; of equal ids
-with equal payloads the one written last stays; payloads shorter than ``least`` bytes are
-always responses; signs that a header cannot hold are percent-encoded; other columns of the
-input are not written.
+Defined cases: a null payload is an empty one, and a null url an empty target; a null id is
+below all others; of equal ids with equal payloads the one written last stays; payloads
+shorter than ``least`` bytes are always responses; a payload of any length is one record,
+written and read whole; signs that a header cannot hold are percent-encoded; an empty table
+gives no archives and no rows; other columns of the input, whatever their names, are not
+read or written.
 """
 
 from __future__ import annotations
@@ -178,7 +180,9 @@ def deduplicate(headers: DataFrame, folder: str, least: int = LEAST) -> DataFram
         archive.close()
         return pa.table({"file": pa.array(archive.files, pa.string())})
 
-    made = resolve(headers, least).groupBy("file").applyInArrow(copy, "file string")
+    # headers are small, so without a number of its own the exchange would put many archives into one task
+    found = resolve(headers, least)
+    made = found.repartition(max(1, headers.select("file").distinct().count()), "file").groupBy("file").applyInArrow(copy, "file string")
     return shared.written(made, "warc-files")
 
 

@@ -497,6 +497,104 @@ def test_lm_defined_cases(odd):
 # --- quality
 
 
+def plain_statistics(text):
+    """The statistics of one text, by definition."""
+    raw, words = (text or "").encode(), [w.encode() for w in brute.words(text)]
+    n, each, pairs = len(words), max(len(raw), 1), list(zip(words, words[1:]))
+    many, lens = max(n, 1), [len(w) for w in words]
+    mean = sum(lens) / many
+    counts = Counter(words)
+    out = [math.log1p(len(raw)), math.log1p(n)]
+    out += [sum(b in signs for b in raw) / each for signs in quality.CLASSES.values()]
+    out += [mean, math.sqrt(max(sum(x * x for x in lens) / many - mean * mean, 0)), math.log1p(max(lens, default=0))]
+    out += [len(counts) / many, max(counts.values(), default=0) / many, sum(a == b for a, b in pairs) / many, len(set(pairs)) / max(len(pairs), 1)]
+    out.append(sum(len(w) > 1 and all(65 <= b <= 90 for b in w) for w in words) / many)
+    out.append(sum(w[-1] in quality.CLASSES["sign"] or w[-1] in quality.CLASSES["bar"] or w[-1] == 33 for w in words) / many)
+    out.append(sum(x <= 3 for x in lens) / many)
+    out.append(math.log1p(n / (raw.count(b"\n") + 1)))
+    return out
+
+
+def test_statistics_by_definition(documents):
+    texts = [t for _, t in rows_of(documents.limit(120))] + [None, "", " \t ", "AB cd! EF# x", "a a a\nb/ b|", "é" * 40, "Z" * 5000 + "\n" + "q " * 900]
+    got = quality.statistics(pa.array(texts, pa.string()))
+    expected = np.array([plain_statistics(t) for t in texts])
+    assert got.shape == (len(texts), len(quality.NAMES)) and np.abs(got - expected).max() < 1e-9
+
+
+def plain_tree(x, g, h, cuts, rows, level):
+    """A node by trying every feature and cut: (feature, cut, left, right), or the leaf's value."""
+    if level == quality.DEPTH:
+        return -quality.RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + quality.SMOOTH)
+    best, total_g, total_h = (1e-6, None, None), sum(g[i] for i in rows), sum(h[i] for i in rows)
+    for f, own in enumerate(cuts):
+        for cut in own:
+            left = [i for i in rows if x[i][f] <= cut]
+            if min(len(left), len(rows) - len(left)) < quality.LEAST_ROWS:
+                continue
+            a, b = sum(g[i] for i in left), sum(h[i] for i in left)
+            gain = a * a / (b + quality.SMOOTH) + (total_g - a) ** 2 / (total_h - b + quality.SMOOTH) - total_g**2 / (total_h + quality.SMOOTH)
+            if gain > best[0] + 1e-12:
+                best = (gain, f, cut)
+    _, f, cut = best
+    if f is None:
+        return plain_tree(x, g, h, cuts, rows, quality.DEPTH)
+    sides = [i for i in rows if x[i][f] <= cut], [i for i in rows if x[i][f] > cut]
+    return (f, cut, *(plain_tree(x, g, h, cuts, side, level + 1) for side in sides))
+
+
+def test_trees_by_trying_every_split():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3)).round(3)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] < -0.2) | (rng.random(400) < 0.1)).astype(float)
+    trees = quality.grow(x, y, trees=4)
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, quality.BINS + 1)[1:-1])) for c in x.T]
+    share = y.mean()
+    raw = [math.log(share / (1 - share))] * len(y)
+
+    def walk(node, row):
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return node
+
+    def flat(t, row):
+        """A recursive walk down the flat arrays."""
+
+        def down(node):
+            if node >= trees.feature.shape[1]:
+                return trees.value[t, node - trees.feature.shape[1]]
+            return down(2 * node + (2 if row[trees.feature[t, node]] > trees.cut[t, node] else 1))
+
+        return down(0)
+
+    for t in range(4):
+        p = [1 / (1 + math.exp(-r)) for r in raw]
+        tree = plain_tree(x, [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], cuts, list(range(len(y))), 0)
+        step = [walk(tree, row) for row in x]
+        assert [flat(t, row) for row in x] == pytest.approx(step, abs=1e-9)
+        raw = [a + b for a, b in zip(raw, step)]
+    new = rng.normal(size=(300, 3))
+    expected = [1 / (1 + math.exp(-(trees.base + sum(flat(t, row) for t in range(4))))) for row in new]
+    assert trees.score(new) == pytest.approx(expected, abs=1e-12)
+
+
+def test_accepted_keeps_all_columns(documents, spark):
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = documents.withColumns({"Score": F.lit(7), "score_": F.lit(8)})
+    out = quality.accepted(docs, labels)
+    assert out.columns == ["doc_id", "text", "Score", "score_"] and {r["Score"] for r in out.collect()} == {7}
+
+
+def test_which_row_of_an_id_stays(spark):
+    a = " ".join("abcdefghij")
+    rows = [(1, a, 3), (1, a, 2), (1, a.upper(), 1), (1, "another text for the same id here", 9), (2, a, 0)]
+    out = [jaccard.representatives(spark.createDataFrame(x, "doc_id long, text string, extra int").repartition(n)) for x, n in ((rows, 1), (rows[::-1], 4))]
+    kept = [sorted(map(tuple, o.collect())) for o in out]
+    assert kept[0] == kept[1] == [(1, a.upper(), 1), (1, "another text for the same id here", 9)]
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     found = quality.op10(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
