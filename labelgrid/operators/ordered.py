@@ -1,15 +1,19 @@
 """Ordered analytics: runs, folds, offsets, links and fills.
 
 Windows run per series, or over tables of one row a slice, chunk or label. The two
-filters whose every step needs the one before are folds over a series' array.
+filters whose every step needs the one before are folds in blocks of rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import midpoint
+from ..model import numbered
+from ..storage import written
 
 
 def minmax(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
@@ -21,46 +25,130 @@ def minmax(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     return both.withColumn(value, scaled).select(*df.columns)
 
 
-def _folded(df: DataFrame, order: str, value: str, by: list[str], fold) -> DataFrame:
-    """Applies an array function to each series in order, and gives the rows back."""
-    by = list(by)
-    row = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
-    lists = df.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("_s"))
-    made = lists.select(*by, "_s", fold(F.transform("_s", lambda s: s["v"])).alias("_t"))
-    return made.select(*by, F.explode(F.arrays_zip(F.transform("_s", lambda s: s["o"]).alias("o"), F.col("_t").alias("v"))).alias("_r")).select(*by, F.col("_r.o").alias(order), F.col("_r.v").alias(value))
-
+def _same(a, b) -> bool:
+    return a is not None and a == b
 
-def ema(df: DataFrame, order: str, value: str, momentum: float = 0.1, by: list[str] = ()) -> DataFrame:
-    """Exponential smoothing that starts at the first value: each step moves by ``momentum`` times the difference.
-    A series is folded in one task, so its array must fit there."""
 
-    def fold(values: Column) -> Column:
-        zero = F.array().cast("array<double>")
+def _fold(values: list, state: tuple | None, momentum: float):
+    """Smoothed values as (a, l) for a * carry + l, and the last state; None where there is no value (yet)."""
+    out = []
+    for v in values:
+        if v is None:
+            state = None
+        elif state is None:
+            state = (0.0, v)
+        else:
+            state = (state[0] * (1 - momentum), state[1] + momentum * (v - state[1]))
+        out.append(state)
+    return out, state
 
-        def step(done: Column, v: Column) -> Column:
-            last = F.try_element_at(done, F.lit(-1))
-            return F.concat(done, F.array(F.coalesce(last + momentum * (v - last), v)))
 
-        return F.aggregate(values, zero, step)
+def ema(df: DataFrame, order: str, value: str, momentum: float = 0.1, by: list[str] = (), block: int = 1 << 16) -> DataFrame:
+    """Exponential smoothing that starts at the first value (and anew after a null): each step moves by ``momentum`` times the difference.
 
-    return _folded(df, order, value, by, fold)
+    Rows are numbered over all series and cut into blocks. Each step is linear in what came before, so a block tells what it
+    makes of any carry in one row; carries pass along these rows, and blocks are smoothed with them, so that no task
+    holds a series."""
+    by = list(by)
+    rows = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    keys = [f"_k{i}" for i in range(len(by))]
+    named = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    held = numbered(rows, *keys, "_o", name="_n").withColumns({"_b": F.floor(F.col("_n") / block), "_s": named})
+    held = written(held, "series")
+
+    def parts(table: pa.Table):
+        """Rows in order, and where each series begins among them."""
+        table = table.sort_by("_n")
+        series = table["_s"].to_pylist()
+        cuts = [i for i, s in enumerate(series) if i == 0 or s != series[i - 1]]
+        return table, series, list(zip(cuts, [*cuts[1:], len(series)]))
+
+    def told(key: tuple, table: pa.Table) -> pa.Table:
+        table, series, runs_ = parts(table)
+        values = table["_v"].to_pylist()
+        (a, z), whole = runs_[-1], len(runs_) == 1
+        fresh = _fold(values[a:z], None, momentum)[1]
+        carried = _fold(values, (1.0, 0.0), momentum)[1] if whole else fresh
+        ends = [x for s in (fresh, carried) for x in (s or (None, None))]
+        return pa.table([[key[0].as_py()], [series[0]], [series[-1]], *[pa.array([x], pa.float64()) for x in ends]], schema=pa.schema(ends_of))
+
+    ends_of = [("_b", pa.int64()), ("first", pa.string()), ("last", pa.string()), *[(c, pa.float64()) for c in ("fresh_a", "fresh_l", "carry_a", "carry_l")]]
+    edges = held.groupBy("_b").applyInArrow(told, "_b long, first string, last string, fresh_a double, fresh_l double, carry_a double, carry_l double")
+
+    def pass_on(batches):
+        """The carry into each block: None where its first series begins there, or has no value yet."""
+        before, carry = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                on = _same(before, r["first"])
+                carried = carry if on else None
+                out.append(carried)
+                a, l = (r["carry_a"], r["carry_l"]) if carried is not None else (r["fresh_a"], r["fresh_l"])
+                before, carry = r["last"], None if l is None else a * (carried or 0.0) + l
+            yield pa.RecordBatch.from_arrays([batch.column("_b"), pa.array(out, pa.float64())], names=["_b", "_c"])
+
+    # one row a block
+    carries = written(edges.repartition(1).sortWithinPartitions("_b").mapInArrow(pass_on, "_b long, _c double"), "carries")
+    names = [*keys, "_o", "_v"]
+
+    def smooth(key: tuple, table: pa.Table) -> pa.Table:
+        table, _, runs_ = parts(table)
+        values, carry, out = table["_v"].to_pylist(), table["_c"][0].as_py(), []
+        for i, (a, z) in enumerate(runs_):
+            start = (1.0, 0.0) if i == 0 and carry is not None else None
+            out += [None if s is None else s[0] * (carry or 0.0) + s[1] for s in _fold(values[a:z], start, momentum)[0]]
+        return table.select(names).set_column(len(names) - 1, "_v", pa.array(out, pa.float64()))
+
+    schema = rows.schema
+    done = held.join(carries, "_b").groupBy("_b").applyInArrow(smooth, schema)
+    return done.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], F.col("_o").alias(order), F.col("_v").alias(value))
 
 
 def clip_peak(df: DataFrame, order: str, value: str, threshold: float = 0.4, window: int = 20, stride: int = 10, by: list[str] = ()) -> DataFrame:
     """Zeroes every window (``window`` + 1 values, each ``stride``) that reaches the threshold, the earlier ones first: zeroed
-    values no longer count for later windows."""
-
-    def fold(values: Column) -> Column:
-        starts = F.when(F.size(values) > window, F.sequence(F.lit(0), F.size(values) - window - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    values no longer count for later windows.
 
-        def step(now: Column, i: Column) -> Column:
-            part = F.slice(now, i + 1, F.lit(window + 1))
-            cleared = F.transform(now, lambda v, k: F.when((k >= i) & (k <= i + window), F.lit(0.0)).otherwise(v))
-            return F.when(F.array_max(part) >= threshold, cleared).otherwise(now)
-
-        return F.aggregate(starts, values, step)
-
-    return _folded(df, order, value, by, fold)
+    Whether a window is zeroed depends only on windows that overlap it and reach the threshold as they are. Islands of
+    such windows are settled by themselves, one after another inside an island."""
+    by = list(by)
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for k, c in zip(keys, by)], F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    held = written(numbered(rows, *keys, "_o", name="_n"), "series")
+    ends = held.groupBy(*keys).agg(F.min("_n").alias("_first"), F.max("_n").alias("_last"))
+    held = held.join(ends, keys) if keys else held.crossJoin(F.broadcast(ends))
+    held = held.select(*keys, "_o", "_v", (F.col("_n") - F.col("_first")).alias("_p"), (F.col("_last") - F.col("_first")).alias("_top"))
+    # windows that hold a place and end inside the series
+    low = F.greatest(F.ceil((F.col("_p") - window) / stride), F.lit(0)).cast("long")
+    high = F.least(F.floor(F.col("_p") / stride), F.floor((F.col("_top") - window) / stride)).cast("long")
+    of = F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))).alias("_w")
+    each = held.where(F.col("_top") >= window).select(*keys, "_p", "_v", of)
+    hot = each.groupBy(*keys, "_w").agg(F.max("_v").alias("_m"))
+    hot = hot.where(F.col("_m") >= threshold) if threshold > 0 else hot  # zeroed values may reach a bound of 0
+    inner = Window.partitionBy(*keys).orderBy("_w")
+    apart = F.coalesce(F.col("_w") - F.lag("_w").over(inner) > window // stride, F.lit(True))
+    islands = hot.withColumn("_new", apart.cast("int")).select(*keys, "_w", F.sum("_new").over(inner).alias("_i"))
+    names = [*keys, "_w"]
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_w", "ascending"), ("_p", "ascending")])
+        number, place, v = (table[c].to_numpy(zero_copy_only=False) for c in ("_w", "_p", "_v"))
+        cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]]))
+        gone, zeroed = [], -1
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            now = np.where(place[a:z] <= zeroed, 0.0, v[a:z].astype(float))
+            # places of earlier zeroed windows are those up to the last one's end, as windows that overlap lie without a gap
+            if np.nanmax(now, initial=-np.inf) >= threshold:
+                gone.append(a)
+                zeroed = int(place[z - 1])
+        return table.select(names).take(pa.array(gone, pa.int64()))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in islands.select(names).dtypes)
+    gone = each.join(islands, names).groupBy(*keys, "_i").applyInArrow(settle, schema)
+    hit = gone.select(*keys, F.explode(F.sequence(F.col("_w") * stride, F.col("_w") * stride + window)).alias("_p")).distinct().withColumn("_z", F.lit(True))
+    out = held.join(hit, [*keys, "_p"], "left")
+    new = F.when(F.col("_z"), F.lit(0.0)).otherwise(F.col("_v"))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], F.col("_o").alias(order), new.alias(value))
 
 
 def runs(df: DataFrame, order: str, inside: Column, least: int = 1, by: list[str] = ()) -> DataFrame:

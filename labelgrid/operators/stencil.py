@@ -1,7 +1,7 @@
 """Neighbourhood operators and connected components of voxels.
 
-A neighbourhood is an explode of offsets followed by one aggregation, which combines on the map
-side; windows are used where the table is dense. No operator joins a volume with itself.
+A neighbourhood is a dense block with a halo, a window where the table is dense, or an explode of
+offsets followed by one aggregation. No operator joins a volume with itself.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from .components import connected_components, linked_minima
 from .stats import bbox_all
 
 BITS = 21  # of each coordinate in a voxel's key
+BLOCK = 64  # voxels along a block's edge
 
 
 def cross(axes: list[str]) -> list[tuple[int, ...]]:
@@ -61,26 +62,121 @@ def widen_border(df: DataFrame, half: int = 1, label: str = "label") -> DataFram
     return out.withColumn(label, F.when(F.col("_top") == F.col("_low"), F.col(label)).otherwise(0).cast("long")).drop("_top", "_low")
 
 
-def erode(fg: DataFrame, keys: list[str] = (), iterations: int = 1) -> DataFrame:
+# --- erosion and dilation: dense blocks with a halo as wide as the number of steps, so that one shuffle is enough
+
+
+def _halo_blocks(df: DataFrame, axes: list[str], halo: int, block: int) -> DataFrame:
+    """Each voxel in every block whose halo holds it: columns ``_b`` and axis, and ``_own`` for the block that it lies in."""
+    own = F.lit(True)
+    for a in axes:
+        low, high = (F.floor((F.col(a) + d) / block).cast("int") for d in (-halo, halo))
+        df = df.withColumn(f"_b{a}", F.explode(F.sequence(low, high)))
+        own = own & (F.col(f"_b{a}") == F.floor(F.col(a) / block))
+    return df.withColumn("_own", own)
+
+
+def _shifted(mask: np.ndarray, grow: bool) -> np.ndarray:
+    """A mask after one step of dilation, or of erosion; outside the array there is nothing."""
+    wide = np.pad(mask, 1)
+    out = mask.copy()
+    for axis in range(mask.ndim):
+        for at in (0, 2):
+            cut = tuple(slice(at, at + n) if i == axis else slice(1, -1) for i, n in enumerate(mask.shape))
+            out = out | wide[cut] if grow else out & wide[cut]
+    return out
+
+
+def _moved_mask(places: np.ndarray, steps: list[tuple[bool, int]], shape: list[int] | None) -> np.ndarray:
+    """Places of a mask (one column an axis) after steps (dilate or erode, how often); dilation stays inside ``shape``."""
+    pad = sum(n for grow, n in steps if grow)
+    low = places.min(axis=0) - pad
+    mask = np.zeros(places.max(axis=0) + pad + 1 - low, bool)
+    mask[tuple((places - low).T)] = True
+    inside = tuple(slice(max(0, -b), max(0, n - b)) for b, n in zip(low, shape)) if shape else ()
+    for grow, n in steps:
+        for _ in range(n):
+            mask = _shifted(mask, grow)
+            if grow and shape:
+                kept = np.zeros_like(mask)
+                kept[inside] = mask[inside]
+                mask = kept
+    return np.argwhere(mask) + low
+
+
+def _groups(table: pa.Table, keys: list[str]) -> list[np.ndarray]:
+    """Row numbers of each combination of keys."""
+    code = np.zeros(table.num_rows, np.int64)
+    for k in keys:
+        _, part = np.unique(table[k].to_numpy(zero_copy_only=False), return_inverse=True)
+        _, code = np.unique(code * (part.max(initial=0) + 1) + part, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(code[order])) + 1)
+
+
+def _places(table: pa.Table, axes: list[str]) -> np.ndarray:
+    return np.stack([table[a].to_numpy().astype(np.int64) for a in axes], axis=1)
+
+
+def _stepped(fg: DataFrame, steps: list[tuple[bool, int]], shape: dict[str, int] | None, keys: list[str], block: int) -> DataFrame:
+    """Places of masks after steps: ``keys`` and axes. One mask a combination of keys."""
+    axes, names = axes_of(fg), [*keys, *axes_of(fg)]
+    bounds = [shape[a] for a in axes] if shape else None
+
+    def step(key: tuple, table: pa.Table) -> pa.Table:
+        first, at = np.array([k.as_py() for k in key]) * block, _places(table, axes)
+        out = []
+        for rows in _groups(table, keys):
+            moved = _moved_mask(at[rows], steps, bounds)
+            moved = moved[((moved >= first) & (moved < first + block)).all(axis=1)]
+            named = table.select(keys).take(pa.array(np.full(len(moved), rows[0])))
+            out.append(pa.table([*named.columns, *[pa.array(c, pa.int32()) for c in moved.T]], names=names))
+        return pa.concat_tables(out)
+
+    src = fg.select(*keys, *[F.col(a).cast("int").alias(a) for a in axes])
+    schema = ", ".join(f"`{c}` {t}" for c, t in src.dtypes)
+    blocks = _halo_blocks(src, axes, sum(n for _, n in steps), block).drop("_own")
+    return blocks.groupBy(*[f"_b{a}" for a in axes]).applyInArrow(step, schema)
+
+
+def erode(fg: DataFrame, keys: list[str] = (), iterations: int = 1, block: int = BLOCK) -> DataFrame:
     """Places of a foreground (no other rows) whose face neighbours are all foreground; outside there is none."""
-    axes, keys = axes_of(fg), list(keys)
-    moves = [tuple(0 for _ in axes), *cross(axes)]
-    for _ in range(iterations):
-        each = fg.select(*keys, F.explode(_moved(axes, moves)).alias("p"))
-        fg = each.groupBy(*keys, *[F.col(f"p.{a}").alias(a) for a in axes]).agg(F.count("*").alias("_n")).where(F.col("_n") == len(moves)).drop("_n")
-    return fg.select(*keys, *axes)
+    return _stepped(fg, [(False, iterations)], None, list(keys), block)
 
 
-def dilate(fg: DataFrame, shape: dict[str, int], keys: list[str] = (), iterations: int = 1) -> DataFrame:
+def dilate(fg: DataFrame, shape: dict[str, int], keys: list[str] = (), iterations: int = 1, block: int = BLOCK) -> DataFrame:
     """Places of a foreground and their face neighbours inside the volume."""
-    axes, keys = axes_of(fg), list(keys)
-    moves = [tuple(0 for _ in axes), *cross(axes)]
-    for _ in range(iterations):
-        each = fg.select(*keys, F.explode(_moved(axes, moves)).alias("p")).select(*keys, *[F.col(f"p.{a}").alias(a) for a in axes])
-        for a in axes:
-            each = each.where(F.col(a).between(0, shape[a] - 1))
-        fg = each.distinct()
-    return fg
+    return _stepped(fg, [(True, iterations)], shape, list(keys), block)
+
+
+def _relabelled(df: DataFrame, steps: list[tuple[bool, int]], shape: dict[str, int], label: str, block: int) -> DataFrame:
+    """Labels after each label's mask took ``steps``: a voxel keeps its label if its mask holds it; background takes the least
+    that does. Masks and labels of a block are settled in one task."""
+    axes, names = axes_of(df), df.columns
+    bounds = [shape[a] for a in axes]
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        first, at = np.array([k.as_py() for k in key]) * block, _places(table, axes)
+        value, own = table[label].to_numpy().astype(np.int64), np.flatnonzero(table["_own"].to_numpy(zero_copy_only=False))
+        here = np.full([block] * len(axes), -1)
+        here[tuple((at[own] - first).T)] = np.arange(len(own))
+        keeps, least, mine = np.zeros(len(own), bool), np.full(len(own), np.iinfo(np.int64).max), value[own]
+        fg = np.flatnonzero(value > 0)
+        order = fg[np.argsort(value[fg], kind="stable")]
+        for rows in np.split(order, np.flatnonzero(np.diff(value[order])) + 1) if len(order) else []:
+            moved = _moved_mask(at[rows], steps, bounds) - first
+            moved = moved[((moved >= 0) & (moved < block)).all(axis=1)]
+            hit = here[tuple(moved.T)]
+            hit = hit[hit >= 0]
+            keeps[hit] |= mine[hit] == value[rows[0]]
+            least[hit] = np.minimum(least[hit], value[rows[0]])
+        taken = np.where((mine == 0) & (least < np.iinfo(np.int64).max), least, 0)
+        new = pa.array(np.where(keeps, mine, taken), pa.int64())
+        kept = table.select(names).take(pa.array(own))
+        return kept.set_column(names.index(label), label, new)
+
+    src = df.withColumn(label, F.col(label).cast("long"))
+    blocks = _halo_blocks(src, axes, sum(n for _, n in steps), block).where(F.col("_own") | (F.col(label) > 0))
+    return blocks.groupBy(*[f"_b{a}" for a in axes]).applyInArrow(settle, src.schema)
 
 
 def _merged(df: DataFrame, masks: DataFrame, label: str) -> DataFrame:
@@ -92,16 +188,14 @@ def _merged(df: DataFrame, masks: DataFrame, label: str) -> DataFrame:
     return df.join(found, axes, "left").withColumn(label, new.cast("long")).select(*df.columns)
 
 
-def opening(df: DataFrame, shape: dict[str, int], iterations: int = 4, label: str = "label") -> DataFrame:
+def opening(df: DataFrame, shape: dict[str, int], iterations: int = 4, label: str = "label", block: int = BLOCK) -> DataFrame:
     """Each label's mask eroded, then dilated."""
-    fg = df.where(F.col(label) > 0).select(F.col(label).alias("label"), *axes_of(df))
-    return _merged(df, dilate(erode(fg, ["label"], iterations), shape, ["label"], iterations), label)
+    return _relabelled(df, [(False, iterations), (True, iterations)], shape, label, block)
 
 
-def closing(df: DataFrame, shape: dict[str, int], iterations: int = 4, label: str = "label") -> DataFrame:
+def closing(df: DataFrame, shape: dict[str, int], iterations: int = 4, label: str = "label", block: int = BLOCK) -> DataFrame:
     """Each label's mask dilated, then eroded; only background and own voxels are written."""
-    fg = df.where(F.col(label) > 0).select(F.col(label).alias("label"), *axes_of(df))
-    return _merged(df, erode(dilate(fg, shape, ["label"], iterations), ["label"], iterations), label)
+    return _relabelled(df, [(True, iterations), (False, iterations)], shape, label, block)
 
 
 def fill_holes(df: DataFrame, label: str = "label", connectivity: int | None = None) -> DataFrame:
@@ -138,10 +232,11 @@ def sphericity(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def place_key(axes: list[str]) -> F.Column:
-    """A voxel's place as one number that orders like (z, y, x)."""
+    """A voxel's place as one number that orders like (z, y, x); places that it can't hold are errors."""
     out = F.lit(0).cast("long")
     for a in axes:
-        out = F.shiftleft(out, BITS) + F.col(a)
+        beyond = F.raise_error(F.concat(F.lit(f"{a} is not within 0 to {2**BITS - 1}: "), F.col(a).cast("string"))).cast("int")
+        out = F.shiftleft(out, BITS) + F.when(F.col(a).between(0, 2**BITS - 1), F.col(a)).otherwise(beyond)
     return out
 
 
@@ -200,7 +295,11 @@ def voxel_components(df: DataFrame, connectivity: int | None = None, label: str
     schema = ", ".join(f"`{c}` {t}" for c, t in src.select(*names).dtypes) + ", part long"
     parts = written(src.groupBy(*[f"_c{a}" for a in axes]).applyInArrow(_block_labels(axes, moves, names), schema), "parts")
     forward = [m for m in moves if m > tuple(0 for _ in m)]
-    to = parts.select("label", *axes, "part", F.explode(_moved(axes, forward)).alias("p"))
+    # only voxels at a block's faces have neighbours in others
+    face = F.lit(False)
+    for a in axes:
+        face = face | F.pmod(F.col(a), F.lit(block)).isin(0, block - 1)
+    to = parts.where(face).select("label", *axes, "part", F.explode(_moved(axes, forward)).alias("p"))
     other_block = F.lit(False)
     for a in axes:
         other_block = other_block | (F.floor(F.col(a) / block) != F.floor(F.col(f"p.{a}") / block))

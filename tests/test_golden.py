@@ -337,3 +337,74 @@ def test_scores_with_a_label_that_nearly_all_voxels_have(spark):
         assert {k: v for k, v in found.items() if k[0] == side} == pytest.approx(expected, abs=1e-12)
     plan = overlap.adapted_rand(pairs(spark, seg, gt))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def grown(m, grow):
+    wide, out = np.pad(m, 1), m.copy()
+    for axis in range(m.ndim):
+        for d in (-1, 1):
+            s = np.roll(wide, d, axis)[(slice(1, -1),) * m.ndim]
+            out = out | s if grow else out & s
+    return out
+
+
+@pytest.mark.parametrize("block, iterations", [(5, 1), (6, 4), (64, 4), (3, 5)])
+def test_morphology_across_blocks(spark, block, iterations):
+    rng = np.random.default_rng(block)
+    a = np.kron(rng.integers(0, 3, (3, 5, 5)), np.ones((4, 4, 4), int)) * (rng.random((12, 20, 20)) < 0.995)
+    shape, v = dict(zip("zyx", a.shape)), table(spark, a)
+    fg = v.where("label > 0").select("label", "z", "y", "x")
+    for name, steps in (("opening", (False, True)), ("closing", (True, False))):
+        masks = {}
+        for l in (1, 2):
+            m = a == l
+            for grow in steps:
+                for _ in range(iterations):
+                    m = grown(m, grow)
+            masks[l] = m
+        expected = np.where((a == 1) & masks[1] | (a == 2) & masks[2], a, np.where(a == 0, np.where(masks[1], 1, np.where(masks[2], 2, 0)), 0))
+        found = getattr(stencil, name)(v, shape, iterations, block=block)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert (array(found, a.shape) == expected).all() and found.count() == a.size
+    eroded = stencil.erode(fg, ["label"], iterations, block).collect()
+    m1 = a == 1
+    for _ in range(iterations):
+        m1 = grown(m1, False)
+    assert sorted((r["z"], r["y"], r["x"]) for r in eroded if r["label"] == 1) == sorted(map(tuple, np.argwhere(m1).tolist()))
+
+
+@pytest.mark.parametrize("block", [3, 7, 1 << 16])
+def test_ema_of_many_series_in_blocks(spark, block):
+    rnd = random.Random(block)
+    rows = [(k, i, None if rnd.random() < 0.1 else rnd.random()) for k, n in (("a", 17), (None, 9), ("c", 1), ("d", 30)) for i in range(n)]
+    expected, last, series = {}, None, object()
+    for k, i, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        last = v if k != series or last is None or v is None else last + 0.25 * (v - last)
+        series = k
+        expected[k, i] = last
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(4)
+    found = {(r["k"], r["i"]): r["v"] for r in ordered.ema(df, "i", "v", 0.25, ["k"], block=block).collect()}
+    assert found.keys() == expected.keys()
+    for key, v in expected.items():
+        assert found[key] is None if v is None else found[key] == pytest.approx(v)
+
+
+@pytest.mark.parametrize("threshold, window, stride", [(0.9, 20, 10), (0.97, 7, 3), (0.2, 5, 5), (0.8, 4, 6), (0.0, 6, 2)])
+def test_clip_peak_of_many_series(spark, threshold, window, stride):
+    rnd, rows, expected = random.Random(window), [], {}
+    for k, n in (("a", 150), ("b", 7), ("c", 61), ("d", window), ("e", window + 1)):
+        now = np.array([rnd.random() - 0.1 for _ in range(n)])
+        rows += [(k, i, float(v)) for i, v in enumerate(now)]
+        for i in range(0, len(now) - window, stride):
+            if now[i : i + window + 1].max() >= threshold:
+                now[i : i + window + 1] = 0
+        expected |= {(k, i): v for i, v in enumerate(now)}
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(3)
+    found = {(r["k"], r["i"]): r["v"] for r in ordered.clip_peak(df, "i", "v", threshold, window, stride, ["k"]).collect()}
+    assert found == pytest.approx(expected)
+
+
+def test_places_beyond_the_key_are_errors(spark):
+    v = spark.createDataFrame([(0, 0, 1 << 21, 1)], "z int, y int, x int, label long")
+    with pytest.raises(Exception, match="x is not within"):
+        stencil.voxel_components(v)
