@@ -88,8 +88,8 @@ def midpoint(a: Column | str, b: Column | str) -> Column:
 
 
 def square_chunk(target: Column | str, least: Column | str) -> Column:
-    """Side of a square storage chunk: a power of two for the target, but at most ``least``."""
-    side = F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(col(target).cast("double")))))
+    """Side of a square storage chunk: a power of two for the target, but at most ``least``; 0 for 0."""
+    side = F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(col(target).cast("double"))))), F.lit(0.0))
     return F.least(col(least).cast("double"), side)
 
 

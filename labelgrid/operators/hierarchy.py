@@ -40,6 +40,20 @@ def hierarchy_relabel(segments: DataFrame, bad: list[str] = ("bad", "del"), keep
             return now
 
 
+def rewired(tree: DataFrame, mapping: DataFrame) -> DataFrame:
+    """A tree (``nr, parentnr, childnr, prevnr, nextnr`` and more) whose merged segments become children. ``mapping``: id, new. Segments with
+    the same ``new`` are linked below it in order of their number; the others keep their level and skip them."""
+    told = tree.join(mapping.where("id != new").select(F.col("id").alias("nr"), F.col("new").alias("_new")), "nr", "left")
+    # links of a level are drawn anew among those that stay in it; children form levels of their own
+    level = Window.partitionBy(F.coalesce("_new", "parentnr"), F.col("_new").isNotNull()).orderBy("nr")
+    told = told.withColumns({"_prev": F.lag("nr", 1, 0).over(level), "_next": F.lead("nr", 1, 0).over(level)})
+    first = told.where("_new is not null").groupBy(F.col("_new").alias("nr")).agg(F.min("nr").alias("_child"))
+    stays = told.where("_new is null").groupBy(F.col("parentnr").alias("nr")).agg(F.min("nr").alias("_first"))
+    both = told.join(first, "nr", "left").join(stays, "nr", "left")
+    new = {"parentnr": F.coalesce("_new", "parentnr"), "childnr": F.coalesce("_child", F.when(F.col("childnr") != 0, F.coalesce("_first", F.lit(0))), "childnr"), "prevnr": F.col("_prev"), "nextnr": F.col("_next")}
+    return both.select(*[(new[c].cast("long") if c in new else F.col(c)).alias(c) for c in tree.columns])
+
+
 def sibling_tree(boxes: DataFrame, group: str, label: str = "label") -> DataFrame:
     """Two levels: groups, numbered above all labels in order of their name, and labels linked inside their group.
     ``nr, name, parentnr, childnr, prevnr, nextnr`` and anchors; a colour follows from the number."""
@@ -92,6 +106,29 @@ class Sets:
     def connected(self, a, b) -> bool:
         return self.find(a) == self.find(b)
 
+    def __getitem__(self, id):
+        return self.find(id)
+
+    def __contains__(self, id) -> bool:
+        return not self.elements.where(F.col("id") == id).isEmpty()
+
+    def __iter__(self):
+        """Elements, without gathering them."""
+        return (r["id"] for r in self.elements.toLocalIterator())
+
+    def found(self, ids: DataFrame) -> DataFrame:
+        """``find`` of a whole table: ``id, component``; an unknown element is an error."""
+        known = ids.select(F.col(ids.columns[0]).alias("id")).join(self.mapping(), "id", "left")
+        unknown = F.raise_error(F.concat(F.col("id").cast("string"), F.lit(" is not an element")))
+        return known.select("id", F.coalesce("component", unknown.cast(known.schema["component"].dataType)).alias("component"))
+
+    def tied(self, pairs: DataFrame) -> DataFrame:
+        """``connected`` of a whole table of pairs: ``a, b, connected``; a pair with an unknown element is not."""
+        a, b = (F.col(c) for c in pairs.columns[:2])
+        left, right = (self.mapping().select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
+        both = pairs.select(a.alias("a"), b.alias("b")).join(left, "a", "left").join(right, "b", "left")
+        return both.select("a", "b", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("connected"))
+
     def component(self, id) -> DataFrame:
         """Members of an element's set."""
         return self.mapping().where(F.col("component") == self.find(id)).select("id")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,12 +69,68 @@ def reflect_pad(df: DataFrame, pad: dict[str, tuple[int, int]], shape: dict[str,
     return df
 
 
-def resize(df: DataFrame, ratio: dict[str, float], shape: dict[str, int], value: str = "value", order: int = 0) -> DataFrame:
-    """Spline zoom of order 0 (nearest) or 1 (linear): ends of the axes are matched, sizes rounded. A ratio of 1 is the identity.
+#: Lines of an axis that one task resizes, along each other axis.
+LINES = 32
+
+
+def bspline(x: np.ndarray, order: int) -> np.ndarray:
+    """The centred B-spline of an order."""
+    out = np.zeros(np.shape(x))
+    for j in range(order + 2):
+        out += (-1) ** j * math.comb(order + 1, j) * np.maximum(x + (order + 1) / 2 - j, 0) ** order
+    return out / math.factorial(order)
+
+
+def spline_lines(lines: np.ndarray, m: int, order: int) -> np.ndarray:
+    """Lines (rows) of n values as m values each: the spline through all values, mirrored at both ends with the edge repeated."""
+    n = lines.shape[1]
+    # the mirrored line is periodic, so its coefficients are a quotient of transforms
+    whole = np.concatenate([lines, lines[:, ::-1]], axis=1)
+    reach = np.arange(-(order // 2), order // 2 + 1)
+    kernel = np.zeros(2 * n)
+    np.add.at(kernel, reach % (2 * n), bspline(reach.astype(float), order))
+    coef = np.fft.irfft(np.fft.rfft(whole, axis=1) / np.fft.rfft(kernel), 2 * n, axis=1)
+    at = np.arange(m) * ((n - 1) / (m - 1) if m > 1 else 0.0)
+    out = np.zeros((len(lines), m))
+    for tap in range(-(order // 2) - 1, order // 2 + 3):
+        k = np.floor(at).astype(np.int64) + tap
+        out += coef[:, k % (2 * n)] * bspline(at - k, order)
+    return out
+
+
+def _spline_axis(df: DataFrame, axis: str, n: int, m: int, value: str, order: int) -> DataFrame:
+    rest = [a for a in axes_of(df) if a != axis]
+    names, kinds = df.columns, dict(df.dtypes)
+    if set(names) != {*rest, axis, value}:
+        raise ValueError(f"a volume of {[*rest, axis, value]} is needed")
+
+    def zoom(key: tuple, table: pa.Table) -> pa.Table:
+        places = np.stack([table[a].to_numpy() for a in rest] or [np.zeros(table.num_rows, np.int64)], axis=1)
+        lines, row = np.unique(places, axis=0, return_inverse=True)
+        dense = np.zeros((len(lines), n))
+        dense[row.ravel(), table[axis].to_numpy()] = table[value].to_numpy()
+        made = {a: np.repeat(lines[:, i], m) for i, a in enumerate(rest)}
+        made |= {axis: np.tile(np.arange(m), len(lines)), value: spline_lines(dense, m, order).ravel()}
+        return pa.table([pa.array(made[c], pa.float64() if c == value else pa.int32()) for c in names], names=names)
+
+    schema = ", ".join(f"`{c}` {'double' if c == value else 'int'}" for c in names)
+    src = df.select(*[F.col(c).cast("double" if c == value else "int").alias(c) for c in names])
+    keys = [F.floor(F.col(a) / LINES).alias(f"_l{a}") for a in rest] or [F.lit(0).alias("_l")]
+    return src.select("*", *keys).groupBy(*[f"_l{a}" for a in rest] or ["_l"]).applyInArrow(zoom, schema)
+
 
-    One explode and one aggregation an axis: an input place knows which output places it feeds."""
-    if order not in (0, 1):
-        raise ValueError("orders 0 and 1 are expressions; for higher ones use map_blocks with a spline function")
+def resize(df: DataFrame, ratio: dict[str, float], shape: dict[str, int], value: str = "value", order: int = 0) -> DataFrame:
+    """Spline zoom of order 0 (nearest), 1 (linear) or 2 to 5: ends of the axes are matched, sizes rounded; the volume is mirrored
+    at its ends. A ratio of 1 is the identity.
+
+    One explode and one aggregation an axis for orders 0 and 1: an input place knows which output places it feeds.
+    Higher orders need whole lines of an axis, which are taken ``LINES`` squared at a time; the table must be dense."""
+    if order not in range(6):
+        raise ValueError("orders are 0 to 5")
+    if order > 1:
+        for a, r in ratio.items():
+            df = df if r == 1 else _spline_axis(df, a, shape[a], max(1, int(shape[a] * r + 0.5)), value, order)
+        return df
     for a, r in ratio.items():
         if r == 1:
             continue
@@ -132,6 +191,18 @@ def map_blocks(df: DataFrame, function, schema: str, keys: list[str]):
     return df.groupBy(*keys).applyInArrow(function, schema)
 
 
+def clahe_any(df: DataFrame, shape: dict[str, int], value: str = "value", tiles: tuple[int, int] = (8, 8), limit: float = 2.0) -> DataFrame:
+    """``clahe`` of values that are not 8-bit: each slice is brought to 0..255 by its own least and largest value, and back
+    afterwards, in the type that it had (whole numbers are cut). A flat slice stays as it is."""
+    by, kind = [c for c in ("z",) if c in df.columns], dict(df.dtypes)[value]
+    ends = df.groupBy(*by).agg(F.min(value).cast("double").alias("_a"), F.max(value).cast("double").alias("_b"))
+    joined = lambda x: x.join(ends, by) if by else x.crossJoin(F.broadcast(ends))
+    share = F.coalesce(F.try_divide(F.col(value) - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0))
+    byte = joined(df).withColumn(value, F.floor(share * 255).cast("int")).drop("_a", "_b")
+    out = joined(clahe(byte, shape, value, tiles, limit))
+    return out.withColumn(value, (F.col(value) / 255 * (F.col("_b") - F.col("_a")) + F.col("_a")).cast(kind)).select(*df.columns)
+
+
 def clahe(df: DataFrame, shape: dict[str, int], value: str = "value", tiles: tuple[int, int] = (8, 8), limit: float = 2.0) -> DataFrame:
     """Contrast-limited adaptive equalization of 8-bit slices: clipped histograms per tile, looked up in the four nearest
     tiles and blended. Bins over the limit are cut and their excess spread over all bins."""

@@ -172,3 +172,43 @@ def _(spark, d):
 @query("skeleton_join", P + ", u AS (SELECT skeleton_id, count(*) AS c FROM n GROUP BY 1 HAVING count(*) > 1), o AS (SELECT skeleton_id, CAST(sum(c) OVER (ORDER BY skeleton_id) - c AS BIGINT) AS before FROM u) SELECT node + before AS node, skeleton_id, z * 30 AS z, y * 6 AS y, x * 6 AS x FROM n JOIN o USING (skeleton_id)")
 def _(spark, d):
     return skeleton.joined(*E.points(spark, d), resolution=(30, 6, 6))[0]
+
+
+@query("find_elements", SETS + "SELECT id, component FROM c WHERE id % 4 = 1")
+def _(spark, d):
+    s = _sets(spark, d)
+    ids = E.table(spark, d, "customer").where("c_custkey % 4 = 1").select("c_custkey")
+    extra = s.union(s.pairs)
+    beyond = extra.mapping().where("id % 4 = 1").select("id").subtract(ids)
+    return extra.found(ids.union(beyond))
+
+
+@query("connected_pairs", SETS + "SELECT CAST(c_custkey AS BIGINT) AS a, CAST(c_custkey + 2 AS BIGINT) AS b, coalesce(p.component = q.component, false) AS connected FROM customer LEFT JOIN c p ON p.id = c_custkey LEFT JOIN c q ON q.id = c_custkey + 2")
+def _(spark, d):
+    s = _sets(spark, d)
+    pairs = E.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("a"), (F.col("c_custkey") + 2).cast("long").alias("b"))
+    return s.union(s.pairs).tied(pairs)
+
+
+@query("rewired_tree", """WITH t AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS nr, CAST(100 + n_regionkey AS BIGINT) AS g, CASE WHEN n_nationkey % 3 = 1 THEN CAST(n_nationkey AS BIGINT) END AS up FROM nation),
+k AS (SELECT nr, coalesce(up, g) AS parentnr, up IS NOT NULL AS child, coalesce(lag(nr) OVER w, 0) AS prevnr, coalesce(lead(nr) OVER w, 0) AS nextnr FROM t WINDOW w AS (PARTITION BY coalesce(up, g), up IS NOT NULL ORDER BY nr))
+SELECT k.nr, parentnr, CAST(coalesce(c.f, 0) AS BIGINT) AS childnr, CAST(prevnr AS BIGINT) AS prevnr, CAST(nextnr AS BIGINT) AS nextnr FROM k LEFT JOIN (SELECT up, min(nr) AS f FROM t GROUP BY up) c ON c.up = k.nr
+UNION ALL SELECT g, 0, min(nr) FILTER (WHERE up IS NULL), coalesce(lag(g) OVER (ORDER BY g), 0), coalesce(lead(g) OVER (ORDER BY g), 0) FROM t GROUP BY g""")
+def _(spark, d):
+    n = E.table(spark, d, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("nr"), (100 + F.col("n_regionkey")).cast("long").alias("parentnr"))
+    zero = F.lit(0).cast("long")
+    leaves = n.select("nr", "parentnr", zero.alias("childnr"), zero.alias("prevnr"), zero.alias("nextnr"))
+    tops = n.groupBy("parentnr").agg(F.min("nr").alias("childnr")).select(F.col("parentnr").alias("nr"), zero.alias("parentnr"), "childnr", zero.alias("prevnr"), zero.alias("nextnr"))
+    mapping = n.select(F.col("nr").alias("id"), F.when((F.col("nr") - 1) % 3 == 1, F.col("nr") - 1).otherwise(F.col("nr")).alias("new"))
+    return hierarchy.rewired(leaves.unionByName(tops), mapping)
+
+
+SMOOTH = T.replace("WITH t", "WITH RECURSIVE t") + """, e AS (SELECT frame, value AS e FROM t WHERE frame = 0 UNION ALL SELECT t.frame, e.e + 0.2::DOUBLE * (t.value - e.e) FROM e JOIN t ON t.frame = e.frame + 1),
+n AS (SELECT frame, (e - min(e) OVER ()) / nullif(max(e) OVER () - min(e) OVER (), 0) AS value FROM e) """
+
+
+@query("shots_smoothed", SMOOTH.strip() + RUNS.replace("0.4 AND 1.0", "0.45 AND 1.0").replace(">= 2", ">= 3") + """, m AS (SELECT 0 AS k, min(frame) AS frame, 0 AS s FROM n UNION ALL SELECT 2, max(frame), 0 FROM n UNION ALL SELECT 1, first, 0 FROM r UNION ALL SELECT 1, last, 1 FROM r),
+p AS (SELECT CAST(row_number() OVER (ORDER BY k, frame, s) - 1 AS INTEGER) AS position, frame FROM m)
+SELECT position, frame, CAST((position + 1) % 2 AS INTEGER) AS label FROM p""")
+def _(spark, d):
+    return ordered.shots(E.frames(spark, d), "frame", "value", 0.45, 1.0, 3, momentum=0.2)

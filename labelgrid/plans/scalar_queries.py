@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import resample
 from ..sinks import documents as docs_out
+from ..sinks import volumes as files_out
+from ..sources import segments, volumes
+from ..storage import fresh
 from . import encodings as E
 from .registry import query
 
@@ -134,6 +137,36 @@ def _(spark, d):
     return E.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
+@query("read_text_lines", "SELECT l AS value, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE text NOT LIKE '%' || chr(13) || '%') GROUP BY 1")
+def _(spark, d):
+    """Lines written to files, and read back by the library's reader."""
+    lines = E.table(spark, d, "documents").where(~F.contains("text", F.lit("\r"))).select(F.explode(F.split("text", "\n")).alias("line"))
+    folder = fresh(spark, "lines")
+    files_out.write_lines(lines, folder)
+    return volumes.read_lines(spark, folder).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("segment_text", "SELECT CAST(p_partkey AS BIGINT) AS nr, CAST(p_size AS BIGINT) AS red1, CAST(p_partkey % 11 AS BIGINT) AS parentnr, CAST(p_partkey + 1 AS BIGINT) AS nextnr, CAST(-1 AS BIGINT) AS bboxz2, p_name AS name FROM part UNION ALL SELECT 0, 0, 0, 1, -1, 'Background'")
+def _(spark, d):
+    """Segments as lines of the text format, with the background's, written to files and parsed again."""
+    own = {"nr": F.col("p_partkey"), "red1": F.col("p_size"), "parentnr": F.col("p_partkey") % 11, "nextnr": F.col("p_partkey") + 1}
+    rows = _part(spark, d).select(*[own.get(c, F.lit(-1)).cast("long").alias(c) for c in segments.FIELDS], F.col("p_name").alias("name"))
+    folder = fresh(spark, "segments")
+    files_out.write_lines(docs_out.segment_lines(rows, first=1), folder)
+    return segments.read_segments(spark, folder).select("nr", "red1", "parentnr", "nextnr", "bboxz2", "name")
+
+
+@query("chunk_side", "SELECT p_partkey, CAST(least(128, CAST(pow(2.0::DOUBLE, ceil(log2(sqrt(CAST(p_partkey AS DOUBLE))))) AS BIGINT)) AS BIGINT) AS side FROM part")
+def _(spark, d):
+    return _part(spark, d).select("p_partkey", S.square_chunk("p_partkey", F.lit(128)).cast("long").alias("side"))
+
+
+@query("wide_labels", "SELECT p_partkey, CAST((4611686018427387904::HUGEINT + p_partkey * 1000003) // 7 AS BIGINT) AS cut, CAST((4611686018427387904::HUGEINT + p_partkey * 1000003) // 1000 % 1000 AS BIGINT) AS digit, CAST((4611686018427387904::HUGEINT + p_partkey * 1000003 + 4611686018427387905::HUGEINT) // 2 AS BIGINT) AS middle FROM part")
+def _(spark, d):
+    label = F.lit(1 << 62).cast("long") + F.col("p_partkey") * 1000003
+    return _part(spark, d).select("p_partkey", S.floor_div(label, 7).alias("cut"), S.dim_unpack(label, 1000)[1].alias("digit"), S.midpoint(label, F.lit((1 << 62) + 1)).alias("middle"))
+
+
 @query("html_shots", """SELECT CAST(doc_id AS BIGINT) AS doc_id, '<li data-start="' || doc_id || '">' || replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</li>' AS item FROM documents""")
 def _(spark, d):
     return docs_out.html_items(E.table(spark, d, "documents"), "doc_id", "source").select("doc_id", "item")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import relabel, resample, stencil
+from ..sources import volumes as src
 from . import encodings as E
 from .registry import query
 
@@ -236,3 +237,47 @@ def _(spark, d):
 def _(spark, d):
     v = E.grid(spark, d).drop("value")
     return relabel.masked(v, v.select("z", "y", "x", (F.col("x") % 2).alias("mask")), ["z", "y", "x"])
+
+
+# --- tiled and chunked stacks
+
+
+@query("tile_volume", G + " SELECT CAST((z - 1) // 2 AS INTEGER) AS z, CAST(y - 3 AS INTEGER) AS y, CAST(x - 10 AS INTEGER) AS x, label FROM v WHERE z >= 1 AND z < 9 AND (z - 1) % 2 = 0 AND y >= 3 AND y < 18 AND x >= 10 AND x < 60")
+def _(spark, d):
+    v = E.grid(spark, d)
+    tiles = v.select("z", F.floor(F.col("y") / 8).alias("row"), F.floor(F.col("x") / 24).alias("column"), (F.col("y") % 8).alias("y"), (F.col("x") % 24).alias("x"), "label")
+    return src.tile_volume(tiles, 8, 24, (1, 9), (3, 18), (10, 60), zstep=2, value="label")
+
+
+@query("tile_volume_mirrored", G + ", p AS (SELECT unnest(generate_series(-2, 21)) AS q) SELECT z, CAST(q + 2 AS INTEGER) AS y, x, label FROM v JOIN p ON v.y = CASE WHEN q < 0 THEN -q WHEN q > 19 THEN 38 - q ELSE q END WHERE z < 3")
+def _(spark, d):
+    v = E.grid(spark, d)
+    tiles = v.select("z", F.floor(F.col("y") / 10).alias("row"), F.floor(F.col("x") / 32).alias("column"), (F.col("y") % 10).alias("y"), (F.col("x") % 32).alias("x"), "label")
+    return src.tile_volume(tiles, 10, 32, (0, 3), (-2, 22), (0, 64), shape={"z": 3, "y": 20, "x": 64}, value="label")
+
+
+CHUNKS = ", b AS (SELECT *, z // 4 AS cz, y // 10 AS cy, x // 32 AS cx FROM v WHERE z >= 4 AND z < 12), t AS (SELECT cz, cy, cx, max(label) AS m FROM b GROUP BY 1, 2, 3), o AS (SELECT cz, cy, cx, coalesce(sum(m) OVER (ORDER BY cz, cy, cx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM t)"
+
+
+@query("chunk_grid", G + CHUNKS + " SELECT CAST(z - 5 AS INTEGER) AS z, CAST((y - 2) // 3 AS INTEGER) AS y, CAST(x - 20 AS INTEGER) AS x, CAST(CASE WHEN label > 0 THEN label + f ELSE 0 END * (x % 2) AS BIGINT) AS label FROM b JOIN o USING (cz, cy, cx) WHERE z >= 5 AND z < 11 AND y >= 2 AND y < 19 AND (y - 2) % 3 = 0 AND x >= 20 AND x < 50")
+def _(spark, d):
+    v = E.grid(spark, d)
+    chunks = v.select(*[F.floor(F.col(a) / n).cast("int").alias(f"c{a}") for a, n in (("z", 4), ("y", 10), ("x", 32))], *[(F.col(a) % n).alias(a) for a, n in (("z", 4), ("y", 10), ("x", 32))], "label")
+    mask = v.select((F.col("z") - 5).alias("z"), F.floor((F.col("y") - 2) / 3).cast("int").alias("y"), (F.col("x") - 20).alias("x"), (F.col("x") % 2).alias("mask")).where((F.col("z") >= 0) & (F.col("x") >= 0)).distinct()
+    return src.chunk_grid(chunks, (4, 10, 32), (5, 11), (2, 19), (20, 50), step=(1, 3, 1), accumulate=True, mask=mask)
+
+
+@query("clahe_16bit", G + " SELECT z, count(*) AS n, true AS inside FROM v GROUP BY z")
+def _(spark, d):
+    """Slices of 16-bit values keep their range; the equalization itself is held against its definition in tests."""
+    wide = E.grid(spark, d).select("z", "y", "x", F.floor(S.clip(F.col("value") + 0.5, 0.0, 1.0) * 60000).cast("int").alias("value"))
+    out = resample.clahe_any(wide, {"y": 20, "x": 64}, tiles=(2, 4)).withColumnRenamed("value", "new")
+    both = wide.join(out, ["z", "y", "x"]).groupBy("z").agg(F.count("*").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"), F.min("new").alias("c"), F.max("new").alias("e"))
+    return both.select("z", "n", ((F.col("c") >= F.col("a")) & (F.col("e") <= F.col("b"))).alias("inside"))
+
+
+@query("resize_cubic", G + " SELECT z, y, CAST(x * 2 AS INTEGER) AS x, round(value, 9) AS value FROM v")
+def _(spark, d):
+    """A cubic spline goes through all values: every second place of a line that is twice as dense."""
+    out = resample.resize(E.grid(spark, d).drop("label"), {"x": 127 / 64}, {"x": 64}, "value", order=3)
+    return out.where("x % 2 = 0").withColumn("value", F.round("value", 9))

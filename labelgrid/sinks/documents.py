@@ -70,10 +70,21 @@ def tile_info(spark: SparkSession, size: tuple[int, int, int], tiles: tuple[int,
     return spark.range(1).select(F.to_json(F.struct(*cols)).alias("json"))
 
 
-def segment_lines(segments: DataFrame) -> DataFrame:
-    """Segment metadata rows (the 24 numbers and a name) as lines of the text format: ``nr, line``."""
+def background(spark: SparkSession, first: int = 1) -> DataFrame:
+    """The row of the background, with which each segment text begins; ``first``: the first segment of the top level."""
     from ..sources.segments import FIELDS
 
+    fixed = {c: -1 for c in FIELDS if c.startswith(("anchor", "bbox"))} | {"nextnr": first}
+    return spark.range(1).select(*[F.lit(fixed.get(c, 0)).cast("long").alias(c) for c in FIELDS], F.lit("Background").alias("name"))
+
+
+def segment_lines(segments: DataFrame, first: int | None = None) -> DataFrame:
+    """Segment metadata rows (the 24 numbers and a name) as lines of the text format: ``nr, line``. With ``first``, the background's
+    line is one of them."""
+    from ..sources.segments import FIELDS
+
+    if first is not None:
+        segments = segments.unionByName(background(segments.sparkSession, first).select(*segments.columns))
     return segments.select("nr", F.concat(F.concat_ws("   ", *[F.col(c).cast("string") for c in FIELDS]), F.lit('   "'), F.col("name"), F.lit('"')).alias("line"))
 
 

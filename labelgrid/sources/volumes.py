@@ -8,8 +8,6 @@ is not installed raise ImportError with its name when they are read.
 
 from __future__ import annotations
 
-import glob
-import os
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -204,27 +202,36 @@ def list_chunks(spark: SparkSession, folder: str, pattern: str = r"z(\d+)_y(\d+)
     """Chunk files of a folder with their place, in the order of their names: ``key, path, z0, y0, x0``."""
     from ..functions.scalar import chunk_start
 
-    rows = [(os.path.basename(p), p) for p in sorted(glob.glob(os.path.join(folder, "*")))]
+    # listed through Hadoop, so that folders of any file system are read
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    rows = [(x.getPath().getName(), x.getPath().toString().removeprefix("file:")) for x in found]
     files = spark.createDataFrame(rows, "key string, path string")
     return files.where(F.col("key").rlike(pattern)).select("key", "path", chunk_start("key", pattern).alias("c")).select("key", "path", "c.*").orderBy("key")
 
 
 def read_tiles(spark: SparkSession, pattern: str, rows: range, columns: range, height: int, width: int) -> DataFrame:
-    """A grid of tile images as one image; tiles that do not exist leave no voxels."""
+    """A grid of tile images as one image; tiles that do not exist leave no voxels. One scan reads all tiles, and the names
+    that the pattern gives are joined to the files found."""
+    from ..functions.scalar import tile_name
     from ..operators.resample import stitch
 
-    def name(r: int, c: int) -> str:
-        return pattern % (r, c) if "%" in pattern else pattern.format(row=r, column=c)
-
-    parts = None
-    for r in rows:
-        for c in columns:
-            if os.path.exists(name(r, c)):
-                one = read_images(spark, name(r, c)).where("c = 0").select("y", "x", "value").withColumns({"row": F.lit(r - rows[0]), "column": F.lit(c - columns[0])})
-                parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
-        return spark.createDataFrame([], "y int, x int, value int")
-    return stitch(parts, height, width)
+    folder = pattern.rpartition("/")[0]
+    places = spark.range(len(rows)).select((F.col("id") * rows.step + rows.start).alias("_r")).crossJoin(spark.range(len(columns)).select((F.col("id") * columns.step + columns.start).alias("_c")))
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    places = places.select(last(tile_name(pattern, F.col("_r"), F.col("_c"))).alias("_name"), (F.col("_r") - rows[0]).alias("row"), (F.col("_c") - columns[0]).alias("column"))
+    files = spark.read.format("image").option("dropInvalid", True).load(f"{folder}/*").select("image.*")
+    found = files.withColumn("_name", last(F.col("origin"))).join(places, "_name").select("row", "column", "height", "width", "nChannels", "data")
+
+    def first_channel(batches):
+        for batch in batches:
+            for r, k, h, w, c, raw in zip(*(batch.column(n).to_pylist() for n in ("row", "column", "height", "width", "nChannels", "data"))):
+                a = np.frombuffer(raw, np.uint8).reshape(h, w, c)[:, :, -1 if c == 3 else 0]  # stored blue first
+                y, x = (v.ravel().astype(np.int32) for v in np.indices(a.shape))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(a.size, r)), pa.array(np.full(a.size, k)), pa.array(y), pa.array(x), pa.array(a.ravel().astype(np.int32))], names=["row", "column", "y", "x", "value"])
+
+    parts = found.mapInArrow(first_channel, "row long, column long, y int, x int, value int")
+    return stitch(parts, height, width).select("y", "x", "value")
 
 
 def merge_chunks(chunks: DataFrame, chunk: list[str], offset: dict[str, str] | None = None, accumulate: bool = False, label: str = "label") -> DataFrame:

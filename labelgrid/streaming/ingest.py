@@ -26,6 +26,25 @@ def ingest(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def number_chunks(stream: DataFrame, chunk: list[str], folder: str, checkpoint: str, label: str = "label") -> StreamingQuery:
+    """Makes labels of chunks distinct as they arrive: labels of a chunk rise by the sum of the largest labels of all chunks
+    before it, in earlier runs or earlier in this one. Rows go to ``folder/labels``, one row a run with its sum to
+    ``folder/sums``; a run that is repeated overwrites what it wrote, and sees the same sums."""
+    from ..operators.relabel import offset_labels
+
+    def each(batch: DataFrame, run: int) -> None:
+        spark = batch.sparkSession
+        sums = spark.createDataFrame([], "run long, top long") if run == 0 else spark.read.schema("run long, top long").parquet(f"{folder}/sums/*")
+        before = sums.where(F.col("run") < run).agg(F.coalesce(F.sum("top"), F.lit(0))).first()[0]
+        moved = offset_labels(batch, chunk, label)
+        moved = moved.withColumn(label, F.when(F.col(label) > 0, F.col(label) + before).otherwise(F.col(label)))
+        moved.write.mode("overwrite").parquet(f"{folder}/labels/run={run}")
+        top = batch.groupBy(*chunk).agg(F.max(label).alias("top")).agg(F.lit(run).cast("long").alias("run"), F.coalesce(F.sum("top"), F.lit(0)).cast("long").alias("top"))
+        top.write.mode("overwrite").parquet(f"{folder}/sums/{run}")
+
+    return ingest(stream, each, checkpoint)
+
+
 def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes", width: str = "1 hour", key: str = "event_type") -> DataFrame:
     """Events per key and window of event time, with a bound on lateness (an addition: volumes have no event time)."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))

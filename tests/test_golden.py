@@ -408,3 +408,47 @@ def test_places_beyond_the_key_are_errors(spark):
     v = spark.createDataFrame([(0, 0, 1 << 21, 1)], "z int, y int, x int, label long")
     with pytest.raises(Exception, match="x is not within"):
         stencil.voxel_components(v)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4, 5])
+def test_splines_against_a_linear_system(spark, order):
+    rng = np.random.default_rng(order)
+    n, m = 9, 23
+    line = rng.random(n)
+    mirrored = lambda k: k % (2 * n) if k % (2 * n) < n else 2 * n - 1 - k % (2 * n)
+    system = np.zeros((n, n))
+    for i in range(n):
+        for k in range(i - 4, i + 5):
+            system[i, mirrored(k)] += float(resample.bspline(np.array([float(i - k)]), order)[0])
+    coef = np.linalg.solve(system, line)
+    at = np.arange(m) * (n - 1) / (m - 1)
+    expected = [sum(coef[mirrored(k)] * float(resample.bspline(np.array([x - k]), order)[0]) for k in range(-6, n + 6)) for x in at]
+    assert resample.spline_lines(line[None], m, order)[0] == pytest.approx(expected, abs=1e-9)
+    assert resample.spline_lines(line[None], n, order)[0] == pytest.approx(line, abs=1e-9)
+    a = rng.random((3, 6, 40))
+    out = resample.resize(table(spark, a), {"z": 1, "y": 2.0, "x": 0.5}, {"z": 3, "y": 6, "x": 40}, order=order)
+    rows = np.stack([resample.spline_lines(a[z].T, 12, order).T for z in range(3)])
+    both = np.stack([resample.spline_lines(rows[z], 20, order) for z in range(3)])
+    assert np.abs(array(out, (3, 12, 20), "value") - both).max() < 1e-9
+
+
+def test_equalization_of_wide_values(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(100, 40_000, (2, 16, 16))
+    a[1] = 7
+    v = table(spark, a).withColumnRenamed("label", "value")
+    out = array(resample.clahe_any(v, {"y": 16, "x": 16}, tiles=(2, 2)), a.shape, "value")
+    low, high = a[0].min(), a[0].max()
+    byte = ((a[0] - low) / (high - low) * 255).astype(np.uint8)
+    eight = resample.clahe(table(spark, byte.astype(int)).withColumnRenamed("label", "value"), {"y": 16, "x": 16}, tiles=(2, 2))
+    expected = (array(eight, (1, 16, 16), "value")[0] / 255 * (high - low) + low).astype(int)
+    assert (out[0] == expected).all() and (out[1] == 7).all()
+
+
+def test_elements_of_sets(spark):
+    s = hierarchy.Sets(spark.createDataFrame([(i,) for i in (3, 5, 8)], "id long")).union(spark.createDataFrame([(5, 8), (20, 21)], "a long, b long"))
+    assert s[8] == 5 and 20 in s and 9 not in s and sorted(s) == [3, 5, 8, 20, 21]
+    assert {tuple(r) for r in s.found(spark.createDataFrame([(8,), (3,)], "x long")).collect()} == {(8, 5), (3, 3)}
+    with pytest.raises(Exception, match="not an element"):
+        s.found(spark.createDataFrame([(9,)], "x long")).collect()
+    assert {tuple(r) for r in s.tied(spark.createDataFrame([(5, 8), (3, 5), (9, 9)], "x long, y long")).collect()} == {(5, 8, True), (3, 5, False), (9, 9, False)}

@@ -192,3 +192,28 @@ def test_job_scripts():
     assert scripts[1].startswith("#!/bin/bash") and "run -ji 1 -jn 2" in scripts[1]
     assert jobs.parser().parse_args(["-t", "voi", "-i", "a", "-o", "b"]).job_num == 1
     assert documents.layer("a", "u", "seg", (30, 6, 8))["source"]["transform"]["outputDimensions"]["z"][0] == pytest.approx(30e-9)
+
+
+def test_labels_of_chunks_are_numbered_as_they_arrive(spark, tmp_path):
+    rows = [[("a", 0, 1), ("a", 1, 3), ("b", 0, 2), ("b", 1, 0)], [("c", 0, 1), ("c", 1, 4)], [("d", 0, 2)]]
+    for run, part in enumerate(rows):
+        spark.createDataFrame(part, "key string, x int, label long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ingest.arriving(spark, f"{tmp_path}/in", "key string, x int, label long")
+        ingest.number_chunks(stream, ["key"], f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    found = {(r["key"], r["x"]): r["label"] for r in spark.read.parquet(f"{tmp_path}/out/labels").collect()}
+    assert found == {("a", 0): 1, ("a", 1): 3, ("b", 0): 5, ("b", 1): 0, ("c", 0): 6, ("c", 1): 9, ("d", 0): 11}
+
+
+def test_tiles_are_read_in_one_scan(spark, tmp_path):
+    a = np.random.default_rng(8).integers(0, 255, (8, 9))
+    tiles = [(r, c, a[r * 4 : r * 4 + 4, c * 3 : c * 3 + 3]) for r in range(2) for c in range(3) if (r, c) != (1, 1)]
+    for r, c, t in tiles:
+        (tmp_path / f"t_{r + 5}_{c + 2}.png").write_bytes(out.png(t))
+    found = src.read_tiles(spark, f"{tmp_path}/t_%d_%d.png", range(5, 7), range(2, 5), 4, 3)
+    got = np.full(a.shape, -1)
+    for r in found.collect():
+        got[r["y"], r["x"]] = r["value"]
+    expected = a.copy()
+    expected[4:, 3:6] = -1
+    assert (got == expected).all()
+    assert src.read_tiles(spark, f"{tmp_path}/t_%d_%d.png", range(50, 51), range(2), 4, 3).count() == 0
