@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import forget, written
 
 
 SMALL = 1 << 18
@@ -77,6 +77,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             found = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
             found = found.unionByName(now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component")))
             break
-        state, now = seen, written(small_star(large_star(now)), "stars")
+        state, before, now = seen, now, written(small_star(large_star(now)), "stars")
+        forget(before)  # the first is a view of the edges, and stays
     lone = loops.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
     return found.unionByName(lone)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_paths: dict[int, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -16,10 +21,11 @@ def folder(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="labelgrid-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
     return "file://" + _local[0]
 
 
@@ -31,4 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once as Parquet and read again: later steps neither recompute it nor keep its lineage."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table that ``written`` made and nothing reads any more: what follows from it must be written."""
+    path = _paths.get(id(df))
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
