@@ -11,7 +11,8 @@ the table up to a size whose recall is tested; beyond it their number grows, and
 Defined cases: vectors that are null, zero, of another length than the most common one, or that
 hold a null or non-finite component take no part, as queries or as candidates; rows without an
 id take no part; rows that share an id are candidates once each, the query's own id never;
-ties go to the smaller id; with fewer candidates than asked for, all are returned.
+ties go to the smaller id; with fewer candidates than asked for, all are returned; an empty
+table gives no rows; only the key and the vector are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -7,8 +7,12 @@ the border of any two neighbours, which a vectorised walk down both tokens' merg
 decides for each distinct pair. Pieces with a failing pair, and very long ones, are merged
 exactly, one by one. Distinct pieces are kept between batches, up to a fixed number.
 
-Defined cases: a null or empty text has no tokens and decodes to an empty text; strings of
-added tokens in a text become those tokens, as the tokenizers library does by default.
+Defined cases: a null or empty text has no tokens and decodes to an empty text; a text of any
+length is encoded whole, in parts that are cut where no piece goes on; an empty table gives no
+rows; a null id is kept, and rows that share an id are encoded each on its own; only the key
+and the text are read, so other columns may have any names; strings of added tokens in a text
+become those tokens, as the tokenizers library does by default; a vocabulary with rules that
+this module does not have raises ValueError.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from . import text as T
 
 U64 = np.uint64
 LONG_PIECE, CACHED_PIECES = 256, 1 << 20
+#: Longer texts are encoded in parts of about so many bytes.
+LONG_TEXT = 4 << 20
 OTHER, LETTER, NUMBER, WHITE = range(4)
 
 
@@ -51,6 +57,19 @@ def classes() -> np.ndarray:
     return out
 
 
+def _supported(spec: dict) -> None:
+    """Raises ValueError for a vocabulary whose rules are others than this module's, which would give wrong ids."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [f"an added token's {k}" for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or spec.get("post_processor") and spec["post_processor"]["type"] != "ByteLevel":
+        wrong.append("a model, normalizer or post-processor of another kind")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        wrong.append("a pre-tokenizer other than plain byte level")
+    if wrong:
+        raise ValueError(f"this vocabulary needs {', '.join(wrong)}")
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary in the JSON format of the tokenizers library.
 
@@ -60,6 +79,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _supported(spec)
         model, signs = spec["model"], byte_signs()
         raw = lambda s: bytes(signs[c] for c in s)
         vocab: dict[str, int] = model["vocab"]
@@ -318,6 +338,42 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def cuts(raw: np.ndarray, limit: int) -> list[int]:
+    """Ends of parts of a text of about ``limit`` bytes. Cuts lie between a letter or digit and white space, where no piece goes on."""
+    fit, out, at = np.flatnonzero(_ALNUM[raw[:-1]] & T.SPACE[raw[1:]]) + 1, [], 0
+    while len(raw) - at > limit:
+        k = int(np.searchsorted(fit, at + limit))
+        if k == len(fit):
+            break
+        at = int(fit[k])
+        out.append(at)
+    return [*out, len(raw)]
+
+
+def encode(v: Vocabulary, column) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of every text and the n+1 offsets; long texts in parts, so that memory does not grow with them."""
+    buf, off = T.flat(column)
+    if not len(buf) or np.diff(off).max() <= LONG_TEXT or any(c.isspace() for t in v.added for c in t):
+        return v.encode(column)
+    ids, lens = [], []
+    for a, b in zip(off[:-1], off[1:]):
+        ends = [a + x for x in cuts(buf[a:b], LONG_TEXT)]
+        parts = [v.encode(T.strings(buf[x:y], np.array([0, y - x])))[0] for x, y in zip([a, *ends[:-1]], ends)]
+        ids += parts
+        lens.append(sum(map(len, parts)))
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(lens)])
+
+
+def decode(v: Vocabulary, ids: np.ndarray, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all ids, and the number of each; ``limit`` ids at a time."""
+    parts = [v.decode(ids[a : a + limit]) for a in range(0, max(len(ids), 1), limit)]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -343,8 +399,8 @@ def _mapped(docs: DataFrame, path: str, key: str, text: str, digests: bool) -> D
         for batch in batches:
             for a, b in T.spans(batch.column("text"), 2 << 20):
                 part = batch.slice(a, b - a)
-                ids, off = v.encode(part.column("text"))
-                data, lens = v.decode(ids)
+                ids, off = encode(v, part.column("text"))
+                data, lens = decode(v, ids)
                 boff = np.concatenate([[0], np.cumsum(lens)])[off]
                 raw = data.tobytes()
                 texts = [raw[x:y] for x, y in zip(boff[:-1], boff[1:])]

@@ -354,24 +354,26 @@ def _splitter(percent: int):
         each = pa.StructArray.from_arrays([pa.array(j, pa.int32()), pa.array(few[j, m]), pa.array(near[j, m])], names=["sub", "dist", "near"])
         none = pa.ListArray.from_arrays(pa.array(np.zeros(len(pivot) + 1, int), pa.int32()), each.slice(0, 0))
         subs = pa.concat_arrays([none, pa.ListArray.from_arrays(cuts, each)])
-        return pa.table([table["cell"], table["id"], pa.array(sets.components()), subs], names=["cell", "id", "tie", "subs"])
+        return pa.table([table["cell"], table["id"], table["fp"], pa.array(sets.components()), subs], names=[*NAME, "tie", "subs"])
 
     return split
 
 
-ROW = ["cell", "id", "shingles", "done"]
+ROW = ["cell", "id", "fp", "shingles", "done"]
+#: What names a row of a cell: rows may share an id, but not a set.
+NAME = ["cell", "id", "fp"]
 
 
 def _split_cells(cells: DataFrame, percent: int, cell_bytes: int, cell_members: int) -> tuple[DataFrame, DataFrame]:
     """Cells beyond a bound split by pivots until none is: rows of the small cells (cell, id, shingles), and links found."""
     radius = 1 - percent / 100 + 1e-9
-    cells = cells.select("cell", "id", "shingles", F.lit(False).alias("done"))
+    cells = cells.select("cell", "id", F.xxhash64("shingles").alias("fp"), "shingles", F.lit(False).alias("done"))
     links = cells.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     small, level = [], 0
     while True:
         sizes = cells.groupBy("cell").agg(F.sum(F.octet_length("shingles")).alias("bytes"), F.count("*").alias("members"))
         large = shared.written(sizes.where((F.col("bytes") > cell_bytes) & (F.col("members") > LEAF) | (F.col("members") > cell_members)), "large-cells")
-        small.append(cells.join(large, "cell", "left_anti").select(ROW[:3]))
+        small.append(cells.join(large, "cell", "left_anti").select("cell", "id", "shingles"))
         if large.isEmpty():
             out = small[0]
             for more in small[1:]:
@@ -380,32 +382,32 @@ def _split_cells(cells: DataFrame, percent: int, cell_bytes: int, cell_members:
         big = cells.join(large, "cell")
         # what is linked already: members outside the largest component of their cell are open
         roots = connected_components(links) if level else None
-        named = big.select("cell", "id", "done") if roots is None else big.select("cell", "id", "done").join(roots, "id", "left")
+        named = big.select(*NAME, "done") if roots is None else big.select(*NAME, "done").join(roots, "id", "left")
         named = named.withColumn("component", F.coalesce("component", "id") if roots is not None else F.col("id"))
         most = named.groupBy("cell", "component").count().groupBy("cell").agg(F.max_by("component", F.struct("count", F.col("component"))).alias("most"))
-        open_ = named.join(most, "cell").where("not done and component != most" if level else "not done").select("cell", "id")
-        rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(level)), "id"))
+        open_ = named.join(most, "cell").where("not done and component != most" if level else "not done").select(NAME)
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(level)), "id", "fp"))
         wanted = min(FIRST_PIVOTS << level, MOST_PIVOTS)
         chosen = shared.written(open_.withColumn("pivot", rank - 1).where(F.col("pivot") < wanted), "pivots")
         live = big.join(chosen.select("cell").distinct(), "cell", "left_semi")  # a cell without open members is done
         parts = F.greatest(F.lit(1), F.ceil(F.col("members") / PART)).cast("int")
-        dealt = live.select("cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(-1).alias("pivot"), "id", "shingles")
+        dealt = live.select("cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(-1).alias("pivot"), "id", "fp", "shingles")
         every = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-        told = live.join(chosen, ["cell", "id"]).select("cell", every, "pivot", "id", "shingles")
-        fields = "cell string, id long, tie long, subs array<struct<sub:int,dist:double,near:boolean>>"
+        told = live.join(chosen, NAME).select("cell", every, "pivot", "id", "fp", "shingles")
+        fields = "cell string, id long, fp long, tie long, subs array<struct<sub:int,dist:double,near:boolean>>"
         made = shared.written(dealt.unionByName(told).groupBy("cell", "part").applyInArrow(T.one(_splitter(percent)), fields), "split-cells")
         links = shared.written(links.unionByName(made.where("id != tie").select(F.col("id").alias("a"), F.col("tie").alias("b"))).distinct(), "split-links")
-        each = made.select("cell", "id", F.explode("subs").alias("x")).select("cell", "id", "x.*")
+        each = made.select(*NAME, F.explode("subs").alias("x")).select(*NAME, "x.*")
         rim = each.where("not near").groupBy("cell", "sub").agg(F.min("dist").alias("rim"))
-        kept = each.join(rim, ["cell", "sub"]).where(F.expr(f"not near or dist >= rim - {radius!r}")).select("cell", "sub", "id")
+        kept = each.join(rim, ["cell", "sub"]).where(F.expr(f"not near or dist >= rim - {radius!r}")).select(*NAME, "sub")
         counts = kept.groupBy("cell", "sub").count().groupBy("cell").agg(F.max("count").alias("top"), F.sum("count").alias("all"))
         told_size = large.select("cell", "members").join(counts, "cell", "left")
         shrinks = F.coalesce(F.col("top") < 0.9 * F.col("members"), F.lit(True)) & F.coalesce(F.col("all") <= 2 * F.col("members"), F.lit(True))
         told_size = shared.written(told_size.select("cell", shrinks.alias("shrinks")), "shrunk")
-        used = chosen.select("cell", "id", F.lit(True).alias("used"))
-        rows = live.join(used, ["cell", "id"], "left").select("cell", "id", "shingles", (F.col("done") | F.coalesce("used", F.lit(False))).alias("done"))
+        used = chosen.select(*NAME, F.lit(True).alias("used"))
+        rows = live.join(used, NAME, "left").select(*NAME, "shingles", (F.col("done") | F.coalesce("used", F.lit(False))).alias("done"))
         rows = rows.join(told_size, "cell")
-        parted = rows.where("shrinks").join(kept, ["cell", "id"]).select(F.concat_ws("/", "cell", "sub").alias("cell"), *ROW[1:])
+        parted = rows.where("shrinks").join(kept, NAME).select(F.concat_ws("/", "cell", "sub").alias("cell"), *ROW[1:])
         cells = shared.written(rows.where("not shrinks").select(ROW).unionByName(parted), "cells")
         level += 1
 

@@ -8,7 +8,10 @@ and less than one window is left; leftovers of up to ``fan_in`` partitions are j
 same way in a second step, and again until one partition is left.
 
 Defined cases: a null or empty text is one end id; rows that share an id are packed each on
-its own; a null id is kept as it is. Padding is at most ``length - 1`` ids for the whole table.
+its own; a null id is kept as it is; a text of any length is cut into as many sequences as it
+needs; an empty table gives no rows; only the key and the text are read, so other columns may
+have any names. Padding is at most ``length - 1`` ids for the whole table. Which pieces share a
+sequence depends on the partitions; that each id lies in one piece does not.
 """
 
 from __future__ import annotations
@@ -112,7 +115,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
         for batch in batches:
             for a, b in T.spans(batch.column("text"), 2 << 20):
                 part = batch.slice(a, b - a)
-                found, off = v.encode(part.column("text"))
+                found, off = bpe.encode(v, part.column("text"))
                 for doc, x, y in zip(part.column("id").to_pylist(), off[:-1], off[1:]):
                     packer.whole(doc, np.append(found[x:y], END))
                 yield packer.batch(ids)

@@ -6,7 +6,7 @@ import gc
 
 from pyspark.sql import SparkSession
 
-from ..storage import folder, fresh, written  # noqa: F401
+from ..storage import folder, forget, fresh, written  # noqa: F401
 
 
 def bounded(spark: SparkSession, rows: int = 2000) -> None:

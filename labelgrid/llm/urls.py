@@ -7,7 +7,9 @@ Only DataFrame functions are used; the state of an iteration is one row a host a
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is allowed
 unless a rule for the empty host exists; a null page is judged like any other and has no links;
-rows that share an id are judged each on its own; of rules equally long, the first by name wins.
+rows that share an id, or have none, are judged each on its own; a page of any length is searched
+whole; an empty table gives no rows; of rules equally long, the first by name wins; only the key,
+the url and the page are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -81,7 +83,9 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, ite
         back = seeds.join(kept, "side", "left").select("side", "host", (F.col("share") * (1 - damping * F.coalesce("total", F.lit(0.0)))).alias("score"))
         score = moved.select("side", "host", (damping * F.col("got")).alias("score")).unionByName(back).groupBy("side", "host").agg(F.sum("score").alias("score"))
         score = shared.written(score, "scores")
-        if iterations is None and _settled(last, score):
+        settled = iterations is None and _settled(last, score)
+        shared.forget(last)
+        if settled:
             break
     return score
 

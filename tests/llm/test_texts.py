@@ -232,18 +232,21 @@ def test_representatives_keep_unequal_texts_of_an_id(spark):
     assert sorted(out) == [(5, ""), (5, a), (5, b), (8, "another text")]
 
 
-def test_all_sets_of_an_id_stay_in_a_cell_that_does_not_shrink(spark):
+@pytest.mark.parametrize("first", [2, 40])
+def test_all_sets_of_an_id_are_joined_in_a_cell_that_does_not_shrink(spark, monkeypatch, first):
+    monkeypatch.setattr(jaccard, "FIRST_PIVOTS", first)
     rng = np.random.default_rng(4)
-    ids = [7, 7, *range(10, 160)]  # all at about the same distance from each other
-    sets = [X.pack(np.unique(np.append(rng.integers(1, 1 << 62, 30).astype(np.uint64), np.uint64(9)))) for _ in ids]
-    cells = spark.createDataFrame([("c", i, [9], s) for i, s in zip(ids, sets)], "cell string, id long, prefix array<long>, shingles binary")
-    rows, _ = jaccard._split_cells(cells, 85, 12000)
-    held = {}
-    for r in rows.collect():
-        held.setdefault(r["cell"], set()).add((r["id"], bytes(r["shingles"])))
-    left = set().union(*held.values())  # without the eight pivots, which have met all others
-    assert {(7, sets[0]), (7, sets[1])} <= left <= set(zip(ids, sets)) and len(left) >= len(ids) - 8
-    assert all(any({x, y} <= c for c in held.values()) for x in left for y in left)
+    ids = [7, 7, *range(10, 130)]  # all at about the same distance from each other
+    sets = [np.unique(np.append(rng.integers(1, 1 << 62, 30).astype(np.uint64), np.uint64(9))) for _ in ids]
+    ids, sets = [*ids, 500, 501], [*sets, sets[0][1:], sets[1][:-1]]  # near copies of both sets of an id
+    cells = spark.createDataFrame([("c", i, X.pack(s)) for i, s in zip(ids, sets)], "cell string, id long, shingles binary")
+    small, links = jaccard._split_cells(cells, 85, 1 << 30, 60)
+    found = {frozenset((r["a"], r["b"])) for r in links.collect()}
+    for rows in small.groupBy("cell").agg({"id": "collect_list", "shingles": "collect_list"}).collect():
+        own = jaccard.Sets(rows["collect_list(id)"], [bytes(x) for x in rows["collect_list(shingles)"]], 85)
+        own.join(np.arange(len(own.ids)))
+        found |= {frozenset((int(a), int(b))) for a, b in zip(own.ids, own.components())}
+    assert {f for f in found if len(f) == 2} == {frozenset((7, 500)), frozenset((7, 501))}
 
 
 # --- tokens
@@ -696,3 +699,24 @@ def test_ranges_of_keys(spark, monkeypatch):
     monkeypatch.setattr(X, "BOUNDS", 4)
     seen, lone, most = groups(20)
     assert seen > 10 and lone == 20
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch, spark):
+    monkeypatch.setattr(bpe, "LONG_TEXT", 500)
+    v, library = bpe.vocabulary(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
+    texts = ["word " * 400, "a  b\n\n c\tünï   x y's don't 12 3<|endoftext|> q " * 40, "x" * 3000, None, "short", "no cut" * 300]
+    ids, off = bpe.encode(v, pa.array(texts, pa.large_string()))
+    for t, a, b in zip(texts, off[:-1], off[1:]):
+        assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids
+    assert len(bpe.cuts(np.frombuffer(texts[0].encode(), np.uint8), 500)) == 4
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"ignore_merges": True}}, {"added_tokens": [{"content": "<x>", "id": 9, "lstrip": True}]}])
+def test_other_vocabularies_are_refused(change):
+    import json
+
+    spec = json.load(open(bpe.default_path(), encoding="utf-8"))
+    for key, value in change.items():
+        spec[key] = spec[key] | value if key == "model" else value
+    with pytest.raises(ValueError, match="this vocabulary needs"):
+        bpe._supported(spec)
