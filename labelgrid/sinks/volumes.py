@@ -3,6 +3,7 @@ written by the tasks, one file a slice or block."""
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 
@@ -69,8 +70,6 @@ def write_slices(df: DataFrame, folder: str, height: int, width: int, pattern: s
 
 def write_npy(df: DataFrame, folder: str, shape: tuple[int, int, int], column: str = "label", slab: int = 64) -> DataFrame:
     """A .npy file for each slab of slices. The files written."""
-    import io
-
     def save(key: tuple, table: pa.Table) -> pa.Table:
         c = key[0].as_py()
         kind = np.float64 if pa.types.is_floating(table.schema.field(column).type) else np.int64
@@ -126,18 +125,26 @@ def write_blocks(df: DataFrame, folder: str, shape: tuple[int, int, int], block:
     return df.where(F.col(column) > 0).select("*", *keys).groupBy("cz", "cy", "cx").applyInArrow(save, "file string")
 
 
-def write_h5(df: DataFrame, path: str, shape: tuple[int, int, int], dataset: str = "main", column: str = "label", slab: int = 64) -> None:
-    """One compressed dataset, written slab by slab: the format has one writer, so voxels arrive in slabs in order."""
+def write_h5(volumes: DataFrame | dict[str, DataFrame], path: str, shape: tuple[int, int, int], dataset: str = "main", column: str = "label", slab: int = 64) -> None:
+    """Compressed datasets of one file: a volume, or several by name. The format has one writer: tasks write dense slabs
+    into the shared folder in one pass over each table, and the writer puts one slab after another into the file."""
     import h5py
 
-    kind = "f8" if dict(df.dtypes)[column] == "double" else "i8"
+    from ..storage import fresh
+
+    many = volumes if isinstance(volumes, dict) else {dataset: volumes}
     with h5py.File(path, "w") as f:
-        out = f.create_dataset(dataset, shape, kind, compression="gzip")
-        for low in range(0, shape[0], slab):
-            rows = df.where((F.col("z") >= low) & (F.col("z") < low + slab)).select("z", "y", "x", column).toArrow()
-            part = np.zeros((min(slab, shape[0] - low), *shape[1:]), kind)
-            part[rows["z"].to_numpy() - low, rows["y"].to_numpy(), rows["x"].to_numpy()] = rows[column].to_numpy()
-            out[low : low + slab] = part
+        for name, df in many.items():
+            kind = "f8" if dict(df.dtypes)[column] == "double" else "i8"
+            out = f.create_dataset(name, shape, kind, compression="gzip")
+            slabs = write_npy(df.select("z", "y", "x", column), _uri(fresh(df.sparkSession, "slabs")), shape, column, slab)
+            for r in slabs.orderBy("slab").toLocalIterator():
+                with pyarrow.fs.FileSystem.from_uri(_uri(r["file"]))[0].open_input_file(_uri(r["file"]).removeprefix("file://")) as part:
+                    out[r["slab"] * slab : (r["slab"] + 1) * slab] = np.load(io.BytesIO(part.read()))
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path else "file://" + path.removeprefix("file:")
 
 
 def write_affinity(chunks: DataFrame, folder: str, shard: int = 0, shards: int = 1, done: DataFrame | None = None) -> DataFrame:

@@ -75,6 +75,24 @@ def opened(path: str, dataset: str | None = None):
     raise ValueError(f"no reader for {path}")
 
 
+def datasets(path: str) -> list[str]:
+    """Names of a file's datasets, or of a group's arrays."""
+    if path.endswith((".h5", ".hdf5")):
+        import h5py
+
+        with h5py.File(path, "r") as f:
+            return sorted(f)
+    import zarr
+
+    group = zarr.open(path, mode="r")
+    return [] if hasattr(group, "shape") else sorted(group.array_keys())
+
+
+def read_datasets(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """Several datasets of a file by name, all of them by default."""
+    return {n: read_volume(spark, path, n) for n in (datasets(path) if names is None else names)}
+
+
 def shape(path: str, dataset: str | None = None) -> tuple[int, ...]:
     """A volume's shape from its header."""
     return tuple(opened(path, dataset).shape)

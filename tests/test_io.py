@@ -217,3 +217,61 @@ def test_tiles_are_read_in_one_scan(spark, tmp_path):
     expected[4:, 3:6] = -1
     assert (got == expected).all()
     assert src.read_tiles(spark, f"{tmp_path}/t_%d_%d.png", range(50, 51), range(2), 4, 3).count() == 0
+
+
+class FakeH5(dict):
+    """As much of h5py as is used, with arrays in memory."""
+
+    files: dict = {}
+
+    def __new__(cls, path, mode):
+        if mode == "w":
+            cls.files[path] = super().__new__(cls)
+        return cls.files[path]
+
+    def __init__(self, path, mode):
+        pass
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return None
+
+    def create_dataset(self, name, shape, kind, compression):
+        self[name] = np.full(shape, -1, kind)
+        return self[name]
+
+
+def test_h5_files_of_several_datasets(spark, tmp_path, monkeypatch, volume):
+    import sys
+    import types
+
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=FakeH5))
+    path, other = str(tmp_path / "v.h5"), np.random.default_rng(4).random(volume.shape)
+    out.write_h5(src.from_array(spark, volume), path, volume.shape, slab=4)
+    assert (FakeH5.files[path]["main"] == volume).all() and src.datasets(path) == ["main"] and src.shape(path) == volume.shape
+    out.write_h5({"seg": src.from_array(spark, volume), "again": src.from_array(spark, volume + 1)}, path, volume.shape, slab=5)
+    assert src.datasets(path) == ["again", "seg"] and (src.opened(path, "again")[:] == volume + 1).all()
+    with pytest.raises(ValueError, match="name one of"):
+        src.opened(path)
+    out.write_h5(src.from_array(spark, other), path, other.shape, column="value")
+    assert (src.opened(path) == other).all()
+
+
+def test_groups_and_frames_of_other_libraries(monkeypatch, volume):
+    import sys
+    import types
+
+    class Group(dict):
+        array_keys = dict.keys
+
+    monkeypatch.setitem(sys.modules, "zarr", types.SimpleNamespace(open=lambda path, mode: volume if "flat" in path else Group(b=volume + 1, a=volume)))
+    assert (src.opened("x.zarr") == volume).all() and (src.opened("x.zarr", "b") == volume + 1).all() and src.datasets("x.zarr") == ["a", "b"]
+    assert src.shape("flat.zarr") == volume.shape and src.datasets("flat.zarr") == []
+    monkeypatch.setitem(sys.modules, "nd2", types.SimpleNamespace(ND2File=lambda path: types.SimpleNamespace(to_dask=lambda: volume)))
+    assert (src.opened("x.nd2", "2") == volume[2]).all() and src.shape("x.nd2") == volume.shape
+    with pytest.raises(ValueError, match="frames 0 to 5"):
+        src.opened("x.nd2", "6")
+    monkeypatch.setitem(sys.modules, "tifffile", types.SimpleNamespace(memmap=lambda path: volume))
+    assert (src.opened("x.tif") == volume).all()
