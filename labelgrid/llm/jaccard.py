@@ -51,7 +51,7 @@ REGION, SKETCH, PAIRS = 4096, 64, 1 << 18
 #: Bytes of small cells that one call joins.
 PACK = 1 << 18
 #: Pivots of a cell that doesn't shrink, at first and at most.
-FIRST_PIVOTS, MOST_PIVOTS = 32, 1024
+FIRST_PIVOTS, MOST_PIVOTS = 128, 1024
 ROWS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("lead", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary()), ("shingles", pa.binary())])
 SPARK_ROWS = "id long, n long, f1 long, f2 long, lead int, prefix array<long>, sketch binary, shingles binary"
 
