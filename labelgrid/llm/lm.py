@@ -46,7 +46,7 @@ ROWS = 1 << ROWS_LOG2
 BLOCKS, PLACES_LOG2 = 16, 20
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 #: Histories of the counted pairs: number, seed, least place in a document, strength of what they correct.
-GRAMS = {"one": (0, 0xE7037ED1A0B428DB, 0, 1000.0), "pair": (1, 0x8EBC6AF09C88C6E3, 1, 10.0)}
+GRAMS = {"one": (0, 0xE7037ED1A0B428DB, 0, 10000.0), "pair": (1, 0x8EBC6AF09C88C6E3, 1, 10.0)}
 PARTS = 2  # buckets of pairs a bucket of words
 SEEDS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
 
