@@ -650,7 +650,7 @@ def test_windows_whose_hashes_collide(documents, monkeypatch):
     sent = substring._sender(13, 1)((pa.scalar(0),), texts)
     later = substring._sender(13, 1)((pa.scalar(1),), both)
     told = substring._answer((pa.scalar(0),), pa.concat_tables([later, sent]))
-    out = substring._remover(13, pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]), False)((pa.scalar(1),), both, told)
+    out = substring._remover(13, pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]), False, X.Hops(1, 1))((pa.scalar(1),), both, told)
     whole = brute.without_repeats([(0, " \n ".join(texts["text"].to_pylist())), *zip([1, 2, 3, 7, 8, 9], both["text"].to_pylist())])
     assert out["n_removed"].to_pylist() == [whole[d][1] for d in (1, 2, 3, 7, 8, 9)]
 
