@@ -242,12 +242,16 @@ class Hops:
 
         return self._hop(sent, "bucket").repartition(self.buckets, "to").groupBy("to").applyInArrow(one(reply), BUNDLE)
 
+    def back(self, answered: DataFrame) -> DataFrame:
+        """Answers on their last way to the groups, with ``g``."""
+        if self.direct:
+            return answered.where(F.col("g") >= 0)
+        passed = self._hop(answered.where(F.col("to") >= 0), "g")
+        return passed.select(F.col("to").cast("int").alias("g"), "rows")
+
     def told(self, answered: DataFrame) -> DataFrame:
         """Answers by group, to be grouped by ``g``."""
-        if self.direct:
-            return answered.where(F.col("g") >= 0).repartition(self.groups, "g")
-        back = self._hop(answered.where(F.col("to") >= 0), "g")
-        return back.select(F.col("to").cast("int").alias("g"), "rows").repartition(self.groups, "g")
+        return self.back(answered).repartition(self.groups, "g")
 
     def aside(self, answered: DataFrame) -> DataFrame:
         """Answers to nobody (groups below 0), as blob rows."""

@@ -13,10 +13,11 @@ part of a slice and sends its change, with how often it touched each row; change
 of at most ``FAN`` shards each, and the next slice starts from there. The weights' size is fixed by constants (about 8 MB), so
 they are broadcast. Scoring multiplies nothing dense: it gathers the rows of active features.
 
-That model is the base of one that grows with the corpus. Every pair of a history (the previous word, the two previous
-words) and its next word, of any word, is counted over all training documents, in the same exchange as the words; from
-the weaker history to the stronger, P = (n(history, word) + s * P') / (n(history) + s), P' being the step before. The bits
-of a pair's hash grow with the text, so that less than one in 200 of its values is used.
+That model is the base of one that grows with the corpus. Every pair of a history (the word three back, the word two back,
+the previous word, the two previous words) and its next word, of any word, is counted over all training documents; from
+the weaker history to the stronger, P = (n(history, word) + s * P') / (n(history) + s), P' being the step before. Pairs are
+counted in two passes, so that the blobs of one are gone before the next; the first is the words' as well. The bits of a
+pair's hash grow with the text, so that less than one in 200 of its values is used.
 
 Defined cases: a null or empty text is one end token; a null id is never held out; rows that share an id are scored each
 on its own; an empty table gives no rows; without training documents every word is unseen (N = V = 0) and both scores are
@@ -45,8 +46,17 @@ SHARD_BYTES, SHARDS, CHUNK, FAN = 16 << 20, 4096, 1 << 20, 256
 ROWS = 1 << ROWS_LOG2
 BLOCKS, PLACES_LOG2 = 16, 20
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
-#: Histories of the counted pairs: number, seed, least place in a document, strength of what they correct.
-GRAMS = {"one": (0, 0xE7037ED1A0B428DB, 0, 10000.0), "pair": (1, 0x8EBC6AF09C88C6E3, 1, 10.0)}
+#: Histories of the counted pairs, the weakest first: number in their pass, seed, least place in a document, strength of
+#: what they correct.
+GRAMS = {
+    "three": (1, 0xD6E8FEB86659FD93, 3, 100000.0),
+    "two": (0, 0xA0761D6478BD642F, 2, 100000.0),
+    "one": (0, 0xE7037ED1A0B428DB, 0, 10000.0),
+    "pair": (1, 0x8EBC6AF09C88C6E3, 1, 10.0),
+}
+PASSES = (("one", "pair"), ("two", "three"))
+#: Histories whose pairs of any word with the end tell how often the word is too near the end for the next skip.
+ENDED = ("one", "two")
 PARTS = 2  # buckets of pairs a bucket of words
 SEEDS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
 
@@ -265,46 +275,75 @@ def _averaged(batches):
 
 
 def kept_bits(total: int) -> np.uint64:
-    """A mask of the leading hash bits by which pairs are known: one for the kind of history, and 2**7 values a byte of text or more."""
+    """A mask of the leading hash bits by which pairs are known: one for the kind of history, and 2**7 values a byte of text or
+    more. The last bit is always free."""
     bits = max(40, 8 * -(-(max(total, 1).bit_length() + 9) // 8))
-    return U64((1 << 64) - (1 << (64 - min(bits, 64))))
+    return U64((1 << 64) - (1 << (64 - min(bits, 63))))
 
 
 def histories(tok: np.ndarray, toff: np.ndarray, name: str) -> np.ndarray:
     """Hash of each token's history of one kind."""
-    one = _back(tok, toff, 1, START)
-    return one if name == "one" else T.mix(one * SEEDS[1]) + _back(tok, toff, 2, START)
-
-
-def grams(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, mask: np.uint64):
-    """By kind of history, in the order of hashes: name, its distinct pairs, their training counts here, the pair of
-    each token from the least place on, and these tokens."""
-    place = _places(toff)
-    for name, (kind, seed, least, _) in GRAMS.items():
-        at = np.flatnonzero(place >= least)
-        h = T.mix(T.mix(histories(tok, toff, name)[at] * U64(seed)) + tok[at])
-        h = ((h >> U64(1)) | U64(kind << 63)) & mask
-        u, back = np.unique(h, return_inverse=True)
-        yield name, u, np.bincount(back[learn[at]], minlength=len(u)).astype(U64), back, at
+    if name == "pair":
+        return T.mix(_back(tok, toff, 1, START) * SEEDS[1]) + _back(tok, toff, 2, START)
+    return _back(tok, toff, {"one": 1, "two": 2, "three": 3}[name], START)
+
+
+def grams(tok: np.ndarray, toff: np.ndarray, words: np.ndarray, name: str, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens from the least place on, and the hashes of their pairs; these are followed, for histories in ``ENDED``, by the
+    pairs of all distinct ``words`` with the end."""
+    kind, seed, least, _ = GRAMS[name]
+    at = np.flatnonzero(_places(toff) >= least)
+    history, follower = histories(tok, toff, name)[at], tok[at]
+    if name in ENDED:
+        history = np.concatenate([history, words])
+        follower = np.concatenate([follower, np.full(len(words), END)])
+    h = T.mix(T.mix(history * U64(seed)) + follower)
+    return at, ((h >> U64(1)) | U64(kind << 63)) & mask
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def distinct_grams(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, words: np.ndarray, names: tuple, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of some kinds of history, ascending, and how often training has each here. Whether a token is
+    learned from stands in the free bit of its hash, so that one sort of plain numbers counts them."""
+    found = []
+    for name in names:
+        at, h = grams(tok, toff, words, name, mask)
+        h[: len(at)] |= learn[at].astype(U64)
+        h.sort()
+        one, h = h & U64(1), h & mask
+        first = _firsts(h)
+        found.append((h[first], np.add.reduceat(one, first) if len(first) else one))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def word_counts(tok: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens, ascending, and how often training has each here."""
+    h, n = np.unique(tok, return_counts=True)
+    other, m = np.unique(tok[~learn], return_counts=True)
+    n[np.searchsorted(h, other)] -= m
+    return h, n.astype(U64)
 
 
 def _learns(table: pa.Table, toff: np.ndarray) -> np.ndarray:
     return np.repeat(table["learn"].combine_chunks().to_numpy(zero_copy_only=False), np.diff(toff))
 
 
-def _sender(buckets: int, mask: np.uint64):
+def _sender(buckets: int, mask: np.uint64, names: tuple, with_words: bool):
     def send(key: tuple, table: pa.Table) -> pa.Table:
         g = key[0].as_py()
         tok, toff = tokens(table["text"])
         learn = _learns(table, toff)
-        h, back = np.unique(tok, return_inverse=True)
-        words = X.to_buckets(g, h, np.bincount(back[learn], minlength=len(h)).astype(U64), buckets)
-        del back
-        found = [(u, n) for _, u, n, *_ in grams(tok, toff, learn, mask)]
-        pairs = X.to_buckets(g, *(np.concatenate(x) for x in zip(*found)), PARTS * buckets)
+        words, n = word_counts(tok, learn)
+        pairs = X.to_buckets(g, *distinct_grams(tok, toff, learn, words, names, mask), PARTS * buckets)
+        if not with_words:
+            return pa.Table.from_batches([pairs])
         at = pa.array(pairs.column("bucket").to_numpy() + np.int32(buckets), pa.int32())
         pairs = pa.RecordBatch.from_arrays([at, *pairs.columns[1:]], schema=X.BLOB_ARROW)
-        return pa.Table.from_batches([words, pairs])
+        return pa.Table.from_batches([X.to_buckets(g, words, n, buckets), pairs])
 
     return send
 
@@ -313,6 +352,8 @@ TOP, STATS = -1, -2
 
 
 def _answerer(buckets: int):
+    """``buckets``: how many of them, from the first, are the words'."""
+
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         """The counts over all groups of each group's hashes, in the order that the group has them; of words also the
         bucket's top ones (group -1), and tokens and words of each hash class (group -2)."""
@@ -340,18 +381,33 @@ def _unpacked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), g), pa.int32()), pa.array(h.view(np.int64)), pa.array(v.view(np.int64))], names=["g", "h", "v"])
 
 
-def gram_counts(tok: np.ndarray, toff: np.ndarray, learn: np.ndarray, count: np.ndarray, told: np.ndarray, mask: np.uint64) -> dict:
+def gram_counts(tok: np.ndarray, toff: np.ndarray, words: np.ndarray, word: np.ndarray, count: np.ndarray, told: tuple, mask: np.uint64) -> dict:
     """By kind of history: for each token, how often training has its history with a next word, and with this word.
-    ``count``: training count of each token; ``told``: the counts of all pairs that ``grams`` finds."""
-    # every word is followed by a word or the end; what begins a document follows the start, once a document
-    followed = _back(count, toff, 1, count[tok == END].max(initial=0))
-    out, done = {}, 0
-    for name, u, _, pair, at in grams(tok, toff, learn, mask):
-        n = np.zeros(len(tok))
-        n[at] = told[done : done + len(u)][pair]
-        done += len(u)
-        out[name] = (np.maximum(followed, n), n)
-        followed = _back(n, toff, 1, 0.0)
+    ``word``: the place of each token among the distinct ``words``, of which ``count`` are the training counts; ``told``: for
+    each pass, the counts of all its ``distinct_grams``."""
+    out = {}
+    for names, counts in zip(PASSES, told):
+        done = 0
+        for name in names:
+            at, h = grams(tok, toff, words, name, mask)
+            order = np.argsort(h)
+            first = _firsts(h[order])
+            each = np.empty(len(h))
+            each[order] = np.repeat(counts[done : done + len(first)], np.diff(first, append=len(h)))
+            done += len(first)
+            n = np.zeros(len(tok))
+            n[at] = each[: len(at)]
+            if name == "one":
+                # every word is followed by a word or the end; what begins a document follows the start, once a document
+                history = _back(count[word], toff, 1, count[words == END].sum())
+                followed, one = count, n
+            elif name == "pair":
+                history = _back(one, toff, 1, 0.0)
+            else:
+                history = _back(followed[word], toff, GRAMS[name][2], 0.0)
+            if name in ENDED:
+                followed = np.maximum(followed - each[len(at) :], 0)
+            out[name] = (np.maximum(history, n), n)
     return out
 
 
@@ -369,25 +425,26 @@ def _told(table: pa.Table) -> np.ndarray:
     return np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
 
 
-def _scorer(shared_model, buckets: int, mask: np.uint64, hops: X.Hops):
+def _scorer(shared_model, buckets: int, mask: np.uint64, hops: tuple):
     def score(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         m = shared_model.value
         if not docs.num_rows:
             return SCORED.empty_table()
-        told = hops.rows(told)
-        of_pairs = pa.compute.greater_equal(told["bucket"], buckets)
-        counts, pairs = (_told(told.filter(x)) for x in (pa.compute.invert(of_pairs), of_pairs))
+        first, second = (h.rows(told.filter(pa.compute.equal(told["pass"], i)).drop_columns("pass")) for i, h in enumerate(hops))
+        of_pairs = pa.compute.greater_equal(first["bucket"], buckets)
+        counts, pairs = _told(first.filter(pa.compute.invert(of_pairs))), (_told(first.filter(of_pairs)), _told(second))
         tok, toff = tokens(docs["text"])
         lens = np.diff(toff)
         row = np.repeat(np.arange(len(lens)), lens)
         add = lambda x: np.bincount(row, x, len(lens))
-        c = counts[np.unique(tok, return_inverse=True)[1]]
+        words, word = np.unique(tok, return_inverse=True)
+        c = counts[word]
         base = add(np.log10(c + 1)) - lens * math.log10(m.total + m.distinct + 1)
         p = np.empty(len(tok))
         for a, b in T.spans(docs["text"], 2 << 20):
             s = slice(toff[a], toff[b])
             p[s] = score_tokens(m, tok[s], toff[a : b + 1] - toff[a], c[s])
-        own = add(np.log10(corrected(np.exp(p), gram_counts(tok, toff, _learns(docs, toff), c, pairs, mask))))
+        own = add(np.log10(corrected(np.exp(p), gram_counts(tok, toff, words, word, counts, pairs, mask))))
         return pa.table([docs["id"], docs["held_out"], pa.array(lens, pa.int64()), pa.array(add(c > 0).astype(np.int64)), pa.array(np.full(len(lens), m.total), pa.int64()), pa.array(base), pa.array(own)], schema=SCORED)
 
     return score
@@ -467,18 +524,22 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     size = X.text_bytes(src)
     groups, mask = groups or X.group_count(size), kept_bits(size)
     dealt = X.by_hash(src, groups, "id").select("g", "id", "text", "held_out", "learn")
-    hops = X.Hops(groups, (1 + PARTS) * groups)
-    sent = dealt.groupBy("g").applyInArrow(T.one(hops.sent(_sender(groups, mask))), hops.schema)
-    counts = shared.written(hops.answered(sent, _answerer(groups)), "counts")
-    del sent
-    few = hops.aside(counts).mapInArrow(_unpacked, "g int, h long, v long")
+    hops = (X.Hops(groups, (1 + PARTS) * groups), X.Hops(groups, PARTS * groups))
+    counts = []
+    for i, names in enumerate(PASSES):
+        sent = dealt.groupBy("g").applyInArrow(T.one(hops[i].sent(_sender(groups, mask, names, i == 0))), hops[i].schema)
+        counts.append(shared.written(hops[i].answered(sent, _answerer(0 if i else groups)), "counts"))
+        del sent
+        shared.release(spark)
+    few = hops[0].aside(counts[0]).mapInArrow(_unpacked, "g int, h long, v long")
     sums = {x.h: int(x.s) for x in few.where(F.col("g") == STATS).groupBy("h").agg(F.sum("v").alias("s")).collect()}
     top = few.where(F.col("g") == TOP).orderBy(F.desc("v"), "h").limit(WORDS).toArrow()
     shared.release(spark)
     totals = np.array([sums.get(i, 0) for i in range(2 * TAIL)], np.int64)
     model = Model(top["h"].to_numpy().view(U64), top["v"].to_numpy().astype(np.int64), totals[:TAIL], totals[TAIL:])
     model = spark.sparkContext.broadcast(trained(src, model, size))
-    told = hops.told(counts)
+    parts = [h.back(c).withColumn("pass", F.lit(i)) for i, (h, c) in enumerate(zip(hops, counts))]
+    told = parts[0].unionByName(parts[1]).repartition(groups, "g")
     fields = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(T.two(_scorer(model, groups, mask, hops)), fields)
 

@@ -375,13 +375,13 @@ def pair_counts(toks, learn):
     """By kind of history, for every token in order: training count of its history with a next word, and with this word."""
 
     def history(name, w, i):
-        if name == "pair" and i == 0:
+        if i < {"one": 0, "pair": 1, "two": 2, "three": 3}[name]:
             return None
         at = lambda k: w[i - k] if i >= k else "<start>"
-        return {"one": (at(1),), "pair": (at(2), at(1))}[name]
+        return {"one": (at(1),), "pair": (at(2), at(1)), "two": (at(2),), "three": (at(3),)}[name]
 
     out = {}
-    for name in ("one", "pair"):
+    for name in ("three", "two", "one", "pair"):
         flat = [(history(name, w, i), x, ok) for w, ok in zip(toks, learn) for i, x in enumerate((*w, None))]
         both, alone = Counter((h, x) for h, x, ok in flat if ok and h), Counter(h for h, _, ok in flat if ok and h)
         out[name] = [(alone[h], both[h, x]) for h, x, _ in flat]
@@ -395,10 +395,13 @@ def test_pairs_of_the_whole_corpus_count(documents):
     texts = pa.array([t or "" for _, t in rows])
     tok, toff = lm.tokens(texts)
     mask = lm.kept_bits(sum(len(t or "") for _, t in rows))
+    known = np.repeat(learn, np.diff(toff))
     words, back = np.unique(tok, return_inverse=True)
-    count = np.bincount(back[np.repeat(learn, np.diff(toff))], minlength=len(words))[back].astype(float)
-    told = np.concatenate([x[2] for x in lm.grams(tok, toff, np.repeat(learn, np.diff(toff)), mask)])
-    got = lm.gram_counts(tok, toff, np.repeat(learn, np.diff(toff)), count, told, mask)
+    count = np.bincount(back[known], minlength=len(words))
+    assert all((x == y).all() for x, y in zip(lm.word_counts(tok, known), (words, count)))
+    told = [lm.distinct_grams(tok, toff, known, words, names, mask)[1].astype(float) for names in lm.PASSES]
+    got = lm.gram_counts(tok, toff, words, back, count.astype(float), told, mask)
+    assert got.keys() == lm.GRAMS.keys()
     for name, expected in pair_counts(toks, learn).items():
         assert list(zip(*(x.tolist() for x in got[name]))) == expected
 
@@ -446,7 +449,7 @@ def test_score_equals_dense_softmax(documents, monkeypatch):
             else:
                 c = count[(*words, None)[i]]
                 p *= (c + 1) / (m.rest_total[group - lm.HEAD] + m.rest_distinct[group - lm.HEAD] + 1)
-            for name in ("one", "pair"):
+            for name in ("three", "two", "one", "pair"):
                 history, n = pairs[name][flat]
                 s = lm.GRAMS[name][3]
                 p = (n + s * p) / (history + s)
@@ -484,7 +487,7 @@ def test_rare_words_depend_on_their_history(spark):
 
 
 def test_corrected_model_is_a_distribution():
-    p, n = np.full(41, 1 / 41), np.random.default_rng(0).integers(0, 9, (2, 41)).astype(float)
+    p, n = np.full(41, 1 / 41), np.random.default_rng(0).integers(0, 9, (4, 41)).astype(float)
     assert lm.corrected(p, {k: (np.full(41, x.sum()), x) for k, x in zip(lm.GRAMS, n)}).sum() == pytest.approx(1)
 
 
