@@ -525,19 +525,22 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     groups, mask = groups or X.group_count(size), kept_bits(size)
     dealt = X.by_hash(src, groups, "id").select("g", "id", "text", "held_out", "learn")
     hops = (X.Hops(groups, (1 + PARTS) * groups), X.Hops(groups, PARTS * groups))
-    counts = []
-    for i, names in enumerate(PASSES):
-        sent = dealt.groupBy("g").applyInArrow(T.one(hops[i].sent(_sender(groups, mask, names, i == 0))), hops[i].schema)
-        counts.append(shared.written(hops[i].answered(sent, _answerer(0 if i else groups)), "counts"))
-        del sent
-        shared.release(spark)
+
+    def counted(i: int) -> DataFrame:
+        sent = dealt.groupBy("g").applyInArrow(T.one(hops[i].sent(_sender(groups, mask, PASSES[i], i == 0))), hops[i].schema)
+        return shared.written(hops[i].answered(sent, _answerer(0 if i else groups)), "counts")
+
+    counts = [counted(0)]
     few = hops[0].aside(counts[0]).mapInArrow(_unpacked, "g int, h long, v long")
     sums = {x.h: int(x.s) for x in few.where(F.col("g") == STATS).groupBy("h").agg(F.sum("v").alias("s")).collect()}
     top = few.where(F.col("g") == TOP).orderBy(F.desc("v"), "h").limit(WORDS).toArrow()
     shared.release(spark)
     totals = np.array([sums.get(i, 0) for i in range(2 * TAIL)], np.int64)
     model = Model(top["h"].to_numpy().view(U64), top["v"].to_numpy().astype(np.int64), totals[:TAIL], totals[TAIL:])
+    # training needs little disk, so Spark has deleted the blobs of the first pass when the second begins
     model = spark.sparkContext.broadcast(trained(src, model, size))
+    counts.append(counted(1))
+    shared.release(spark)
     parts = [h.back(c).withColumn("pass", F.lit(i)) for i, (h, c) in enumerate(zip(hops, counts))]
     told = parts[0].unionByName(parts[1]).repartition(groups, "g")
     fields = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
