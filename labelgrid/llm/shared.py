@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,12 @@ def bounded(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose frames are gone; it does so when the driver collects garbage."""
+    """Lets Spark delete the shuffle files of steps whose frames are gone; it does so when the driver collects garbage. The
+    gateway tells the JVM of dropped frames from a queue, about once a second, so that is waited for."""
     gc.collect()
+    queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ())
+    until = time.monotonic() + 5
+    while len(queue) and time.monotonic() < until:
+        time.sleep(0.02)
+    time.sleep(0.05)
     spark.sparkContext._jvm.System.gc()
