@@ -57,7 +57,7 @@ GRAMS = {
 PASSES = (("one", "pair"), ("two", "three"))
 #: Histories whose pairs of any word with the end tell how often the word is too near the end for the next skip.
 ENDED = ("one", "two")
-PARTS = 2  # buckets of pairs a bucket of words
+PARTS = 1  # buckets of the pairs of one pass a bucket of words
 SEEDS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
 
 
