@@ -45,12 +45,15 @@ def unplanes(b: bytes) -> np.ndarray:
 
 
 def pack(h: np.ndarray) -> bytes:
-    """Ascending hashes as byte planes of their differences."""
-    return planes(np.diff(h, prepend=U64(0)))
+    """Ascending hashes: the first, then byte planes of the differences, which are small."""
+    return h[:1].tobytes() + planes(np.diff(h))
 
 
 def unpack(b: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(b), dtype=U64)
+    if len(b) == 2:
+        return np.zeros(0, U64)
+    out = np.concatenate([np.frombuffer(b, U64, 1), unplanes(b[8:])])
+    return np.cumsum(out, dtype=U64, out=out)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
