@@ -5,9 +5,27 @@ from __future__ import annotations
 import gc
 import time
 
-from pyspark.sql import SparkSession
-
-from ..storage import folder, forget, fresh, written  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+
+from .. import storage
+from ..storage import folder, forget, fresh  # noqa: F401
+
+#: Spark's setting by which the shuffle files of a query are deleted when it ends; a retry would make them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written and read again; the shuffle files of the step are deleted with its last row written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return storage.written(df, name)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
 
 
 def bounded(spark: SparkSession, rows: int = 2000) -> None:
